@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = []
+MODULES = ["scoring"]
 
 
 def load_all():

@@ -1,7 +1,7 @@
 """Query registry: a Spark callable, its column contract, and its SQL twin.
 
 The column contract (``"market_id n:l vwap:d"``) is applied to both sides, so names and types agree:
-no letter = string, ``l`` bigint, ``d`` double rounded to 6 places, ``b`` boolean, ``t`` timestamp,
+no letter = string, ``l`` bigint, ``d`` double shown with 6 places, ``b`` boolean, ``t`` timestamp,
 ``D`` date.
 """
 
@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.adapters import Views, with_views
 
+# exact ties at the 7th place are decimal on one side and binary on the other; a fixed nudge on both
+# sides makes them round the same way
+NUDGE = "1e-9"
+
 _SPARK = {"s": "string", "l": "bigint", "d": "double", "b": "boolean", "t": "timestamp", "D": "date"}
 _DUCK = {"s": "VARCHAR", "l": "BIGINT", "d": "DOUBLE", "b": "BOOLEAN", "t": "TIMESTAMP", "D": "DATE"}
 
@@ -35,7 +39,7 @@ class Query:
         out = []
         for name, kind in _columns(self.cols):
             c = F.col(name).cast(_SPARK[kind])
-            out.append((F.round(c, 6) if kind == "d" else c).alias(name))
+            out.append((F.round(c + F.lit(float(NUDGE)), 6) if kind == "d" else c).alias(name))
         return df.select(*out)
 
     def oracle(self) -> str | None:
@@ -44,7 +48,7 @@ class Query:
         out = []
         for name, kind in _columns(self.cols):
             c = f"cast({name} as {_DUCK[kind]})"
-            out.append(f"{'round(' + c + ', 6)' if kind == 'd' else c} as {name}")
+            out.append(f"{f'round({c} + {NUDGE}, 6)' if kind == 'd' else c} as {name}")
         body = with_views(self.sql)
         return f"select {', '.join(out)} from (\n{body}\n) q"
 

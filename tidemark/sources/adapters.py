@@ -37,7 +37,7 @@ SPARK = Dialect(
     us="unix_micros(cast({} as timestamp))", from_us="timestamp_micros({})",
     iso="date_format({}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")", ymdhms="date_format({}, 'yyyyMMddHHmmss')",
     prop_k="cast(get_json_object(props, '$.k') as bigint)",
-    compact="array_compact(array({}))", collect="array_join(array_sort(collect_list({})), ',')", bs="{d.bs}",
+    compact="array_compact(array({}))", collect="array_join(array_sort(collect_list({})), ',')", bs="\\\\",
 )
 DUCK = Dialect(
     us="epoch_us({})", from_us="make_timestamp({})",

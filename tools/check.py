@@ -20,11 +20,11 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
-def _norm(df):
+def _norm(df, ints=()):
     out = pd.DataFrame(index=df.index)
     for c in sorted(df.columns):
         s = df[c]
-        if pd.api.types.is_float_dtype(s):
+        if pd.api.types.is_float_dtype(s) and c not in ints:
             out[c] = s.map(lambda x: "NULL" if pd.isna(x) else f"{x + 0.0:.6f}")
         else:
             out[c] = s.map(lambda x: "NULL" if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x))
@@ -65,7 +65,8 @@ def main(args):
             print(f"{key:34s} SQL ERROR {str(e)[:500]}", flush=True)
             bad.append(key)
             continue
-        a, b = _norm(got), _norm(want)
+        ints = {c for c, t in types.items() if t == "bigint"}
+        a, b = _norm(got, ints), _norm(want, ints)
         ok = list(a.columns) == list(b.columns) and a.equals(b)
         note = "" if len(a) else "  EMPTY"
         print(f"{key:34s} rows={len(a):6d} {t1-t0:5.1f}s duck={time.time()-t1:5.1f}s {'ok' if ok else 'MISMATCH'}{note}",
