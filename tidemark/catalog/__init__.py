@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scoring"]
+MODULES = ["scoring", "relational"]
 
 
 def load_all():
