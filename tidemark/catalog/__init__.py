@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scoring", "relational"]
+MODULES = ["scoring", "relational", "texts", "ingestion", "statistics"]
 
 
 def load_all():

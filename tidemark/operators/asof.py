@@ -44,10 +44,10 @@ def nearest_within(lookups: DataFrame, facts: DataFrame, key: str, t: str, ts: s
 
 
 def first_at_or_after(lookups: DataFrame, facts: DataFrame, key: str, t_lo: str, t_hi: str, ts: str,
-                      value: str) -> DataFrame:
+                      value: str, fact_key: str | None = None) -> DataFrame:
     """First fact in [t_lo, t_hi]: facts of the first day, then one earliest fact per later day."""
     cols = lookups.columns
-    right = _facts(facts, key, ts, value).withColumn("_d", _bucket(F.col("_ts"), _DAY))
+    right = _facts(facts, fact_key or key, ts, value).withColumn("_d", _bucket(F.col("_ts"), _DAY))
     daily = right.groupBy("_k", "_d").agg(F.min(F.struct("_ts", "_v")).alias("_first"))
     d_lo, d_hi = _bucket(F.col(t_lo), _DAY), _bucket(F.col(t_hi), _DAY)
     same = (lookups.withColumn("_d", d_lo)

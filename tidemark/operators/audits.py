@@ -107,8 +107,9 @@ def filter_attrition(population: DataFrame, order: list[str]) -> DataFrame:
     pos = F.array_position(F.array(*[F.lit(r) for r in order]), F.split("exclusion_reason", ":")[0])
     by = population.groupBy(pos.alias("pos")).agg(F.count("*").alias("n"))
     last = F.when(F.col("pos") > 0, F.col("pos") - 1).otherwise(F.lit(len(order)))
-    left = (by.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-            .groupBy("step").agg(F.sum("n").alias("n")))
+    every = population.sparkSession.range(len(order) + 1).select(F.col("id").alias("step"), F.lit(0).cast("long").alias("n"))
+    left = (by.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))).select("step", "n")
+            .unionByName(every).groupBy("step").agg(F.sum("n").alias("n")))
     names = F.array(F.lit("initial"), *[F.lit(f"after_{r}") for r in order])
     return with_drops(left.withColumn("stage", F.element_at(names, (F.col("step") + 1).cast("int"))))
 
