@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scoring", "relational", "texts", "ingestion", "statistics"]
+MODULES = ["scoring", "relational", "texts", "ingestion", "statistics", "streams"]
 
 
 def load_all():

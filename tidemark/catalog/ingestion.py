@@ -1,13 +1,12 @@
 """Raw payloads to tables, files and ledgers."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query
 from tidemark.catalog.texts import _LOG_INDEX, _OUTCOME, _TAIL
 from tidemark.operators import audits as au
 from tidemark.plans import population as pop
+from tidemark.session import stage_folder
 from tidemark.sources import files, ingest
 from tidemark.sources.upsert import upsert
 
@@ -151,22 +150,16 @@ def json_field_audit(v):
     return au.json_field_audit(_raw_with_market(v))
 
 
-def _scratch(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="tidemark-")
-
-
 @query("report_sinks", "collector status runs:l total_records:l")
 def report_sinks(v):
-    path = _scratch(v.spark) + "/report"
+    path = stage_folder(v.spark) + "/report"
     files.write_report(au.run_stats(v.runs).select("collector", "status", "runs", "total_records"), path, "csv")
     return v.spark.read.schema("collector string, status string, runs bigint, total_records bigint").option("header", True).csv(path)
 
 
 @query("run_ledger_append", "collector started_at:t status target n_records:l")
 def run_ledger_append(v):
-    path = _scratch(v.spark) + "/ledger"
+    path = stage_folder(v.spark) + "/ledger"
     v.runs.select("collector", "started_at", "finished_at", "status", "target", "n_records", "error_message").write.mode("append").parquet(path)
     files.append_run(v.spark, path, {"collector": "scoring", "status": "success", "target": "batch", "n_records": 0})
     return v.spark.read.parquet(path)

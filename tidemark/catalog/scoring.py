@@ -15,8 +15,7 @@ def _scores(df):
 
 
 def _series(v):
-    s = ser.all_points(v.prices, v.trades)
-    return s, ser.series_bounds(s)
+    return ser.prepare_series(v.prices, v.trades)
 
 
 @query("minute_vwap", "market_id ts:t mid_price:d volume:d", """

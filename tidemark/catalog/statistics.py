@@ -14,6 +14,7 @@ from tidemark.operators import sampling as sa
 from tidemark.operators import series as ser
 from tidemark.plans import population as pop
 from tidemark.plans import scoring as plan
+from tidemark.session import staged
 from tidemark.sources import files
 
 CELL = pop.CELL
@@ -404,11 +405,10 @@ def bootstrap_engine(v):
 
 @query("bootstrap_ils_ci", "market_id n_trades:l ci_low:d ci_high:d")
 def bootstrap_ils_ci(v):
-    points = ser.all_points(v.prices, v.trades)
-    bounds = ser.series_bounds(points)
+    points, bounds = ser.prepare_series(v.prices, v.trades)
     refs = plan.snap_open(plan.standard_refs(v.markets, v.news), bounds)
     s = plan.score(refs, points, bounds).select("market_id", "t_open", F.col("t_ref").alias("t_event"), "p_open", "p_resolve")
-    return rs.score_interval(v.trades, s)
+    return rs.score_interval(v.trades, staged(s))
 
 
 def _buckets(v):

@@ -188,43 +188,47 @@ def _normal_quantile(u: np.ndarray) -> np.ndarray:
     return np.where(np.abs(q) <= 0.47575, mid, np.where(q < 0, tail, -tail))
 
 
-_erf = np.frompyfunc(math.erf, 1, 1)
+def _distance(dist: str, n: int, parts: tuple, chunk: int) -> float:
+    """Distance of one simulated and refitted sample; location and scale drop out, so a standard one is drawn.
 
+    A sample of one chunk is drawn once and kept; a longer one is drawn again for every pass.
+    """
+    def passes(transform):
+        stream = lambda: (transform(u) for u in _sorted_uniforms(n, parts, chunk))
+        if n < chunk:
+            kept = list(stream())
+            return lambda: kept
+        return stream
 
-def _distance(dist: str, n: int, parts: tuple, chunk: int) -> float:
-    """Distance of one simulated and refitted sample; location and scale drop out, so a standard one is drawn."""
-    stream = lambda: _sorted_uniforms(n, parts, chunk)
     if dist == "lognormal":
-        s1 = s2 = 0.0
-        for u in stream():
-            z = _normal_quantile(u)
-            s1, s2 = s1 + z.sum(), s2 + (z * z).sum()
-        mu = s1 / n
-        sd = math.sqrt(max(s2 / n - mu * mu, 1e-300))
-        cdf = lambda u: 0.5 * (1 + _erf((_normal_quantile(u) - mu) / (sd * math.sqrt(2))).astype(float))
+        _erf = np.frompyfunc(math.erf, 1, 1)
+        xs = passes(_normal_quantile)
+        mu = sum(z.sum() for z in xs()) / n
+        sd = math.sqrt(max(sum((z * z).sum() for z in xs()) / n - mu * mu, 1e-300))
+        cdf = lambda z: 0.5 * (1 + _erf((z - mu) / (sd * math.sqrt(2))).astype(float))
     else:
-        x_of = lambda u: -np.log1p(-np.minimum(u, 1 - 1e-16))
+        xs = passes(lambda u: np.log(-np.log1p(-np.minimum(u, 1 - 1e-16))))
         k = 1.0
         if dist == "weibull":
-            ml = sum(np.log(x_of(u)).sum() for u in stream()) / n
+            ml = sum(lx.sum() for lx in xs()) / n
             for _ in range(30):
                 a = b = c = 0.0
-                for u in stream():
-                    lx = np.log(x_of(u))
+                for lx in xs():
                     p = np.exp(k * lx)
-                    a, b, c = a + p.sum(), b + (p * lx).sum(), c + (p * lx * lx).sum()
+                    q = p * lx
+                    a, b, c = a + p.sum(), b + q.sum(), c + (q * lx).sum()
                 g, dg = b / a - 1 / k - ml, c / a - (b / a) ** 2 + 1 / (k * k)
                 step = g / dg
                 k = max(k - step, k / 4)
-                if abs(step) < 1e-9:
+                if abs(step) < 1e-8:
                     break
-        scale_k = sum((x_of(u) ** k).sum() for u in stream()) / n
-        cdf = lambda u: 1 - np.exp(-(x_of(u) ** k) / scale_k)
+        scale_k = sum(np.exp(k * lx).sum() for lx in xs()) / n
+        cdf = lambda lx: -np.expm1(-np.exp(k * lx) / scale_k)
     d, at = 0.0, 0
-    for u in stream():
-        f = cdf(u)
-        i = np.arange(at + 1, at + len(u) + 1)
-        d, at = max(d, np.max(i / n - f), np.max(f - (i - 1) / n)), at + len(u)
+    for x in xs():
+        f = cdf(x)
+        i = np.arange(at + 1, at + len(x) + 1)
+        d, at = max(d, np.max(i / n - f), np.max(f - (i - 1) / n)), at + len(x)
     return float(d)
 
 
@@ -239,7 +243,8 @@ def ks_parametric_bootstrap(ks: DataFrame, groups: list[str] = CELL, replicates:
     blocks = -(-replicates // block)
     jobs = (ks.where(F.col("n") >= least).withColumn("_g", key)
             .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    jobs = jobs.repartition("_g", "distribution", "_blk")
+    # the rows are few and the work per row is long: a fixed number of partitions is not merged again
+    jobs = jobs.repartition(3 * ks.sparkSession.sparkContext.defaultParallelism, "_g", "distribution", "_blk")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.constants import LOOKUP_TOLERANCE_MIN, TOPEN_FORWARD_HOURS
 from tidemark.functions.numeric import PRICE, clamp01, ratio
 from tidemark.operators.asof import last_before, nearest_within, neighbours
+from tidemark.session import staged
 
 GRANULARITY = {"1min": 60, "5min": 300, "1h": 3600}
 
@@ -90,6 +91,12 @@ def series_bounds(points: DataFrame, price_source: str = "auto") -> DataFrame:
     return best.select("market_id", "b.*")
 
 
+def prepare_series(prices: DataFrame, trades: DataFrame, price_source: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """Staged points and bounds, for jobs that look prices up more than once."""
+    points = staged(all_points(prices, trades))
+    return points, staged(series_bounds(points, price_source))
+
+
 def market_sources(prices: DataFrame, trades: DataFrame, price_source: str = "auto") -> DataFrame:
     """(market_id, source) as chosen by ``series_bounds``."""
     return series_bounds(all_points(prices, trades), price_source).select("market_id", "source")

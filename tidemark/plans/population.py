@@ -11,7 +11,8 @@ from tidemark.functions.text import classify_regulatory
 from tidemark.operators import filters as fi
 from tidemark.operators.audits import per_market
 from tidemark.operators.ranks import finish_moments, moments, percentiles, percentiles_of, ranked_values, with_ranks
-from tidemark.operators.series import all_points, series_bounds
+from tidemark.operators.series import all_points
+from tidemark.session import staged
 from tidemark.plans.scoring import deadline_refs, score
 
 CELL = ["category", "subcategory", "period"]
@@ -33,13 +34,13 @@ def population_scores(markets: DataFrame, events: DataFrame, prices: DataFrame,
     """
     m = fi.prefilter_scope(markets).withColumnRenamed("exclusion_reason", "_pre")
     e = events.select("market_id", "t_event", F.col("confidence").alias("t_event_confidence"), "n_sources")
-    base = m.join(e, "market_id", "left").join(per_market(prices, "n_quotes"), "market_id", "left")
+    base = staged(m.join(e, "market_id", "left").join(per_market(prices, "n_quotes"), "market_id", "left"))
     good = base.where((F.col("t_event_confidence") >= C.CONFIDENCE_THRESHOLD) & (F.col("_pre") == "")
                       & (F.col("t_event") > F.col("t_open")))
-    points = all_points(prices, trades).where("source = 'quotes'")
-    bounds = points.groupBy("market_id", "source").agg(
+    points = staged(all_points(prices, trades).where("source = 'quotes'"))
+    bounds = staged(points.groupBy("market_id", "source").agg(
         F.count("*").alias("n_points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        F.min_by("mid_price", "ts").alias("first_price"))
+        F.min_by("mid_price", "ts").alias("first_price")))
     refs = deadline_refs(good.drop("t_event"), good.select("market_id", "t_event"))
     s = score(refs, points, bounds).select(
         "market_id", "status", F.col("p_open").cast("double").alias("p_open"),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.constants import DEADLINE_LOOKBACK_HOURS, EPSILON, TOPEN_SNAP_SECONDS, WINDOWS_MIN
 from tidemark.functions.numeric import PRICE, decimal_ratio
 from tidemark.operators.features import best_news, volume_features, wallet_features
-from tidemark.operators.series import all_points, lookup_prices, series_bounds
+from tidemark.operators.series import lookup_prices, prepare_series
+from tidemark.session import staged
 
 REF_COLUMNS = ["market_id", "t_open", "t_ref", "t_resolve", "p_resolve", "lead_flags"]
 
@@ -54,7 +55,12 @@ def snap_open(refs: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def score(refs: DataFrame, series: DataFrame, bounds: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """Score rows of REF_COLUMNS; markets without any price are left out.
+    """Score rows of REF_COLUMNS; markets without any price are left out."""
+    return _score(staged(refs), series, bounds, epsilon)
+
+
+def _score(refs: DataFrame, series: DataFrame, bounds: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """Score staged references.
 
     All prices of a market (opening, reference and five window starts) come from one exploded
     lookup table and are folded back with one aggregation.
@@ -103,18 +109,18 @@ def market_labels(markets: DataFrame, prices: DataFrame, trades: DataFrame, news
     Deadline markets use the recovered event when they resolved to yes, and a one-hour lookback
     otherwise; all other markets need a news time.
     """
-    series = all_points(prices, trades)
-    bounds = series_bounds(series, price_source)
-    best = best_news(news).select("market_id", "t_news", "tier")
-    m = scorable(markets)
+    series, bounds = prepare_series(prices, trades, price_source)
+    best = staged(best_news(news).select("market_id", "t_news", "tier", "confidence"))
+    m = staged(scorable(markets).select("market_id", "t_open", "t_resolve", "outcome", "category", "resolution_type")
+               .join(bounds.select("market_id"), "market_id", "left_semi"))
     dl = m.where("resolution_type = 'deadline_resolved'")
     events = best.join(dl.where("outcome = 1").select("market_id"), "market_id", "left_semi") \
         .withColumnRenamed("t_news", "t_event")
     dl_refs = _deadline_after_snap(dl, events, bounds)
     other = m.where("resolution_type is null or resolution_type <> 'deadline_resolved'")
-    std = snap_open(standard_refs(other, news), bounds).withColumn("t_news", F.col("t_ref"))
-    refs = dl_refs.unionByName(std.select(*dl_refs.columns))
-    scores = score(refs, series, bounds)
+    std = snap_open(standard_refs(other, best), bounds).withColumn("t_news", F.col("t_ref"))
+    refs = staged(dl_refs.unionByName(std.select(*dl_refs.columns)))
+    scores = _score(refs, series, bounds)
     feats = refs.select("market_id", "t_news", "t_resolve", "p_resolve")
     return (scores.join(volume_features(trades, feats), "market_id", "left")
             .join(wallet_features(trades, feats), "market_id", "left")
@@ -153,10 +159,9 @@ def score_candidates(markets: DataFrame, prices: DataFrame, news: DataFrame, lab
 def offset_sweep(markets: DataFrame, prices: DataFrame, trades: DataFrame,
                  offset_hours: tuple[int, ...] = (24, 6, 2, 1)) -> DataFrame:
     """Score at several fixed times before resolution; NULL where that is before the opening."""
-    series = all_points(prices, trades)
-    bounds = series_bounds(series)
-    base = snap_open(scorable(markets).select("market_id", "t_open", "t_resolve", F.col("outcome").alias("p_resolve")),
-                     bounds)
+    series, bounds = prepare_series(prices, trades)
+    base = staged(snap_open(scorable(markets).select("market_id", "t_open", "t_resolve",
+                                                     F.col("outcome").alias("p_resolve")), bounds))
     sweep = (base.withColumn("offset_hours", F.explode(F.array(*[F.lit(h) for h in offset_hours])))
              .withColumn("t_ref", F.timestamp_micros(F.unix_micros("t_resolve")
                                                      - F.col("offset_hours") * F.lit(3_600_000_000))))
@@ -179,9 +184,9 @@ def offset_sweep(markets: DataFrame, prices: DataFrame, trades: DataFrame,
 def reference_compare(markets: DataFrame, prices: DataFrame, trades: DataFrame, first: DataFrame,
                       second: DataFrame) -> DataFrame:
     """Scores at two candidate news times (market_id, t_news) and their difference."""
-    series = all_points(prices, trades)
-    bounds = series_bounds(series)
-    m = scorable(markets).select("market_id", "t_open", "t_resolve", F.col("outcome").alias("p_resolve"))
+    series, bounds = prepare_series(prices, trades)
+    m = staged(scorable(markets).select("market_id", "t_open", "t_resolve", F.col("outcome").alias("p_resolve"))
+               .join(bounds.select("market_id"), "market_id", "left_semi"))
 
     def at(cand: DataFrame, tag: str) -> DataFrame:
         refs = snap_open(m.join(cand.select("market_id", F.col("t_news").alias("t_ref")), "market_id")

@@ -1,6 +1,9 @@
 """Session settings shared by jobs and tests."""
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -29,12 +32,20 @@ def ensure_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; set one only where none is named (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if path is None:
-            import tempfile
-            path = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        sc.setCheckpointDir(path)
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder below the cluster's checkpoint folder; a temporary one only where none is set (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        return tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches read, and go on from the written table.
+
+    This cuts the lineage, survives lost executors, and gives the branches a columnar table of known
+    size instead of a plan that would be run once per branch.
+    """
+    path = stage_folder(df.sparkSession) + "/t"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
