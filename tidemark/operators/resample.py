@@ -45,7 +45,11 @@ def replicate_means(df: DataFrame, groups: list[str], row_id: str, value: str, w
     """(groups, b, mean): weighted mean of every replicate; rows of weight zero are dropped at once."""
     w0 = F.col(weight).cast("double") if weight else F.lit(1.0)
     x = F.col(value).cast("double")
-    long = (df.where(x.isNotNull()).select(*groups, F.col(row_id).alias("_id"), x.alias("_x"), w0.alias("_w"))
+    base = df.where(x.isNotNull()).select(*groups, F.col(row_id).alias("_id"), x.alias("_x"), w0.alias("_w"))
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # moving the rows once costs little next to multiplying them; it also takes a hot group apart
+    long = (base.repartition(parts, "_id")
             .withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
             .withColumn("_k", poisson_weight(uniform(F.col("_id"), F.col("b"), seed, portable))).where("_k > 0"))
     return (long.groupBy(*groups, "b").agg(F.sum(F.col("_k") * F.col("_w") * F.col("_x")).alias("_s"),

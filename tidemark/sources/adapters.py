@@ -13,7 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import ensure_utc
+from tidemark.session import ensure_utc, stage_folder
 
 BASE_TABLES = ["events", "orders", "lineitem", "part", "supplier", "customer", "documents", "pages"]
 
@@ -380,8 +380,16 @@ def with_views(sql: str) -> str:
     return ("with " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
+_landed: dict[tuple[str, str, str], str] = {}
+_INLINE = {"ev"}
+
+
 class Views:
-    """Adapter views as DataFrames over one data folder, built on demand."""
+    """Adapter tables over one data folder.
+
+    They stand for stored tables, so each one is written once per session, on first use, below the
+    stage folder, and read from there.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         ensure_utc(spark)
@@ -393,7 +401,18 @@ class Views:
         return view_sql(SPARK)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A given table; one that comes as fewer splits than there are cores is spread over them."""
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+    def _land(self, name: str, df: DataFrame) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _landed:
+            path = f"{stage_folder(self.spark)}/{name}"
+            df.write.parquet(path)
+            _landed[key] = path
+        return self.spark.read.schema(df.schema).parquet(_landed[key])
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -411,7 +430,8 @@ class Views:
                     text = re.sub(rf"\b(from|join)\s+{n}\b", rf"\1 {{{n}}}", text)
                 # braces of JSON text must survive the DataFrame formatter
                 text = _escape_braces(text, set(args))
-                self._made[name] = self.spark.sql(text, **args)
+                df = self.spark.sql(text, **args)
+                self._made[name] = df if name in _INLINE else self._land(name, df)
         return self._made[name]
 
 

@@ -12,22 +12,23 @@ from tidemark.sources.upsert import keep_first
 MONEY, PRICE6 = "decimal(20,6)", "decimal(8,6)"
 
 
-def _j(path: str):
-    return P.blank_to_null(F.get_json_object("line", path))
+_MARKET = ("conditionId string, id string, question string, description string, events array<struct<title: string>>, "
+           "groupItemTitle string, createdAt string, startDate string, endDate string, closedTime string, "
+           "outcomePrices string, clobTokenIds string, volume string, liquidity string, slug string")
 
 
 def markets(raw: DataFrame) -> DataFrame:
-    """Market lines (ingest_no, line) to one row per market, the first line winning."""
-    title = _j("$.events[0].title")
-    df = raw.select(
-        "ingest_no", F.coalesce(_j("$.conditionId"), _j("$.id")).alias("market_id"),
-        F.coalesce(_j("$.question"), F.lit("")).alias("question"), F.get_json_object("line", "$.description").alias("description"),
-        F.coalesce(title, _j("$.groupItemTitle"), F.lit("")).alias("category_raw"),
-        P.parse_iso_ts(F.coalesce(_j("$.createdAt"), _j("$.startDate"))).alias("t_open"),
-        P.parse_iso_ts(_j("$.endDate")).alias("end_date"), P.parse_iso_ts(_j("$.closedTime")).alias("t_resolve"),
-        P.outcome_from_prices(_j("$.outcomePrices")).alias("outcome"), _j("$.volume").try_cast(MONEY).alias("volume"),
-        _j("$.liquidity").try_cast(MONEY).alias("liquidity"), _j("$.slug").alias("slug"),
-        P.token_at(_j("$.clobTokenIds")).alias("yes_token"))
+    """Market lines (ingest_no, line) to one row per market, the first line winning. A line is parsed once."""
+    m = raw.select("ingest_no", F.from_json("line", _MARKET).alias("m")).select("ingest_no", "m.*")
+    one = lambda *cs: F.coalesce(*[P.blank_to_null(F.col(c)) for c in cs])
+    title = P.blank_to_null(F.get("events", F.lit(0))["title"])
+    df = m.select(
+        "ingest_no", one("conditionId", "id").alias("market_id"), F.coalesce("question", F.lit("")).alias("question"),
+        "description", F.coalesce(title, one("groupItemTitle"), F.lit("")).alias("category_raw"),
+        P.parse_iso_ts(one("createdAt", "startDate")).alias("t_open"), P.parse_iso_ts(F.col("endDate")).alias("end_date"),
+        P.parse_iso_ts(F.col("closedTime")).alias("t_resolve"), P.outcome_from_prices(one("outcomePrices")).alias("outcome"),
+        F.col("volume").try_cast(MONEY).alias("volume"), F.col("liquidity").try_cast(MONEY).alias("liquidity"), one("slug").alias("slug"),
+        P.token_at(one("clobTokenIds")).alias("yes_token"))
     return keep_first(df.where("market_id is not null"), ["market_id"], ["ingest_no"]).drop("ingest_no")
 
 
