@@ -11,10 +11,11 @@ from tidemark.operators.ranks import percentiles
 
 
 def counts_by(df: DataFrame, key: Column, name: str, label_null: str | None = None) -> DataFrame:
-    """Rows per value with their share of all rows; the total runs over the few grouped rows."""
+    """Rows per value with their share of all rows; the total is a scalar subquery, so no task sees all values."""
     k = F.coalesce(key, F.lit(label_null)) if label_null else key
+    total = df.agg(F.count("*")).scalar()
     return (df.groupBy(k.alias(name)).agg(F.count("*").alias("n"))
-            .withColumn("pct", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()), 1)))
+            .withColumn("pct", F.round(F.lit(100.0) * F.col("n") / total, 1)))
 
 
 def per_market(facts: DataFrame, name: str) -> DataFrame:
@@ -361,7 +362,7 @@ def calibration(df: DataFrame, price: str, outcome: str) -> DataFrame:
     p, o = F.col(price).cast("double"), F.col(outcome).cast("double")
     binned = df.where(p.isNotNull() & o.isNotNull()).groupBy(F.least(F.floor(p * 10), F.lit(9)).cast("int").alias("bin")).agg(
         F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(o).alias("yes_rate"), F.sum((p - o) * (p - o)).alias("_s"))
-    all_bins = Window.partitionBy()  # ten rows
+    all_bins = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # ten rows
     return (binned.withColumn("brier", F.sum("_s").over(all_bins) / F.sum("n").over(all_bins))
             .withColumn("miscalibrated", (F.col("n") >= 5) & (F.abs(F.col("mean_p") - F.col("yes_rate")) > 0.4)).drop("_s"))
 

@@ -37,7 +37,7 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, quotas: dict[str, i
 def proportional_sample(df: DataFrame, pilot: DataFrame, stratum: str, key: str, target: int, seed: int = SEED) -> DataFrame:
     """Rows per stratum in proportion to a pilot, at least one each."""
     sizes = pilot.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_q", F.col("_n") / F.sum("_n").over(Window.partitionBy()))  # one row per stratum
+    sizes = sizes.withColumn("_q", F.col("_n") / pilot.agg(F.count("*")).scalar())
     top = first_in_order(df, stratum, key, target, seed)
     quota = F.greatest(F.lit(1), F.bround(F.coalesce("_q", F.lit(0.0)) * target).cast("int"))
     return top.join(sizes.select("_s", "_q"), F.col(stratum) == F.col("_s"), "left").where(F.col("rn") <= quota).drop("_s", "_q")

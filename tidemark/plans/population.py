@@ -121,15 +121,13 @@ def hazard_adjusted(population: DataFrame, min_cell: int = 5) -> DataFrame:
     price follows exponential survival over the time left and the whole life of the market.
     """
     c = computed(population)
-    cells = c.groupBy(*CELL).agg(F.count("tau_days").alias("_n"), F.avg("tau_days").alias("_mean"))
-    total = c.agg(F.avg("tau_days").alias("_all"))
-    cells = cells.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").select(
-        *[F.col(x).alias(f"_{x}") for x in CELL], F.when(F.col("_n") >= min_cell, 1 / F.col("_mean"))
-        .otherwise(1 / F.col("_all")).alias("lam"))
+    overall = c.agg(F.avg("tau_days")).scalar()
+    cells = c.groupBy(*[F.col(x).alias(f"_{x}") for x in CELL]).agg(
+        (1 / F.when(F.count("tau_days") >= min_cell, F.avg("tau_days"))).alias("_lam"))
     same = F.lit(True)
     for x in CELL:
         same = same & F.col(x).eqNullSafe(F.col(f"_{x}"))
-    j = c.join(cells, same).drop(*[f"_{x}" for x in CELL])
+    j = c.join(cells, same).drop(*[f"_{x}" for x in CELL]).withColumn("lam", F.coalesce("_lam", 1 / overall)).drop("_lam")
     tau_total = days_between(F.col("t_resolve"), F.col("t_open"))
     s = lambda t: F.exp(-F.col("lam") * F.greatest(t, F.lit(0.0)))
     left = F.greatest(tau_total - F.col("tau_days"), F.lit(0.0))
