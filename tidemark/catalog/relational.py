@@ -14,7 +14,6 @@ from tidemark.plans import scoring as plan
 from tidemark.sources.upsert import keep_first, upsert
 
 AS_OF = "timestamp '2024-02-01 00:00:00'"
-_as_of = F.expr(AS_OF)
 _CATS = ", ".join(f"'{c}'" for c in C.TARGET_CATEGORIES)
 _M = "market_id category resolution_type outcome:l volume:d"
 
@@ -41,7 +40,7 @@ def prefilter_scope(v):
 @query("stale_wallets", "address", f"""
     select address from wallets where last_refreshed_at < {AS_OF} - interval 20 day or first_seen_chain_at is null""")
 def stale_wallets(v):
-    return fi.stale_wallets(v.wallets, _as_of, 20)
+    return fi.stale_wallets(v.wallets, F.expr(AS_OF), 20)
 
 
 @query("needs_collection", "market_id n_trades:l n_prices:l fetch_trades:b fetch_quotes:b", f"""
@@ -51,7 +50,7 @@ def stale_wallets(v):
       not (coalesce(t.n, 0) > 0 and coalesce({AS_OF} - interval 24 hour > m.t_resolve, false)) and coalesce(p.n, 0) < 60 as fetch_quotes
     from markets m left join t on t.market_id = m.market_id left join p on p.market_id = m.market_id""")
 def needs_collection(v):
-    return fi.needs_collection(v.markets, v.trades, v.prices, _as_of)
+    return fi.needs_collection(v.markets, v.trades, v.prices, F.expr(AS_OF))
 
 
 @query("unresolved_markets", "market_id", "select market_id from markets where t_resolve is null")
@@ -460,7 +459,7 @@ def freshest_run(v):
     select case when last_refreshed_at > {AS_OF} - interval 1 day then '<1d' when last_refreshed_at > {AS_OF} - interval 7 day then '1-7d'
       when last_refreshed_at > {AS_OF} - interval 30 day then '7-30d' else '>30d' end as bucket, count(*) as n from markets group by all""")
 def freshness_buckets(v):
-    return au.freshness_buckets(v.markets, _as_of)
+    return au.freshness_buckets(v.markets, F.expr(AS_OF))
 
 
 @query("wallet_activity_rank", "address n_trades:l", f"""
@@ -468,7 +467,7 @@ def freshness_buckets(v):
       on t.taker_address = w.address where (w.last_refreshed_at < {AS_OF} - interval 20 day or w.first_seen_chain_at is null)
       and t.n >= 40""")
 def wallet_activity_rank(v):
-    return fi.active_stale_wallets(v.wallets, v.trades, _as_of, 20, 40)
+    return fi.active_stale_wallets(v.wallets, v.trades, F.expr(AS_OF), 20, 40)
 
 
 @query("share_of_total", "category n:l pct:d", """
@@ -516,7 +515,7 @@ def lifecycle_coverage(v):
     select a.pol < greatest(50, a.resolved * 0.15) as h1, b.resolved_with = 0 or b.resolved_without > a.resolved * 0.5 as h2,
       w.stale > w.n * 0.8 or w.chain = 0 as h3, e.n > 0 as h4, c.resolved_with > 0 and nn.n = 0 as h5 from a, b, c, w, e, nn""")
 def data_gap_hypotheses(v):
-    return au.data_gap_hypotheses(v.markets, v.trades, v.prices, v.news, v.wallets, _as_of)
+    return au.data_gap_hypotheses(v.markets, v.trades, v.prices, v.news, v.wallets, F.expr(AS_OF))
 
 
 @query("collection_diagnosis", "market_id n_trades:l n_runs:l diagnosis recommendation", """

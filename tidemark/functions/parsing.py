@@ -19,24 +19,15 @@ def parse_iso_ts(c: Column) -> Column:
     return F.try_to_timestamp(blank_to_null(c))
 
 
-# pattern of the text -> how to complete it to a full ISO timestamp
-_FORMATS = [
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$", ""),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(Z|[+-]\d{2}:?\d{2})?$", ""),
-    (r"^\d{4}-\d{2}-\d{2}$", ""),
-]
+# accepted shapes: full time with offset, minutes with or without offset, a bare date
+_DATE_SHAPE = (r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})|T\d{2}:\d{2}(Z|[+-]\d{2}:?\d{2})?)?$")
 
 
 def parse_multi_format_ts(c: Column) -> Column:
-    """First matching date format, after trailing punctuation is removed; offsets are honoured."""
+    """Date or time in one of the accepted shapes, after trailing punctuation is removed; offsets are honoured."""
     s = F.regexp_replace(F.trim(c), r"[*,;.\s]+$", "")
-    ok = F.lit(False)
-    for pattern, _ in _FORMATS:
-        ok = ok | s.rlike(pattern)
-    # +0200 -> +02:00
-    iso = F.regexp_replace(s, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    s = F.when(s.rlike(r"T.*[+-]\d{4}$"), iso).otherwise(s)
-    return F.when(ok, F.try_to_timestamp(s))
+    full = F.regexp_replace(F.regexp_replace(s, r"(T.*[+-]\d{2})(\d{2})$", "$1:$2"), r"(T\d{2}:\d{2})(Z|[+-].*)?$", "$1:00$2")
+    return F.when(s.rlike(_DATE_SHAPE), F.try_to_timestamp(full))
 
 
 def json_list(c: Column) -> Column:

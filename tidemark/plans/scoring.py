@@ -95,7 +95,7 @@ def _score(refs: DataFrame, series: DataFrame, bounds: DataFrame, epsilon: float
     keep = [c for c in refs.columns if c != "lead_flags"]
     return df.select(
         *keep, F.col("source").alias("price_source"), status.alias("status"),
-        p_open.alias("p_open"), F.when(~p_open.isNull(), p_ref).alias("p_ref"),
+        p_open.alias("p_open"), p_ref.alias("p_ref"),
         F.when(~gap, p_ref - p_open).alias("delta_pre"), F.when(~gap, total).alias("delta_total"),
         F.when(~gap & (F.abs(total) >= eps), decimal_ratio(p_ref - p_open, total)).alias("ils"), *windows,
         F.when(gap, F.when(p_open.isNull(), gap_flags).otherwise(F.concat("lead_flags", gap_flags)))
