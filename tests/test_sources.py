@@ -88,7 +88,7 @@ def test_stream_merges_equal_batch(spark, trades, tmp_path):
     s = _stream(spark, trades, tmp_path / "src")
     q = twins.run_merge(s, twins.first_seen_writer(str(tmp_path / "w")), str(tmp_path / "cw"))
     q.awaitTermination()
-    assert _rows(twins.read_current(spark, str(tmp_path / "w"))) == _rows(wallet_first_seen(trades))
+    assert _rows(twins.read_first_seen(spark, str(tmp_path / "w"))) == _rows(wallet_first_seen(trades))
 
 
 def test_merge_can_be_run_again(spark, trades, tmp_path):
@@ -96,7 +96,19 @@ def test_merge_can_be_run_again(spark, trades, tmp_path):
     a, b = trades.where("log_index = 0 and taker_address in ('w0', 'w1')"), trades
     for batch, i in ((a, 0), (b, 1), (b, 1)):
         write(batch, i)
-    assert _rows(twins.read_current(spark, str(tmp_path / "w"))) == _rows(wallet_first_seen(trades))
+    assert _rows(twins.read_first_seen(spark, str(tmp_path / "w"))) == _rows(wallet_first_seen(trades))
+
+
+def test_quote_log_last_batch_wins_and_compacts(spark, tmp_path):
+    write = twins.quote_writer(str(tmp_path / "q"))
+    q = lambda *rows: spark.createDataFrame(list(rows), "ingest_no int, market_id string, ts timestamp, mid_price double")
+    write(q((2, "m", at(0), 0.2), (1, "m", at(0), 0.1)), 0)
+    write(q((3, "m", at(0), 0.3), (4, "m", at(1), 0.4)), 1)
+    want = [("m", at(0), 0.3), ("m", at(1), 0.4)]
+    assert _rows(twins.read_quotes(spark, str(tmp_path / "q"))) == want
+    twins.compact(twins.read_quotes(spark, str(tmp_path / "q")), str(tmp_path / "q2"))
+    twins.quote_writer(str(tmp_path / "q2"))(q((9, "m", at(1), 0.9)), 0)
+    assert _rows(twins.read_quotes(spark, str(tmp_path / "q2"))) == [("m", at(0), 0.3), ("m", at(1), 0.9)]
 
 
 def test_stream_dedupe_and_vwap(spark, trades, tmp_path):

@@ -51,7 +51,7 @@ def stream_minute_vwap(v):
 def stream_wallet_first_seen(v):
     s, out = _stream(v, v.trades.select(*_TRADE))
     _finish(st.run_merge(s, st.first_seen_writer(out + "/t"), out + "/c"))
-    return st.read_current(v.spark, out + "/t")
+    return st.read_first_seen(v.spark, out + "/t")
 
 
 @query("stream_price_upsert", "market_id ts:t mid_price:d", """
@@ -61,4 +61,4 @@ def stream_price_upsert(v):
     # one minute never spans two files, so "first in the batch" is the first of all
     s, out = _stream(v, q)
     _finish(st.run_merge(s, st.quote_writer(out + "/t"), out + "/c"))
-    return st.read_current(v.spark, out + "/t")
+    return st.read_quotes(v.spark, out + "/t")

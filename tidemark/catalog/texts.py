@@ -214,7 +214,8 @@ def usdc_scale(v):
 
 
 @query("decimal_ratio", "event_id:l r:d", """
-    select event_id, round_even(price::double / (1 - price::double), 6) as r from trades""")
+    select event_id, round_even(units::double / (10000 - units)::double, 6) as r
+    from (select event_id, (price * 10000)::bigint as units from trades)""")
 def decimal_ratio(v):
     return v.trades.select("event_id", N.decimal_ratio(F.col("price"), F.lit(1) - F.col("price")).alias("r"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.constants import KS_BOOTSTRAP_B, SEED
+from tidemark.operators.hot import attach
 from tidemark.operators.ranks import percentiles, ranked_values, with_ranks
 from tidemark.operators.resample import _rng
 
@@ -31,19 +32,6 @@ def normal_cdf(z: Column) -> Column:
     return F.lit(0.5) * erfc(-z / math.sqrt(2.0))
 
 
-def _match(cols: list[str], tag: str) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"{tag}{c}"))
-    return cond
-
-
-def _attach(df: DataFrame, small: DataFrame, groups: list[str]) -> DataFrame:
-    """Add per-group columns; NULL groups match each other."""
-    s = small.select(*[F.col(g).alias(f"_s_{g}") for g in groups], *[c for c in small.columns if c not in groups])
-    return df.join(s, _match(groups, "_s_")).drop(*[f"_s_{g}" for g in groups])
-
-
 def positive_delays(population: DataFrame) -> DataFrame:
     return population.where(F.col("in_scope") & (F.col("tau_days") > 0))
 
@@ -65,7 +53,7 @@ def _weibull_shape(delays: DataFrame, groups: list[str], stats: DataFrame, round
     current bounds with one aggregation, keeps the sub-interval where it changes sign, and the last
     one is cut linearly. Values are divided by their geometric mean, which keeps the powers tame.
     """
-    base = _attach(delays.select(*groups, F.col("tau_days").cast("double").alias("_x")), stats, groups)
+    base = attach(delays.select(*groups, F.col("tau_days").cast("double").alias("_x")), stats, groups)
     y = base.select(*groups, (F.log("_x") - F.col("mean_log")).alias("_ly"))
     # copies of a value are counted once before the grid multiplies the rows
     y = y.groupBy(*groups, "_ly").agg(F.count("*").cast("double").alias("_c"))
@@ -77,7 +65,7 @@ def _weibull_shape(delays: DataFrame, groups: list[str], stats: DataFrame, round
         at = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda j: (
             F.exp(F.log("lo") + (F.log("hi") - F.log("lo")) * j / steps) if log_grid
             else F.col("lo") + (F.col("hi") - F.col("lo")) * j / steps))
-        g = (_attach(y, bounds, groups).select(*groups, "_ly", "_c", F.explode(at).alias("k"))
+        g = (attach(y, bounds, groups).select(*groups, "_ly", "_c", F.explode(at).alias("k"))
              .withColumn("_p", F.col("_c") * F.exp(F.col("k") * F.col("_ly")))
              .groupBy(*groups, "k").agg((F.sum(F.col("_p") * F.col("_ly")) / F.sum("_p")).alias("_r"))
              .withColumn("g", F.col("_r") - 1.0 / F.col("k")))
@@ -87,7 +75,7 @@ def _weibull_shape(delays: DataFrame, groups: list[str], stats: DataFrame, round
             .select(*groups, F.col("_a.k").alias("lo"), F.col("_b.k").alias("hi"), F.col("_a.g").alias("_ga"), F.col("_b.g").alias("_gb"))
         shape = bounds.select(*groups, (F.col("lo") - F.col("_ga") * (F.col("hi") - F.col("lo")) / (F.col("_gb") - F.col("_ga"))).alias("shape"))
         bounds = bounds.select(*groups, "lo", "hi")
-    power = (_attach(y, shape, groups).groupBy(*groups, "shape")
+    power = (attach(y, shape, groups).groupBy(*groups, "shape")
              .agg(F.sum(F.col("_c") * F.exp(F.col("shape") * F.col("_ly"))).alias("_s"), F.sum("_c").alias("_n")))
     return power.select(*groups, "shape", (F.log(F.col("_s") / F.col("_n")) / F.col("shape")).alias("_log_scale0"))
 
@@ -107,7 +95,7 @@ def functional_forms(delays: DataFrame, groups: list[str] = CELL, least: int = 2
             stats.select(*groups, "n", F.lit("lognormal").alias("distribution"), F.lit(2).alias("n_params"), log_ll.alias("log_lik"),
                          F.exp("mean_log").alias("scale"), F.col("sd_log").alias("shape"))]
     if weibull:
-        w = _attach(stats, _weibull_shape(delays, groups, stats), groups)
+        w = attach(stats, _weibull_shape(delays, groups, stats), groups)
         log_scale = F.col("mean_log") + F.col("_log_scale0")
         ll = n * (F.log("shape") - F.col("shape") * log_scale + (F.col("shape") - 1) * F.col("mean_log") - 1.0)
         rows.append(w.select(*groups, "n", F.lit("weibull").alias("distribution"), F.lit(2).alias("n_params"), ll.alias("log_lik"),
@@ -151,7 +139,7 @@ def kolmogorov_p(d: Column, n: Column, terms: int = 40) -> Column:
 def ks_statistic(delays: DataFrame, forms: DataFrame, groups: list[str] = CELL) -> DataFrame:
     """Largest distance of the empirical from the fitted distribution, per group and form."""
     ranked = ranked_values(delays, groups, "tau_days").withColumnRenamed("n", "copies")
-    j = _attach(ranked, forms, groups)
+    j = attach(ranked, forms, groups)
     f = fitted_cdf(F.col("value").cast("double"))
     total = F.col("total").cast("double")
     gap = F.greatest(f - F.col("below") / total, (F.col("below") + F.col("copies")) / total - f)

@@ -25,3 +25,23 @@ def join_hot(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner",
     f = fact.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int"))
     d = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return f.join(d, [*on, "_salt"], how).drop("_salt")
+
+
+def attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
+           spread: list[str] | None = None) -> DataFrame:
+    """Add the columns of a one-row-per-key table; NULL keys match each other, hot keys are spread.
+
+    ``small`` has the key columns and the new columns only.
+    """
+    n = int(df.sparkSession.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
+    rest = [c for c in small.columns if c not in keys]
+    s = small.select(*[F.col(k).alias(f"_s_{k}") for k in keys], *rest)
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
+    if n > 1:
+        cols = spread or [c for c in df.columns if c not in keys] or df.columns
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int"))
+        s = s.withColumn("_s_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        cond = cond & (F.col("_salt") == F.col("_s_salt"))
+    return df.join(s, cond, how).drop("_salt", "_s_salt", *[f"_s_{k}" for k in keys])

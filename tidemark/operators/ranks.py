@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.hot import attach
+
 PER_OCTAVE = 256
 
 
@@ -83,13 +85,10 @@ def percentiles_of(ranked: DataFrame, groups: list[str], probs: dict[str, float]
 def with_ranks(df: DataFrame, groups: list[str], value: str, prefix: str = "") -> DataFrame:
     """Add ``avg_rank`` (ties averaged), ``cume`` (share of the group at or below) and ``cell_n`` to each row."""
     r = ranked_values(df, groups, value).select(
-        *[F.col(g).alias(f"_r_{g}") for g in groups], F.col("value").alias("_rv"),
-        (F.col("below") + (F.col("n") + 1) / 2).alias(f"{prefix}avg_rank"),
-        ((F.col("below") + F.col("n")) / F.col("total")).alias(f"{prefix}cume"),
-        F.col("total").alias(f"{prefix}cell_n"))
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(value) == F.col("_rv")] + [F.col(g).eqNullSafe(F.col(f"_r_{g}")) for g in groups])
-    return df.join(r, cond, "left").drop("_rv", *[f"_r_{g}" for g in groups])
+        *groups, F.col("value").alias("_rv"), (F.col("below") + (F.col("n") + 1) / 2).alias(f"{prefix}avg_rank"),
+        ((F.col("below") + F.col("n")) / F.col("total")).alias(f"{prefix}cume"), F.col("total").alias(f"{prefix}cell_n"))
+    out = attach(df.withColumn("_rv", F.col(value)), r, [*groups, "_rv"], "left")
+    return out.drop("_rv")
 
 
 def moments(value: Column) -> list[Column]:

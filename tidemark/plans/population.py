@@ -10,6 +10,7 @@ from tidemark.functions.numeric import days_between
 from tidemark.functions.text import classify_regulatory
 from tidemark.operators import filters as fi
 from tidemark.operators.audits import per_market
+from tidemark.operators.hot import attach, join_hot
 from tidemark.operators.ranks import finish_moments, moments, percentiles, percentiles_of, ranked_values, with_ranks
 from tidemark.operators.series import all_points
 from tidemark.session import staged
@@ -122,12 +123,8 @@ def hazard_adjusted(population: DataFrame, min_cell: int = 5) -> DataFrame:
     """
     c = computed(population)
     overall = c.agg(F.avg("tau_days")).scalar()
-    cells = c.groupBy(*[F.col(x).alias(f"_{x}") for x in CELL]).agg(
-        (1 / F.when(F.count("tau_days") >= min_cell, F.avg("tau_days"))).alias("_lam"))
-    same = F.lit(True)
-    for x in CELL:
-        same = same & F.col(x).eqNullSafe(F.col(f"_{x}"))
-    j = c.join(cells, same).drop(*[f"_{x}" for x in CELL]).withColumn("lam", F.coalesce("_lam", 1 / overall)).drop("_lam")
+    cells = c.groupBy(*CELL).agg((1 / F.when(F.count("tau_days") >= min_cell, F.avg("tau_days"))).alias("_lam"))
+    j = attach(c, cells, CELL, spread=["market_id"]).withColumn("lam", F.coalesce("_lam", 1 / overall)).drop("_lam")
     tau_total = days_between(F.col("t_resolve"), F.col("t_open"))
     s = lambda t: F.exp(-F.col("lam") * F.greatest(t, F.lit(0.0)))
     left = F.greatest(tau_total - F.col("tau_days"), F.lit(0.0))
@@ -211,8 +208,10 @@ def localise_cases(cases: DataFrame, population: DataFrame, typology: DataFrame)
         "prefix", F.concat(F.lit("pre_filtered: cat="), F.coalesce("category", F.lit("None")), F.lit(", res_type="),
                            F.coalesce("resolution_type", F.lit("None")), F.lit(", outcome="),
                            F.coalesce("outcome", F.lit("None"))).alias("_typ"))
-    j = (cases.join(hit.withColumn("_hit", F.lit(True)), "prefix", "left").join(pop, "prefix", "left")
-         .join(typ, "prefix", "left"))
+    # every case may carry an empty prefix, so one key can be as large as the number of cases
+    j = cases
+    for side in (hit.withColumn("_hit", F.lit(True)), pop, typ):
+        j = join_hot(j, side, ["prefix"], "left", ["case_id"])
     note = (F.when(F.col("_hit"), F.when(F.col("cell_n") < 2, "cell_too_small").otherwise(""))
             .when(F.col("exclusion_reason").isNotNull(), F.concat(F.lit("in_population_excluded: "), "exclusion_reason"))
             .when(F.col("_typ").isNotNull(), F.col("_typ"))

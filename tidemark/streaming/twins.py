@@ -6,15 +6,13 @@ a ``foreachBatch`` writer. Results over the same rows equal the batch operators.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.numeric import PRICE, clamp01, ratio
 from tidemark.operators.features import wallet_first_seen
-from tidemark.sources.upsert import keep_first, upsert
+from tidemark.sources.upsert import keep_first
 
 
 def dedupe_trades(trades: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -30,51 +28,43 @@ def minute_vwap(trades: DataFrame, lateness: str = "1 hour") -> DataFrame:
                     F.when(F.col("shares") > 0, clamp01(ratio(F.col("volume"), F.col("shares")))).cast(PRICE).alias("mid_price"), "volume")
 
 
-def _current(spark: SparkSession, path: str) -> str | None:
-    """Latest complete version below ``path``, by its number."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = [s.getPath().toString() for s in fs.listStatus(root)
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max(done, key=lambda p: int(re.search(r"v=(\d+)$", p).group(1)), default=None)
-
+def _log_writer(path: str, prepare):
+    """foreachBatch writer of an append-only log: each batch writes its own reduced rows, once, under its number.
 
-def _merge_batch(path: str, prepare, policy):
-    """foreachBatch writer: merge a prepared batch into the table and write it as the next version.
-
-    A version carries the number of its batch, so a batch that is run again rebuilds the same version
-    from the one before it.
+    The cost of a batch follows the batch and not the table, and a batch that is run again replaces
+    its own folder. Readers merge by key; ``compact`` starts a new log from the merged rows.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new, keys = prepare(batch)
-        versions = _current(spark, path)
-        if versions is not None and int(versions.rsplit("=", 1)[1]) >= batch_id:
-            versions = None if batch_id == 0 else f"{path}/v={batch_id - 1}"
-        merged = new if versions is None else upsert(spark.read.schema(new.schema).parquet(versions), new, keys, policy)
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        prepare(batch).write.mode("overwrite").parquet(f"{path}/b={batch_id}")
     return write
 
 
 def first_seen_writer(path: str):
-    """Running minimum of the first sighting per address."""
-    return _merge_batch(path, lambda b: (wallet_first_seen(b), ["address"]), {"first_seen": "least"})
+    """First sighting per address within each batch."""
+    return _log_writer(path, wallet_first_seen)
+
+
+def read_first_seen(spark: SparkSession, path: str) -> DataFrame:
+    """Running minimum over all batches."""
+    return spark.read.parquet(path).groupBy("address").agg(F.min("first_seen").alias("first_seen"))
 
 
 def quote_writer(path: str):
-    """Last written price per (market, minute); inside one batch the first quote wins, as in the batch load."""
-    def prepare(b: DataFrame):
+    """Price per (market, minute) of each batch; inside a batch the first quote wins, as in the batch load."""
+    def prepare(b: DataFrame) -> DataFrame:
         m = b.select("ingest_no", "market_id", F.date_trunc("minute", "ts").alias("ts"), "mid_price")
-        return keep_first(m, ["market_id", "ts"], ["ingest_no"]).drop("ingest_no"), ["market_id", "ts"]
-    return _merge_batch(path, prepare, {"mid_price": "overwrite"})
+        return keep_first(m, ["market_id", "ts"], ["ingest_no"]).drop("ingest_no")
+    return _log_writer(path, prepare)
+
+
+def read_quotes(spark: SparkSession, path: str) -> DataFrame:
+    """Last written price per (market, minute)."""
+    return spark.read.parquet(path).groupBy("market_id", "ts").agg(F.max_by("mid_price", "b").alias("mid_price"))
 
 
-def read_current(spark: SparkSession, path: str) -> DataFrame:
-    """The merged table as of the last finished batch."""
-    return spark.read.parquet(_current(spark, path))
+def compact(merged: DataFrame, new_path: str) -> None:
+    """Start a new log from merged rows; they count as older than any batch."""
+    merged.write.parquet(f"{new_path}/b=-1")
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
