@@ -574,6 +574,15 @@ def histogram_even(v):
     return au.even_histogram(v.scored, ["category"], "ils", -0.5, 1.5, 10)
 
 
+@query("histogram", "resolution_type bin:l n:l", """
+    with h as (select resolution_type, case when ils_dl < -2 then 0 when ils_dl < -1 then 1 when ils_dl < -0.5 then 2 when ils_dl < 0 then 3 when ils_dl < 0.5 then 4
+      when ils_dl < 1 then 5 else 6 end as bin from population)
+    select c.resolution_type, b.bin, count(h.bin) as n from (select distinct resolution_type from h) c cross join (select unnest(range(7)) as bin) b
+    left join h on h.resolution_type = c.resolution_type and h.bin = b.bin group by all""")
+def histogram(v):
+    return au.histogram(v.population, ["resolution_type"], "ils_dl", C.HISTOGRAM_EDGES)
+
+
 @query("calibration", "bin:l n:l mean_p:d yes_rate:d brier:d miscalibrated:b", """
     with b as (select least(floor(p_open * 10), 9) as bin, p_open as p, p_resolve as o from population),
     g as (select bin, count(*) as n, avg(p) as mean_p, avg(o) as yes_rate from b group by all)
@@ -668,6 +677,16 @@ def merge_results(v):
     return upsert(old, new, ["market_id"])
 
 
+@query("upsert", "market_id ts:t mid_price:d", """
+    select market_id, ts, mid_price::double as mid_price from prices union all
+    select market_id, ts, p from (select market_id, date_trunc('minute', ts) as ts, sum(notional_usdc)::double / sum(size_shares)::double as p from trades group by all) s
+    where not exists (select 1 from prices q where q.market_id = s.market_id and q.ts = s.ts)""")
+def upsert_do_nothing(v):
+    from tidemark.operators.series import vwap_buckets
+    old = v.prices.select("market_id", "ts", F.col("mid_price").cast("decimal(16,14)").alias("mid_price"))
+    return upsert(old, vwap_buckets(v.trades).select("market_id", "ts", "mid_price"), ["market_id", "ts"], "do_nothing")
+
+
 @query("upsert_coalesce", "market_id t_resolve:t outcome:l category", """
     with new as (select market_id, case when outcome = 1 then t_resolve end as t_resolve, outcome, 'new' as category from markets where category = 'other'),
     old as (select market_id, t_open as t_resolve, 0 as outcome, category from markets where volume >= 100000)

@@ -233,6 +233,14 @@ def tau_days(v):
                                N.minutes_between(F.col("t_resolve"), F.col("t_event")).alias("minutes"))
 
 
+@query("minutes_before", "event_id:l minutes:d", """
+    select t.event_id, round((epoch_us(m.t_resolve) - epoch_us(t.ts)) / 60000000.0::double, 1) as minutes from trades t join markets m on m.market_id = t.market_id""")
+def minutes_before(v):
+    from tidemark.operators.hot import join_hot
+    j = join_hot(v.trades.select("event_id", "market_id", "ts"), v.markets.select("market_id", "t_resolve"), ["market_id"], spread=["event_id"])
+    return j.select("event_id", N.minutes_between(F.col("t_resolve"), F.col("ts")).alias("minutes"))
+
+
 _P_IN = "case model " + " ".join(f"when '{m}' then {i}" for m, i, _, _ in C.TOKEN_PRICES) + " end"
 _P_OUT = "case model " + " ".join(f"when '{m}' then {o}" for m, _, o, _ in C.TOKEN_PRICES) + " end"
 _P_S = "case model " + " ".join(f"when '{m}' then {s}" for m, _, _, s in C.TOKEN_PRICES) + " end"
