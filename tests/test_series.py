@@ -1,15 +1,16 @@
 """Series and time lookups against plain Python."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import timedelta
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_scores import PRICES, T0, at, prices_df, trades_df
 from tidemark.operators import series as ser
 from tidemark.operators.asof import first_at_or_after, last_before, nearest_within
-from tidemark.operators.hot import join_hot
+from tidemark.operators.hot import attach, join_hot
 
 
 def test_forward_fill_and_vwap(spark):
@@ -93,10 +94,21 @@ def test_sparse_lookup_equals_dense_series(spark):
         assert (got[str(i)] is None and want is None) or abs(float(got[str(i)]) - want) < 1e-9
 
 
-def test_join_hot_keeps_every_row(spark):
-    fact = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
-    dim = fact.select("k").distinct().withColumn("d", F.length("k"))
-    j = join_hot(fact, dim, ["k"], spread=["id"])
-    assert j.count() == 5000 and j.select("id").distinct().count() == 5000
-    only = dim.where("k = 'hot'")
-    assert join_hot(fact, only, ["k"], "left", ["id"]).where("d is null").count() == fact.where("k <> 'hot'").count()
+@pytest.mark.parametrize("limit, salted", [("10MB", False), ("-1", True)])
+def test_join_hot_keeps_every_row(spark, limit, salted):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        fact = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+        dim = fact.select("k").distinct().withColumn("d", F.length("k"))
+        j = join_hot(fact, dim, ["k"], spread=["id"])
+        assert ("_salt" in j._jdf.queryExecution().optimizedPlan().toString()) is salted
+        assert j.count() == 5000 and j.select("id").distinct().count() == 5000
+        only = dim.where("k = 'hot'")
+        assert join_hot(fact, only, ["k"], "left", ["id"]).where("d is null").count() == fact.where("k <> 'hot'").count()
+        nulls = fact.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
+        cells = nulls.groupBy("k").agg(F.count("*").alias("n"))
+        got = attach(nulls, cells, ["k"], spread=["id"])
+        assert got.count() == 5000 and got.where("k is null").select("n").distinct().collect()[0][0] == 1667
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

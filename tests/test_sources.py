@@ -125,3 +125,23 @@ def test_stream_dedupe_and_vwap(spark, trades, tmp_path):
     q.awaitTermination()
     want = vwap_buckets(trades).select("market_id", "ts", "mid_price", "volume")
     assert _rows(spark.read.parquet(str(tmp_path / "v")).select("market_id", "ts", "mid_price", "volume")) == _rows(want)
+
+
+class _Session:
+    """Just the settings that choose the stage folder."""
+
+    def __init__(self, master, named=None):
+        self.conf = {"spark.checkpoint.dir": named} if named else {}
+        self.sparkContext = self
+        self.master = master
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_stages_go_below_the_named_folder():
+    from tidemark.session import stage_folder
+    a, b = (stage_folder(_Session("yarn", "hdfs:///shared/")) for _ in range(2))
+    assert a.startswith("hdfs:///shared/tidemark-") and a != b
+    with pytest.raises(ValueError):
+        stage_folder(_Session("yarn"))

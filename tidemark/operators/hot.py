@@ -9,16 +9,27 @@ SALTS_CONF = "spark.tidemark.salts"
 DEFAULT_SALTS = 8
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Is the planner's size estimate of ``df`` within Spark's own broadcast limit?"""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= limit
+
+
+def _salts(fact: DataFrame, dim: DataFrame) -> int:
+    """1 where the dimension is small enough to be broadcast as it is, else the configured number."""
+    return 1 if fits_broadcast(dim) else int(fact.sparkSession.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
+
+
 def join_hot(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner",
              spread: list[str] | None = None) -> DataFrame:
     """Join so that one hot key is spread over several tasks.
 
-    Each fact row gets a salt from a hash of its own ``spread`` columns (its identity), and each
-    dimension row is repeated once per salt. The salt is a function of the row, so a re-run task
-    sends every row to the same place. When the dimension turns out small, adaptive execution
-    still replaces the shuffle by a size-checked broadcast.
+    A dimension within the broadcast limit is joined as it is. Otherwise each fact row gets a salt
+    from a hash of its own ``spread`` columns (its identity), and each dimension row is repeated once
+    per salt. The salt is a function of the row, so a re-run task sends every row to the same place.
     """
-    n = int(fact.sparkSession.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
+    n = _salts(fact, dim)
     if n <= 1:
         return fact.join(dim, on, how)
     cols = spread or [c for c in fact.columns if c not in on]
@@ -33,7 +44,7 @@ def attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
 
     ``small`` has the key columns and the new columns only.
     """
-    n = int(df.sparkSession.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
+    n = _salts(df, small)
     rest = [c for c in small.columns if c not in keys]
     s = small.select(*[F.col(k).alias(f"_s_{k}") for k in keys], *rest)
     cond = F.lit(True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.constants import SEED
 
+# ---- fixed values: benchmark quotas per topic, and where a shortfall is filled from ----
 SIBLINGS = {"politics": "geopolitics", "geopolitics": "politics", "crypto": "economics", "economics": "crypto",
             "sports": "entertainment", "entertainment": "sports"}
 TOPIC_QUOTAS = {"crypto": 8, "politics": 8, "sports": 8, "economics": 8, "geopolitics": 9, "entertainment": 9}

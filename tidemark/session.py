@@ -36,6 +36,8 @@ def stage_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's checkpoint folder; a temporary one only where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
