@@ -54,9 +54,9 @@ def sentences(text: str | None):
         if not tokens:
             continue
         run = ""
-        for t in [*tokens, "  "] if [*map(len, tokens)].count(1) > 2 else ():
-            if len(t) == 1:
-                run += t
+        for t in [*tokens, "  "] if [*map(len, tokens)].count(1) > 1 else ():
+            if len(t) < 4 and len(w := word(t)) == 1:
+                run += w
             else:
                 if len(run) > 2:
                     tokens.append(run)
