@@ -10,12 +10,13 @@ concatenates up the same tree.
 from __future__ import annotations
 
 import base64
+from array import array
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: runs up to this many bytes are leaves
 LEAF = 16
@@ -217,7 +218,23 @@ class Codec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-def _mapper(ranks, pattern: str, column: str, out: str, kind: pa.DataType, act):
+def _encoded(codec: Codec, column: pa.Array) -> pa.Array:
+    """Lists of ids, gathered in one flat array."""
+    flat, ends = array("i"), [0]
+    for text in column.to_pylist():
+        flat.extend(codec.encode(text))
+        ends.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
+
+
+def _decoded(codec: Codec, column: pa.Array) -> pa.Array:
+    """Bytes of each list of ids; NULL stays NULL."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+    valid = column.is_valid().to_pylist()
+    return pa.array([codec.decode(values[a:b].tolist()) if ok else None for ok, a, b in zip(valid, ends, ends[1:])], pa.binary())
+
+
+def _mapper(ranks, pattern: str, column: str, out: str, act):
     def run(batches):
         if "codec" not in ranks.value:  # the broadcast value stays with the Python worker, and the codec's memory with it
             ranks.value["codec"] = Codec(ranks.value["ranks"], pattern)
@@ -227,24 +244,24 @@ def _mapper(ranks, pattern: str, column: str, out: str, kind: pa.DataType, act):
             keep = [k for k, n in enumerate(b.schema.names) if n not in (column, out)]
             for start in range(0, b.num_rows, 512):  # bounds what is held as Python objects
                 s = b.slice(start, 512)
-                new = pa.array([act(codec, v) for v in s.column(at).to_pylist()], type=kind)
-                yield pa.RecordBatch.from_arrays([s.column(k) for k in keep] + [s.column(at), new], names=[b.schema.names[k] for k in keep] + [column, out])
+                yield pa.RecordBatch.from_arrays([s.column(k) for k in keep] + [s.column(at), act(codec, s.column(at))],
+                                                 names=[b.schema.names[k] for k in keep] + [column, out])
     return run
 
 
-def _with(df: DataFrame, path: str, pattern: str, column: str, out: str, kind, sql_kind: str, act) -> DataFrame:
+def _with(df: DataFrame, path: str, pattern: str, column: str, out: str, sql_kind: str, act) -> DataFrame:
     ranks = df.sparkSession.sparkContext.broadcast({"ranks": read_ranks(path)})  # the vocabulary: a fixed 50,256 tokens
     rest = [f for f in df.schema if f.name not in (column, out)] + [df.schema[column]]
     df = df.select(*[f"`{f.name}`" for f in rest])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + f", `{out}` {sql_kind}"
-    return df.mapInArrow(_mapper(ranks, pattern, column, out, kind, act), schema)
+    return df.mapInArrow(_mapper(ranks, pattern, column, out, act), schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids`` (array of int), the whole text's tokens. NULL and empty texts have none; every row stays; a column named ``ids`` is replaced."""
-    return _with(docs, path, pattern, text, ids, pa.list_(pa.int32()), "array<int>", lambda c, v: c.encode(v))
+    return _with(docs, path, pattern, text, ids, "array<int>", _encoded)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """Add ``decoded`` (binary), the bytes of the tokens. NULL ids give NULL; a column named ``decoded`` is replaced."""
-    return _with(tokens, path, pattern, ids, data, pa.binary(), "binary", lambda c, v: None if v is None else c.decode(v))
+    return _with(tokens, path, pattern, ids, data, "binary", _decoded)
