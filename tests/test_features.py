@@ -74,3 +74,26 @@ def test_attrition_counts_every_row(spark):
     df = spark.createDataFrame([("",)] * 3 + [("a",)] * 2 + [("b: x",)] * 4, "exclusion_reason string")
     got = [(r["stage"], r["n"], r["dropped"]) for r in au.filter_attrition(df, ["a", "b", "c"]).orderBy("step").collect()]
     assert got == [("initial", 9, 0), ("after_a", 7, 2), ("after_b", 3, 4), ("after_c", 3, 0)]
+
+
+def test_hot_joins_take_only_kinds_that_salting_leaves_right(spark):
+    import pytest
+
+    from tidemark.operators.hot import attach, join_hot
+    fact = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (None, 13)], "k int, v int")
+    dim = spark.createDataFrame([(1, "a"), (3, "c")], "k int, d string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    got = {}
+    for size in (limit, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        try:
+            for how in ("inner", "left", "left_semi", "left_anti"):
+                got.setdefault(how, []).append(sorted(map(str, join_hot(fact, dim, ["k"], how).collect())))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert all(a == b for a, b in got.values())
+    for how in ("right", "full"):
+        with pytest.raises(ValueError):
+            join_hot(fact, dim, ["k"], how)
+        with pytest.raises(ValueError):
+            attach(fact, dim, ["k"], how)

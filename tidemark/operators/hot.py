@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SALTS_CONF = "spark.tidemark.salts"
 DEFAULT_SALTS = 8
+KINDS = ("inner", "left", "left_semi", "left_anti")
 
 
 def fits_broadcast(df: DataFrame) -> bool:
@@ -28,7 +29,10 @@ def join_hot(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner",
     A dimension within the broadcast limit is joined as it is. Otherwise each fact row gets a salt
     from a hash of its own ``spread`` columns (its identity), and each dimension row is repeated once
     per salt. The salt is a function of the row, so a re-run task sends every row to the same place.
+    Only join kinds without unmatched dimension rows are taken: those would come out once per salt.
     """
+    if how not in KINDS:
+        raise ValueError(f"join_hot and attach take {', '.join(KINDS)}, not {how}")
     n = _salts(fact, dim)
     if n <= 1:
         return fact.join(dim, on, how)
@@ -44,6 +48,8 @@ def attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
 
     ``small`` has the key columns and the new columns only.
     """
+    if how not in KINDS:
+        raise ValueError(f"join_hot and attach take {', '.join(KINDS)}, not {how}")
     n = _salts(df, small)
     rest = [c for c in small.columns if c not in keys]
     s = small.select(*[F.col(k).alias(f"_s_{k}") for k in keys], *rest)
