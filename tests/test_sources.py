@@ -44,6 +44,15 @@ def test_tolerant_reader_and_resume(spark, tmp_path):
     assert sorted(r[0] for r in files.remaining(todo, done).collect()) == ["b", "c"]
 
 
+def test_lines_keep_the_order_of_files(spark, tmp_path):
+    for k, n in enumerate([10, 4000, 300]):  # of unequal size, so that Spark packs them in another order
+        (tmp_path / f"f{k}.jsonl").write_text("".join(f'{{"market_id":"m","status":"{k}-{i}"}}\n' for i in range(n)))
+    lines = files.read_lines(spark, str(tmp_path))
+    assert [r["status"] for r in files.tolerant_records(lines).collect()] == ["2-299"]
+    names = [r["line"] for r in lines.orderBy("line_no").collect()]
+    assert names == [f'{{"market_id":"m","status":"{k}-{i}"}}' for k, n in enumerate([10, 4000, 300]) for i in range(n)]
+
+
 def test_market_lines(spark):
     rows = [(2, '{"conditionId":"0x1","question":"later"}'),
             (1, '{"conditionId":"0x1","question":"Q","createdAt":"2025-01-01T00:00:00Z","outcomePrices":["1","0"],"clobTokenIds":"[\\"5\\",\\"6\\"]",'

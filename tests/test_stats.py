@@ -201,3 +201,12 @@ def test_quota_sample_draws_each_row_once(spark):
     assert len(got) == len({r["id"] for r in got})
     assert sorted(by["politics"]) == ["geopolitics"] * 5 + ["politics"] * 3
     assert len(by["geopolitics"]) == 9 and by["sports"] == ["sports"] * 8 and by["entertainment"] == ["sports"] * 4
+
+
+def test_places_follow_the_whole_order(spark):
+    from tidemark.operators.ranks import with_place
+    df = spark.range(5000).select(F.format_string("m%05d", "id").alias("m"), F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 1001).cast("double")).alias("x")).repartition(9)
+    got = {r["m"]: r["rank"] for r in with_place(df, "x", "m", "rank").collect()}
+    rows = sorted(((r["x"] is None, -(r["x"] or 0), r["m"]) for r in df.collect()))
+    assert got == {m: k + 1 for k, (_, _, m) in enumerate(rows)}
+    assert with_place(df.limit(0), "x", "m", "rank").count() == 0

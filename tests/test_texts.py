@@ -60,7 +60,9 @@ def test_outcome(spark, raw, expected):
 
 
 @pytest.mark.parametrize("raw, expected", [
-    ("0xaa_0x" + "0" * 56 + "ffffffff", 0x7FFFFFFF), ("0xaa-17", 17), ("2147483650", 2), ("", 0), ("abc-x", 0)])
+    ("0xaa_0x" + "0" * 56 + "ffffffff", 0x7FFFFFFF), ("0xaa-17", 17), ("2147483650", 2), ("", 0), ("abc-x", 0),
+    ("123456789012345678901234567890", 123456789012345678901234567890 % 2 ** 31), ("0xaa-2147483648", 2 ** 31), ("0xaa-5000000000", 5_000_000_000),
+    ("0xaa-" + "9" * 25, int("9" * 25) % 2 ** 31)])
 def test_log_index(spark, raw, expected):
     assert one(spark, raw, P.log_index) == expected
 
@@ -129,10 +131,26 @@ def test_settle_log(spark):
     df = spark.createDataFrame([("0x" + body, "0x" + "0" * 24 + "ab" * 20), ("0x00", "0x" + "0" * 24 + "cd" * 20)], "d string, t string")
     f = P.settle_log_fields(F.col("d"), F.col("t"))
     got = df.select(*[f[k].alias(k) for k in f]).collect()
-    assert got[0]["ancillary_text"] == text and got[0]["price"] == -1 and got[0]["proposer"] == "0x" + "ab" * 20
+    assert got[0]["ancillary_text"] == text and got[0]["price"] == "-1" and got[0]["proposer"] == "0x" + "ab" * 20
     assert got[1]["ancillary_text"] is None
 
 
+@pytest.mark.parametrize("n", [0, 1, -1, 10 ** 18, 2 * 10 ** 18, 2 ** 60, 2 ** 64 + 5, -2 * 10 ** 18, 10 ** 40, -10 ** 60, 2 ** 255 - 1, -2 ** 255])
+def test_signed_256_bit_words(spark, n):
+    assert one(spark, f"{n % 2 ** 256:064x}", P.signed_hex_text) == str(n)
+
+
+def test_ids_of_any_shape(spark):
+    long = "0x" + "ab" * 32
+    assert one(spark, f"res for {long} and id:4711, not x12 but 0x9f.", P.embedded_ids) == [long, "4711", "0x9f"]
+
+
+def test_topic_keywords_are_plain_text(spark):
+    topic = lambda q: one(spark, q, lambda c: T.classify_topic(F.lit("other"), F.lit(""), c))
+    assert topic("Curry assists o/u 7.5") == "sports" and topic("Will a new $sol token launch? fdv") == "crypto"
+    assert topic("Will Kanye tour?") == "entertainment" and topic("Chancellor of Germany") == "politics" and topic("Dow Jones above 40k") == "economics"
+
+
 def test_articles_match_substrings(spark):
     m = spark.createDataFrame([("m", "Will troops enter Ukraine?", datetime(2025, 1, 1, 12), datetime(2025, 1, 9))],
                               "market_id string, question string, t_open timestamp, t_resolve timestamp")

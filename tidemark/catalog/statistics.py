@@ -1,5 +1,7 @@
 """Population study, distributions, hazards, resampling and samples."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
@@ -270,11 +272,9 @@ def concat_dedupe(v):
 
 
 @query("ranked_list", "market_id rank:l", """
-    select market_id, row_number() over (order by ils desc nulls last, market_id) as rank from (select * from scored order by ils desc nulls last, market_id limit 100)""")
+    select market_id, row_number() over (order by ils desc nulls last, market_id) as rank from scored""")
 def ranked_list(v):
-    from pyspark.sql import Window
-    top = v.scored.orderBy(F.desc_nulls_last("ils"), "market_id").limit(100)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("ils"), "market_id")))  # 100 rows
+    return rk.with_place(v.scored, "ils", "market_id", "rank")
 
 
 _PROXY = SERIES + """,
@@ -336,39 +336,59 @@ def lambda_bootstrap_ci(v):
     return rs.interval(reps.withColumn("lam", 1.0 / F.col("mean")), CELL, "lam")
 
 
-_FORMS = "with " + _DELAYS + """,
-    st as (select category, subcategory, period, count(*) as n, avg(tau_days) as m, avg(ln(tau_days)) as ml, stddev_pop(ln(tau_days)) as sl from del group by all having count(*) >= 20),
+def _narrowed(k):
+    """SQL of one bisection round on 32 parts: the score of the Weibull shape rises, so the parts left of its root are counted."""
+    at = "lo + (hi - lo) * j / 32"
+    score = (f"list_sum(list_transform(ys, lambda y: y * exp(({at}) * y))) / list_sum(list_transform(ys, lambda y: exp(({at}) * y))) - 1 / ({at})")
+    return (f"w{k + 1} as (select category, subcategory, period, n, ml, ys, lo + (hi - lo) * j / 32 as lo, lo + (hi - lo) * (j + 1) / 32 as hi "
+            f"from (select *, len(list_filter(range(1, 32), lambda j: {score} <= 0)) as j from w{k}))")
+
+
+_ROUNDS = 8
+_FORMS = "with " + _DELAYS + f""",
+    st as (select category, subcategory, period, count(*) as n, avg(tau_days) as m, avg(ln(tau_days)) as ml, stddev_pop(ln(tau_days)) as sl, list(ln(tau_days)) as ls from del group by all having count(*) >= 20),
+    w0 as (select category, subcategory, period, n, ml, list_transform(ls, lambda x: x - ml) as ys, 0.02::double as lo, 60::double as hi from st),
+    {", ".join(map(_narrowed, range(_ROUNDS)))},
+    wb as (select *, (lo + hi) / 2 as k, ml + ln(list_avg(list_transform(ys, lambda y: exp((lo + hi) / 2 * y)))) / ((lo + hi) / 2) as ls from w{_ROUNDS}),
     fm as (select category, subcategory, period, n, 'exponential' as distribution, 1 as k, -n * (ln(m) + 1) as ll, m as scale, null::double as shape from st
-      union all select category, subcategory, period, n, 'lognormal', 2, -n * (ml + ln(sl) + 0.5 * ln(2 * pi()) + 0.5), exp(ml), sl from st)"""
+      union all select category, subcategory, period, n, 'lognormal', 2, -n * (ml + ln(sl) + 0.5 * ln(2 * pi()) + 0.5), exp(ml), sl from st
+      union all select category, subcategory, period, n, 'weibull', 2, n * (ln(k) - k * ls + (k - 1) * ml - 1), exp(ls), k from wb)"""
 
 
 @query("functional_form", _CELL_COLS + " distribution n:l log_lik:d aic:d bic:d", _FORMS + " select *, ll as log_lik, 2 * k - 2 * ll as aic, k * ln(n) - 2 * ll as bic from fm")
 def functional_form(v):
-    return fits.functional_forms(fits.positive_delays(v.population), weibull=False)
+    return fits.functional_forms(fits.positive_delays(v.population))
 
 
-@query("functional_form_weibull", _CELL_COLS + " distribution n:l log_lik:d scale:d shape:d")
+@query("functional_form_weibull", _CELL_COLS + " distribution n:l log_lik:d scale:d shape:d", _FORMS + " select *, ll as log_lik from fm where distribution = 'weibull'")
 def functional_form_weibull(v):
     return fits.functional_forms(fits.positive_delays(v.population)).where("distribution = 'weibull'")
 
 
 @query("functional_form_winner", _CELL_COLS + " winner aic_delta:d", _FORMS + """,
     a as (select *, 2 * k - 2 * ll as aic from fm)
-    select category, subcategory, period, arg_min(distribution, aic) as winner, round(max(aic) - min(aic), 3) as aic_delta from a group by all""")
+    select category, subcategory, period, arg_min(distribution, aic) as winner, round(list_sort(list(aic))[2] - min(aic), 3) as aic_delta from a group by all""")
 def functional_form_winner(v):
-    return fits.best_form(fits.functional_forms(fits.positive_delays(v.population), weibull=False))
+    return fits.best_form(fits.functional_forms(fits.positive_delays(v.population)))
+
 
+# the normal distribution as the series exp(-x^2) * sum 4^k k! x^(2k+1) / (2k+1)!, x = z / sqrt(2); beyond 8 it is 0 or 1 in 15 digits
+_Z = "ln(d.tau_days / f.scale) / f.shape"
+_PHI = f"""case when abs({_Z}) > 8 then case when {_Z} > 0 then 1 else 0 end else 0.5 + coalesce(sign({_Z}) / sqrt(pi()) * list_sum(list_transform(range(0, 160),
+      lambda k: exp(k * ln(4) + (2 * k + 1) * ln(nullif(abs({_Z}), 0) / sqrt(2)) + lgamma(k + 1) - lgamma(2 * k + 2) - pow({_Z}, 2) / 2))), 0) end"""
 
-@query("ks_statistic", _CELL_COLS + " ks:d n:l ks_pvalue:d", _FORMS + """,
-    r as (select d.category, d.subcategory, d.period, 1 - exp(-d.tau_days / f.scale) as cdf, row_number() over (partition by d.category, d.subcategory, d.period order by d.tau_days) as i, f.n
-      from del d join fm f on f.distribution = 'exponential' and f.category is not distinct from d.category and f.subcategory is not distinct from d.subcategory and f.period is not distinct from d.period),
-    k as (select category, subcategory, period, max(greatest(cdf - (i - 1) / n::double, i / n::double - cdf)) as ks, max(n) as n from r group by all),
+
+@query("ks_statistic", _CELL_COLS + " distribution ks:d n:l ks_pvalue:d", _FORMS + f""",
+    r as (select d.category, d.subcategory, d.period, f.distribution, case f.distribution when 'exponential' then 1 - exp(-d.tau_days / f.scale)
+        when 'weibull' then 1 - exp(-pow(d.tau_days / f.scale, f.shape)) else {_PHI} end as cdf,
+        row_number() over (partition by d.category, d.subcategory, d.period, f.distribution order by d.tau_days) as i, f.n
+      from del d join fm f on f.category is not distinct from d.category and f.subcategory is not distinct from d.subcategory and f.period is not distinct from d.period),
+    k as (select category, subcategory, period, distribution, max(greatest(cdf - (i - 1) / n::double, i / n::double - cdf)) as ks, max(n) as n from r group by all),
     x as (select *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * ks as x from k)
     select *, case when x < 0.2 then 1 else greatest(0, least(1, (select sum(2 * pow(-1, j - 1) * exp(-2 * j * j * x * x)) from (select unnest(range(1, 41)) as j) q))) end as ks_pvalue from x""")
 def ks_statistic(v):
     d = fits.positive_delays(v.population)
-    forms = fits.functional_forms(d, weibull=False).where("distribution = 'exponential'")
-    return fits.ks_statistic(d, forms)
+    return fits.ks_statistic(d, fits.functional_forms(d))
 
 
 @query("ks_parametric_bootstrap", _CELL_COLS + " distribution ks:d n:l ks_pvalue_bootstrap:d")
@@ -390,17 +410,19 @@ def mann_whitney_u(v):
 @query("mann_whitney_p", "p:d r:d verdict")
 def mann_whitney_p(v):
     m = fits.mann_whitney(v.population, "resolution_type", "ils_dl", "event_resolved", "unclassifiable")
-    return m.withColumn("verdict", au.comparison_verdict(F.col("p"), F.lit(-0.01), F.lit(0.01)))
+    return au.one_row(m, _median_diff_interval(v)).withColumn("verdict", au.comparison_verdict(F.col("p"), F.col("ci_lo"), F.col("ci_hi")))
 
 
 # --------------------------------------------------------------- resampling
-@query("bootstrap_engine", _CELL_COLS + " b:l mean:d", "with " + _COMP + """,
-    u as (select c.*, b, (('0x' || substring(md5('20260430|' || b || '|' || market_id), 1, 8))::bigint) / 4294967296.0::double as u from comp c cross join (select unnest(range(1, 41)) as b)),
-    w as (select *, case when u < 0.36787944117144233 then 0 when u < 0.7357588823428847 then 1 when u < 0.9196986029286058 then 2 when u < 0.9810118431238462 then 3
-      when u < 0.9963401531726563 then 4 when u < 0.9994058151824183 then 5 when u < 0.9999167588507119 then 6 when u < 0.9999897508033253 then 7 when u < 0.999998874797402 then 8 else 9 end as k from u)
-    select category, subcategory, period, b, sum(k * ils_dl) / sum(k) as mean from w group by all""")
+_POISSON = " ".join(f"when u < {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r} then {k}" for k in range(14))
+
+
+@query("bootstrap_engine", _CELL_COLS + " b:l mean:d", "with " + _COMP + f""",
+    u as (select c.*, b, (('0x' || substring(md5('20260430|' || b || '|' || market_id), 1, 8))::bigint) / 4294967296.0::double as u from comp c cross join (select unnest(range(1, {C.BOOTSTRAP_B} + 1)) as b)),
+    w as (select *, case {_POISSON} end as k from u)
+    select category, subcategory, period, b, sum(k * ils_dl) / sum(k) as mean from w group by all having sum(k) > 0""")
 def bootstrap_engine(v):
-    return rs.replicate_means(pop.computed(v.population), CELL, "market_id", "ils_dl", replicates=40, portable=True)
+    return rs.replicate_means(pop.computed(v.population), CELL, "market_id", "ils_dl", replicates=C.BOOTSTRAP_B, portable=True)
 
 
 @query("bootstrap_ils_ci", "market_id n_trades:l ci_low:d ci_high:d")
@@ -438,15 +460,21 @@ def fraction_positive_ci(v):
     return d.select("bucket", "period", "frac_positive", "ci.ci_low", "ci.ci_high")
 
 
-@query("bootstrap_median_diff", "median_diff:d ci_lo:d ci_hi:d n_bootstrap:l")
-def bootstrap_median_diff(v):
+def _median_diff_interval(v):
     two = v.population.where("resolution_type in ('event_resolved', 'unclassifiable')")
     reps = rs.percentile_replicates(two, ["resolution_type"], "ils_dl", {"median": 0.5})
     side = lambda t: F.max(F.when(F.col("resolution_type") == t, F.col("value")))
     diff = reps.groupBy("b").agg((side("event_resolved") - side("unclassifiable")).alias("d"))
     n = C.CELL_BOOTSTRAP_B
-    ci = diff.agg(F.sort_array(F.collect_list("d")).alias("d")).select(  # one value per replicate
-        F.element_at("d", int(0.025 * n) + 1).alias("ci_lo"), F.element_at("d", int(0.975 * n) + 1).alias("ci_hi"), F.size("d").alias("n_bootstrap"))
+    return diff.agg(F.sort_array(F.collect_list("d")).alias("d")).select(  # one value per replicate
+        F.try_element_at("d", F.lit(int(0.025 * n) + 1)).alias("ci_lo"), F.try_element_at("d", F.lit(int(0.975 * n) + 1)).alias("ci_hi"),
+        F.size("d").alias("n_bootstrap"))
+
+
+@query("bootstrap_median_diff", "median_diff:d ci_lo:d ci_hi:d n_bootstrap:l")
+def bootstrap_median_diff(v):
+    ci = _median_diff_interval(v)
+    two = v.population.where("resolution_type in ('event_resolved', 'unclassifiable')")
     med = rk.percentiles(two, ["resolution_type"], "ils_dl", {"m": 0.5}).agg(
         (F.max(F.when(F.col("resolution_type") == "event_resolved", F.col("m"))) - F.max(F.when(F.col("resolution_type") == "unclassifiable", F.col("m")))).alias("median_diff"))
     return au.one_row(ci, med)
@@ -500,11 +528,16 @@ def _pool(v):
 
 @query("fixture_export", "marketId category categoryRule resolutionOutcome:l resolvedAt baselineDate baselineSource volumeUsdc:d tradeCount:l eventGroupId isBucketMarket:b", f"""
     with s as ({_QUOTA_SQL}), n as (select market_id, count(*) as n from trades group by all), q as (select distinct p.market_id from prices p join markets m on m.market_id = p.market_id
-      where p.ts < m.t_resolve - interval 24 hour)
+      where p.ts < m.t_resolve - interval 24 hour),
+    g as (select event_group from markets m where t_resolve >= timestamp '2024-01-01' and outcome in (0, 1) and volume >= {C.MIN_VOLUME} and not coalesce(neg_risk, false)
+      and m.market_id in (select market_id from trades) group by all having count(*) >= 3 and sum(outcome) = 1)
     select m.market_id as "marketId", s.topic as category, m.category as "categoryRule", m.outcome as "resolutionOutcome", strftime(m.t_resolve, '%Y-%m-%dT%H:%M:%SZ') as "resolvedAt",
       strftime(m.t_resolve - interval 24 hour, '%Y-%m-%dT%H:%M:%SZ') as "baselineDate", case when q.market_id is not null then 'quote_mid' else 'trade_vwap' end as "baselineSource",
-      m.volume as "volumeUsdc", n.n as "tradeCount", m.event_group as "eventGroupId", m.neg_risk as "isBucketMarket"
+      m.volume as "volumeUsdc", n.n as "tradeCount", m.event_group as "eventGroupId", coalesce(m.neg_risk, false)
+        or (m.t_resolve >= timestamp '2024-01-01' and m.volume >= {C.MIN_VOLUME} and coalesce(m.event_group in (select event_group from g where event_group is not null), false)) as "isBucketMarket"
     from s join markets m on m.market_id = s.market_id left join n on n.market_id = s.market_id left join q on q.market_id = s.market_id""")
 def fixture_export(v):
     s = sa.quota_sample(_pool(v), "topic", "market_id", _QUOTAS)
-    return files.fixture_rows(s.join(au.per_market(v.trades, "n_trades"), "market_id", "left").withColumn("is_bucket_market", F.col("neg_risk")))
+    groups = au.exclusive_groups(v.markets, v.trades, F.expr("timestamp '2024-01-01'")).select("market_id", F.col("is_bucket_market").alias("_bucket"))
+    s = s.join(au.per_market(v.trades, "n_trades"), "market_id", "left").join(groups, "market_id", "left")
+    return files.fixture_rows(s.withColumn("is_bucket_market", F.coalesce("neg_risk", F.lit(False)) | F.coalesce("_bucket", F.lit(False))))

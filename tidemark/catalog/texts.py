@@ -176,7 +176,7 @@ _TAIL = "('0x' || right({}, 8))::bigint % 2147483648"
 _LOG_INDEX = f"""case when contains(id, '_') then case when regexp_matches(regexp_extract(id, '^[^_]*_(.*)$', 1), '^0x[0-9a-fA-F]+$')
     then {_TAIL.format('id')} else {_TAIL.format("md5(regexp_extract(id, '^[^_]*_(.*)$', 1))")} end
     when regexp_matches(id, '-[0-9]+$') then regexp_extract(id, '-([0-9]+)$', 1)::bigint
-    when regexp_matches(id, '^[0-9]+$') then id::bigint % 2147483648 else 0 end"""
+    when regexp_matches(id, '^[0-9]+$') then (id::hugeint % 2147483648)::bigint else 0 end"""
 
 
 @query("log_index", "ingest_no:l idx:l", f"select ingest_no, {_LOG_INDEX} as idx from (select ingest_no, line->>'$.id' as id from raw_fills)")
@@ -252,12 +252,12 @@ def token_cost(v):
     return rec.token_cost(v.answers)
 
 
-@query("decode_settle_log", "num:l txt price:l proposer", """
+@query("decode_settle_log", "num:l txt price proposer", """
     with w as (select num, topic2, substring(data, 3) as b from settle_logs),
     o as (select *, ('0x' || right(substring(b, 129, 64), 15))::bigint as off, substring(b, 193, 64) as pr from w),
     n as (select *, ('0x' || right(substring(b, off * 2 + 1, 64), 15))::bigint as len from o)
     select num, decode(unhex(substring(b, off * 2 + 65, len * 2))) as txt,
-      case when regexp_matches(pr, '^[89a-f]') then -1 else ('0x' || right(pr, 15))::bigint end as price,
+      case when regexp_matches(pr, '^[89a-f]') then -(('0x' || translate(pr, '0123456789abcdef', 'fedcba9876543210'))::hugeint + 1) else ('0x' || pr)::hugeint end::varchar as price,
       '0x' || substring(topic2, 27) as proposer from n""")
 def decode_settle_log(v):
     f = P.settle_log_fields(F.col("data"), F.col("topic2"))

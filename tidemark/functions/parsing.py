@@ -67,8 +67,8 @@ def pick_evidence_url(text: Column) -> Column:
 
 
 def embedded_ids(text: Column) -> Column:
-    """All 32-byte hex ids in a text."""
-    return F.regexp_extract_all(text, F.lit("(0x[0-9a-f]{64})"), 1)
+    """All tokens of a text that may be a market id: hex numbers with 0x, and runs of decimal digits."""
+    return F.regexp_extract_all(text, F.lit(r"(0x[0-9a-f]{64}|(?<![0-9a-z])(?:0x[0-9a-f]+|\d+)(?![0-9a-z]))"), 1)
 
 
 def outcome_from_oracle_price(c: Column) -> Column:
@@ -79,23 +79,31 @@ def outcome_from_oracle_price(c: Column) -> Column:
 def _hex_tail(c: Column) -> Column:
     """Last 8 hex digits modulo 2^31: the value of the whole number modulo 2^31."""
     tail = F.right(F.lpad(c, 64, "0"), F.lit(8))
-    return (F.conv(tail, 16, 10).cast("bigint") % _MOD31).cast("int")
+    return F.conv(tail, 16, 10).cast("bigint") % _MOD31
+
+
+def _digits_mod31(c: Column) -> Column:
+    """A decimal number of any length modulo 2^31, nine digits at a time."""
+    pieces = F.ceil(F.length(c) / 9).cast("int")
+    padded = F.lpad(c, pieces * 9, F.lit("0"))
+    return F.aggregate(F.sequence(F.lit(0), pieces - 1), F.lit(0).cast("bigint"), lambda acc, i: (
+        acc * 1_000_000_000 + F.substr(padded, i * 9 + 1, F.lit(9)).try_cast("bigint")) % _MOD31)
 
 
 def log_index(raw_id: Column) -> Column:
-    """Row number of a fill inside its transaction, from the three id shapes in use.
+    """Row number (bigint) of a fill inside its transaction, from the three id shapes in use.
 
-    ``tx_0xhash``: hash modulo 2^31; ``tx_other``: stable digest of the suffix; ``tx-n``: n;
-    a plain number modulo 2^31; anything else 0.
+    ``tx_0xhash``: hash modulo 2^31; ``tx_other``: stable digest of the suffix; ``tx-n``: n, or n modulo 2^31 where
+    it exceeds a bigint; a plain number of any length modulo 2^31; anything else 0.
     """
     suffix = F.regexp_extract(raw_id, "^[^_]*_(.*)$", 1)
     dash = F.regexp_extract(raw_id, r"-(\d+)$", 1)
     hex_ok = suffix.rlike("^0x[0-9a-fA-F]+$")
     return (F.when(raw_id.contains("_"), F.when(hex_ok, _hex_tail(F.substr(suffix, F.lit(3))))
                    .otherwise(_hex_tail(F.md5(suffix))))
-            .when(raw_id.contains("-") & (dash != ""), dash.try_cast("int"))
-            .when(raw_id.rlike(r"^\d{1,18}$"), (raw_id.try_cast("bigint") % _MOD31).cast("int"))
-            .otherwise(0))
+            .when(raw_id.contains("-") & (dash != ""), F.coalesce(dash.try_cast("bigint"), _digits_mod31(dash)))
+            .when(raw_id.rlike(r"^\d+$"), _digits_mod31(raw_id))
+            .otherwise(F.lit(0).cast("bigint")))
 
 
 def pseudo_log_index(*parts: Column) -> Column:
@@ -113,10 +121,37 @@ def format_iso(ts: Column) -> Column:
         .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
 
 
+def signed_hex_text(word: Column) -> Column:
+    """A 256-bit two's complement word (64 hex digits) as exact decimal text.
+
+    Sixteen 16-bit pieces run through a number held in nine decimal digits a limb, lowest limb first; a negative word is
+    inverted piece by piece, and one is added at the end.
+    """
+    limb, limbs = 1_000_000_000, 9
+    negative = F.substr(word, F.lit(1), F.lit(1)).rlike("[89a-fA-F]")
+    big = lambda n: F.lit(n).cast("bigint")
+
+    def times_plus(number: Column, factor: int, plus: Column) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("out"), plus.alias("carry"))
+        return F.aggregate(number, start, lambda s, x: F.struct(
+            F.array_append(s["out"], (x * factor + s["carry"]) % limb).alias("out"),
+            F.floor((x * factor + s["carry"]) / limb).cast("bigint").alias("carry")), lambda s: s["out"])
+
+    def piece(i: Column) -> Column:
+        p = F.conv(F.substr(word, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint")
+        return F.when(negative, 65535 - p).otherwise(p)
+
+    number = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.array_repeat(big(0), limbs), lambda acc, i: times_plus(acc, 65536, piece(i)))
+    number = times_plus(number, 1, F.when(negative, big(1)).otherwise(big(0)))
+    digits = F.array_join(F.transform(F.reverse(number), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+    text = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.when(word.rlike("^[0-9a-fA-F]{64}$"), F.when(negative, F.concat(F.lit("-"), text)).otherwise(text))
+
+
 def settle_log_fields(data: Column, topic2: Column) -> dict[str, Column]:
     """Fields of a settlement log: text at its dynamic offset, signed price, proposer.
 
-    A 256-bit price is judged by its sign digit and its low 64 bits; oracle prices are 0 or 1e18.
+    ``price`` is the whole 256-bit number as decimal text, since no Spark number holds its 77 digits.
     """
     body = F.substr(data, F.lit(3))
     word = lambda at: F.substr(body, at * 64 + 1, F.lit(64))
@@ -124,12 +159,10 @@ def settle_log_fields(data: Column, topic2: Column) -> dict[str, Column]:
     offset = num(word(F.lit(2)))
     length = num(F.substr(body, (offset * 2 + 1).cast("int"), F.lit(64)))
     text = F.substr(body, (offset * 2 + 65).cast("int"), (length * 2).cast("int"))
-    price = word(F.lit(3))
-    negative = F.substr(price, F.lit(1), F.lit(1)).rlike("[89a-fA-F]")
     long_enough = F.length(body) >= 320
     return {
         "ancillary_hex": F.when(long_enough, F.concat(F.lit("0x"), text)),
         "ancillary_text": F.when(long_enough, decode_hex_text(text)),
-        "price": F.when(long_enough, F.when(negative, F.lit(-1).cast("bigint")).otherwise(num(price))),
+        "price": F.when(long_enough, signed_hex_text(word(F.lit(3)))),
         "proposer": F.concat(F.lit("0x"), F.substr(topic2, F.lit(27))),
     }

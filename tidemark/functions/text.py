@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ def classify_topic(category: Column, raw: Column, question: Column,
     text = F.concat(F.lit(" "), F.lower(F.concat_ws(" ", F.nullif(raw, F.lit("")), F.nullif(question, F.lit("")))), F.lit(" "))
     out = None
     for name, words in keywords:
-        pattern = "|".join(w.replace("+", r"\+").replace("&", r"\&") for w in words)
-        out = F.when(text.rlike(pattern), name) if out is None else out.when(text.rlike(pattern), name)
+        found = reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+        out = F.when(found, name) if out is None else out.when(found, name)
     for name, topic in topics.CATEGORY_TOPIC.items():
         out = out.when(category == name, topic)
     return out.otherwise(topics.DEFAULT_TOPIC)

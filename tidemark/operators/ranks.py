@@ -91,6 +91,21 @@ def with_ranks(df: DataFrame, groups: list[str], value: str, prefix: str = "") -
     return out.drop("_rv")
 
 
+def with_place(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
+    """Add the 1-based place of every row in descending order of ``value``, NULL last, ties by ``tie``.
+
+    The order is a range sort: its partitions follow each other, so a row's place is its place in the partition plus the
+    rows of the partitions before it, whose counts are one small row each.
+    """
+    from tidemark.session import staged
+    rows = df.orderBy(F.desc_nulls_last(value), tie).withColumn("_at", F.monotonically_increasing_id())
+    rows = staged(rows.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))))
+    before = (rows.groupBy("_part").agg(F.count("*").alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    return (rows.join(before.select("_part", "_before"), "_part")
+            .withColumn(name, F.col("_before") + F.col("_in") + 1).drop("_part", "_at", "_in", "_before"))
+
+
 def moments(value: Column) -> list[Column]:
     """Aggregates over ranked rows (value, n): mean, population deviation, skewness, excess kurtosis.
 

@@ -9,6 +9,7 @@ function of seed, group and replicate.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from tidemark.constants import BOOTSTRAP_B, CELL_BOOTSTRAP_B, MIN_VALID_SHARE, SEED
 from tidemark.operators.ranks import ranked_values
 
-_CUTS = list(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)]))
+# beyond 17 the probability is below the step of a double uniform number
+_CUTS = list(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)]))
 
 
 def poisson_weight(u: Column) -> Column:
@@ -64,11 +66,9 @@ def interval(reps: DataFrame, groups: list[str], value: str, low: float = 0.025,
 
 
 def _rng(seed: int, *parts) -> np.random.Generator:
-    words = [seed]
-    for p in parts:
-        words.append(int.from_bytes(str(p).encode()[-8:].rjust(8, b"\0"), "big"))
-        words.append(sum(bytearray(str(p).encode())))
-    return np.random.default_rng(words)
+    """Generator seeded by a digest of all parts, each with its length."""
+    whole = b"".join(len(t).to_bytes(8, "big") + t for t in (str(p).encode() for p in (seed, *parts)))
+    return np.random.default_rng(int.from_bytes(hashlib.sha256(whole).digest(), "big"))
 
 
 def _percentile_ranks(n: int, p: float, size: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, float]:

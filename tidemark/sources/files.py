@@ -10,8 +10,14 @@ CHECKPOINT_SCHEMA = ("market_id string, status string, t_event string, confidenc
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with a number that follows file and line order (gaps between partitions are fine)."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    """Text lines with an orderable place ``line_no``: file, start of the split in it, and the line's place in the split.
+
+    Spark packs splits into partitions by size, so a number that follows partitions alone would not follow files.
+    A split is read by one task in line order, so its lines are ordered among themselves.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("at"))
+    return spark.read.text(path).select(place.alias("line_no"), F.col("value").alias("line"))
 
 
 def tolerant_records(lines: DataFrame, accept: Column | None = None) -> DataFrame:
@@ -75,5 +81,5 @@ def fixture_rows(sample: DataFrame) -> DataFrame:
         F.col("outcome").alias("resolutionOutcome"), format_iso(F.col("t_resolve")).alias("resolvedAt"),
         format_iso(F.col("cutoff")).alias("baselineDate"), F.round(F.col("baseline_price").cast("double"), 6).alias("baselineMidPrice"),
         F.col("baseline_source").alias("baselineSource"), F.col("volume").cast("double").alias("volumeUsdc"),
-        F.col("n_trades").alias("tradeCount"), F.lit(None).cast("double").alias("score"),
+        F.col("n_trades").alias("tradeCount"), F.lit(None).cast("double").alias("ilsScore"),
         F.col("event_group").alias("eventGroupId"), F.col("is_bucket_market").alias("isBucketMarket"))
