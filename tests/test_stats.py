@@ -210,3 +210,10 @@ def test_places_follow_the_whole_order(spark):
     rows = sorted(((r["x"] is None, -(r["x"] or 0), r["m"]) for r in df.collect()))
     assert got == {m: k + 1 for k, (_, _, m) in enumerate(rows)}
     assert with_place(df.limit(0), "x", "m", "rank").count() == 0
+
+
+def test_error_function(spark):
+    xs = [k / 97 for k in range(-700, 2520)] + [0.0, 1e-12, 1.0, 6.28, 6.29, 27.5, 40.0, -30.0]
+    df = spark.createDataFrame([(x,) for x in [*xs, None]], "x double")
+    for x, e in df.select("x", fits.erfc(F.col("x"))).collect():
+        assert e is None if x is None else e == pytest.approx(math.erfc(x), rel=1e-12, abs=1e-300)

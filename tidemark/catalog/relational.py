@@ -178,7 +178,8 @@ def _exists(key, table, kind):
 
     @query(key, "market_id", sql)
     def run(v, table=table, kind=kind):
-        return v.markets.select("market_id").join(getattr(v, table).select("market_id"), "market_id", kind)
+        # distinct ids: what is shuffled grows with the markets, not with the facts
+        return v.markets.select("market_id").join(getattr(v, table).select("market_id").distinct(), "market_id", kind)
 
 
 _exists("semi_has_prices", "prices", "left_semi")

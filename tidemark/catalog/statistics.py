@@ -49,7 +49,7 @@ _POP_SQL = SERIES.replace("series as (select market_id, ts, mid_price::double as
         when s.ils is null then 'ils_null: ' || s.flags else '' end as reason from base b left join scores s on s.market_id = b.market_id)
 """
 _POP_COLS = ("market_id category subcategory period resolution_type t_event:t tau_days:d volume_usdc:d p_open:d p_event:d p_resolve:l ils_dl:d ils_dl_30min:d "
-             "ils_dl_2h:d ils_dl_6h:d ils_dl_24h:d in_scope:b exclusion_reason")
+             "ils_dl_2h:d ils_dl_6h:d ils_dl_24h:d in_scope:b exclusion_reason ils_dl_ci_low:d ils_dl_ci_high:d")
 
 
 def _events(v):
@@ -57,15 +57,33 @@ def _events(v):
     return best_news(v.news).select("market_id", F.col("t_news").alias("t_event"), "confidence", F.lit(1).alias("n_sources"))
 
 
-@query("population_ils", _POP_COLS, _POP_SQL + f"""
-    select market_id, category, case when category = 'regulatory_decision' then {_SUB} end as subcategory,
+_POISSON = " ".join(f"when u < {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r} then {k}" for k in range(14))
+# the weighted resample of every in-scope market's YES trades, repeated by the shared digest
+_POP_CI = f""",
+    yes as (select t.market_id, t.tx_hash || ':' || t.log_index as id, t.price::double as x, t.notional_usdc::double as w from trades t
+            join casc c on c.market_id = t.market_id and c.reason = '' where t.outcome_index = 1 and t.ts between c.t_open and c.t_event),
+    yes_n as (select market_id, count(*) as n_trades from yes group by all),
+    drawn as (select *, case {_POISSON} end as k from (select yes.*, b, (('0x' || substring(md5('20260430|' || b || '|' || id), 1, 8))::bigint) / 4294967296.0::double as u
+              from yes cross join (select unnest(range(1, {C.BOOTSTRAP_B} + 1)) as b))),
+    reps as (select market_id, b, sum(k * w * x) / nullif(sum(k * w), 0) as m from drawn where k > 0 group by all),
+    ci as (select r.market_id, count((m - po) / nullif(outcome - po, 0)) as n_valid, quantile_cont((m - po) / nullif(outcome - po, 0), 0.025) as lo,
+           quantile_cont((m - po) / nullif(outcome - po, 0), 0.975) as hi from reps r join casc c on c.market_id = r.market_id group by all),
+    ok as (select c.market_id, round(lo, 6) as lo, round(hi, 6) as hi from casc c join ci on ci.market_id = c.market_id join yes_n n on n.market_id = c.market_id
+           where n_trades >= 50 and abs(outcome - po) >= 0.05 and n_valid >= {C.BOOTSTRAP_B} * {C.MIN_VALID_SHARE})
+"""
+
+
+@query("population_ils", _POP_COLS, _POP_SQL + _POP_CI + f"""
+    select casc.market_id, category, case when category = 'regulatory_decision' then {_SUB} end as subcategory,
       case when t_resolve::date < date '2024-11-01' then 'pre_2024' else 'post_2024' end as period, resolution_type,
       case when pre = '' and conf >= 0.7 then t_event end as t_event, case when pre = '' and conf >= 0.7 then tau end as tau_days, volume as volume_usdc,
       case when reason in ('', 'edge_effect', 'trivial_resolution') then po end as p_open, case when reason = '' then pe end as p_event, outcome as p_resolve,
       case when reason = '' then ils0 end as ils_dl, case when reason = '' then w1 end as ils_dl_30min, case when reason = '' then w2 end as ils_dl_2h,
-      case when reason = '' then w3 end as ils_dl_6h, case when reason = '' then w4 end as ils_dl_24h, reason = '' as in_scope, reason as exclusion_reason from casc""")
+      case when reason = '' then w3 end as ils_dl_6h, case when reason = '' then w4 end as ils_dl_24h, reason = '' as in_scope,
+      case when reason = '' and ok.lo is null then 'low_trade_count' else reason end as exclusion_reason, ok.lo as ils_dl_ci_low, ok.hi as ils_dl_ci_high
+      from casc left join ok on ok.market_id = casc.market_id""")
 def population_ils(v):
-    return pop.population_scores(v.markets, _events(v), v.prices, v.trades)
+    return pop.with_intervals(staged(pop.population_scores(v.markets, _events(v), v.prices, v.trades)), v.trades, portable=True)
 
 
 _REASONS = ["deadline_NO", "low_confidence_t_event", "negative_tau", "no_quote_coverage", "ils_compute_error", "edge_effect", "trivial_resolution", "ils_null"]
@@ -414,8 +432,6 @@ def mann_whitney_p(v):
 
 
 # --------------------------------------------------------------- resampling
-_POISSON = " ".join(f"when u < {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r} then {k}" for k in range(14))
-
 
 @query("bootstrap_engine", _CELL_COLS + " b:l mean:d", "with " + _COMP + f""",
     u as (select c.*, b, (('0x' || substring(md5('20260430|' || b || '|' || market_id), 1, 8))::bigint) / 4294967296.0::double as u from comp c cross join (select unnest(range(1, {C.BOOTSTRAP_B} + 1)) as b)),

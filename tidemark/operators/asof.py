@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.hot import attach
+
 _DAY = 86400
 
 
@@ -45,23 +47,35 @@ def nearest_within(lookups: DataFrame, facts: DataFrame, key: str, t: str, ts: s
 
 def first_at_or_after(lookups: DataFrame, facts: DataFrame, key: str, t_lo: str, t_hi: str, ts: str,
                       value: str, fact_key: str | None = None) -> DataFrame:
-    """First fact in [t_lo, t_hi]: facts of the first day, then one earliest fact per later day."""
+    """First fact in [t_lo, t_hi]: facts of the first day, else the earliest fact of the next day that has any.
+
+    A lookup stays one row however many days its interval spans: the next day's fact is carried over days, not looked for in each.
+    """
     cols = lookups.columns
     right = _facts(facts, fact_key or key, ts, value).withColumn("_d", _bucket(F.col("_ts"), _DAY))
-    daily = right.groupBy("_k", "_d").agg(F.min(F.struct("_ts", "_v")).alias("_first"))
-    d_lo, d_hi = _bucket(F.col(t_lo), _DAY), _bucket(F.col(t_hi), _DAY)
-    same = (lookups.withColumn("_d", d_lo)
-            .join(right, "_d").where((F.col(key) == F.col("_k")) & (F.col("_ts") >= F.col(t_lo))
-                                     & (F.col("_ts") <= F.col(t_hi)))
+    placed = lookups.withColumn("_k", F.col(key)).withColumn("_d", _bucket(F.col(t_lo), _DAY))
+    same = (placed.join(right, ["_k", "_d"]).where((F.col("_ts") >= F.col(t_lo)) & (F.col("_ts") <= F.col(t_hi)))
             .select(*cols, F.struct("_ts", "_v").alias("_c")))
-    later = (lookups.where(d_hi > d_lo).withColumn("_d", F.explode(F.sequence(d_lo + 1, d_hi)))
-             .join(daily, "_d").where((F.col(key) == F.col("_k")) & (F.col("_first._ts") <= F.col(t_hi)))
-             .select(*cols, F.col("_first").alias("_c")))
-    none = lookups.select(*cols, F.lit(None).cast(same.schema["_c"].dataType).alias("_c"))
-    hit = same.unionByName(later).unionByName(none).groupBy(*cols).agg(F.min("_c").alias("_hit"))
+    later = _carried(placed, right, cols).select(*cols, F.when(F.col("_next._ts") <= F.col(t_hi), F.col("_next")).alias("_c"))
+    hit = same.unionByName(later).groupBy(*cols).agg(F.min("_c").alias("_hit"))
     return _unpack(hit, cols, value)
 
 
+def _carried(placed: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
+    """Every lookup row (``placed`` adds its ``_k`` and ``_d``) with ``_prev``, the last fact of an earlier day, and ``_next``, the first of a later one.
+
+    The windows run over one row per (key, day), from the facts and the asked days, so they grow with calendar time alone.
+    """
+    pt = F.struct("_ts", "_v")
+    daily = right.groupBy("_k", "_d").agg(F.min(pt).alias("_first"), F.max(pt).alias("_last"))
+    days = (daily.unionByName(placed.select("_k", "_d").distinct(), allowMissingColumns=True)
+            .groupBy("_k", "_d").agg(F.max("_first").alias("_first"), F.max("_last").alias("_last")))
+    up = Window.partitionBy("_k").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("_k").orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)
+    line = days.select("_k", "_d", F.last("_last", ignorenulls=True).over(up).alias("_prev"), F.last("_first", ignorenulls=True).over(down).alias("_next"))
+    return attach(placed, line, ["_k", "_d"], "left", cols)
+
+
 def neighbours(lookups: DataFrame, facts: DataFrame, key: str, t: str, ts: str, value: str) -> DataFrame:
     """Lookup rows with the last fact at or before ``t`` (``prev``) and the first at or after it (``next``).
 
@@ -72,19 +86,11 @@ def neighbours(lookups: DataFrame, facts: DataFrame, key: str, t: str, ts: str,
     cols = lookups.columns
     pt = F.struct("_ts", "_v")
     right = _facts(facts, key, ts, value).withColumn("_d", _bucket(F.col("_ts"), _DAY))
-    daily = right.groupBy("_k", "_d").agg(F.min(pt).alias("_first"), F.max(pt).alias("_last"))
-    same = (lookups.withColumn("_d", _bucket(F.col(t), _DAY))
-            .join(right, "_d").where(F.col(key) == F.col("_k"))
+    placed = lookups.withColumn("_k", F.col(key)).withColumn("_d", _bucket(F.col(t), _DAY))
+    same = (placed.join(right, ["_k", "_d"])
             .groupBy(*cols).agg(F.max(F.when(F.col("_ts") <= F.col(t), pt)).alias("prev"),
                                 F.min(F.when(F.col("_ts") >= F.col(t), pt)).alias("next")))
-    asked = lookups.select(F.col(key).alias("_k"), _bucket(F.col(t), _DAY).alias("_d"),
-                           F.struct(*cols).alias("_row"))
-    line = daily.unionByName(asked, allowMissingColumns=True)
-    up = Window.partitionBy("_k").orderBy("_d").rangeBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("_k").orderBy((-F.col("_d")).alias("_nd")).rangeBetween(Window.unboundedPreceding, -1)
-    other = (line.withColumn("prev", F.last("_last", ignorenulls=True).over(up))
-             .withColumn("next", F.last("_first", ignorenulls=True).over(down))
-             .where(F.col("_row").isNotNull()).select("_row.*", "prev", "next"))
+    other = _carried(placed, right, cols).select(*cols, F.col("_prev").alias("prev"), F.col("_next").alias("next"))
     return same.unionByName(other).groupBy(*cols).agg(F.max("prev").alias("prev"), F.min("next").alias("next"))
 
 

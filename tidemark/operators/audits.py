@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.operators.features import aligned_wallets, top_n
 from tidemark.operators.ranks import percentiles
+from tidemark.session import staged
 
 
 def counts_by(df: DataFrame, key: Column, name: str, label_null: str | None = None) -> DataFrame:
@@ -70,7 +71,7 @@ def exclusive_groups(markets: DataFrame, trades: DataFrame, resolved_after: Colu
     """
     m = (markets.where((F.col("t_resolve") >= resolved_after) & F.col("outcome").isin(0, 1)
                        & (F.col("volume") >= min_volume))
-         .join(trades.select("market_id"), "market_id", "left_semi"))
+         .join(trades.select("market_id").distinct(), "market_id", "left_semi"))
     groups = (m.where(~F.coalesce("neg_risk", F.lit(False))).groupBy("event_group")
               .agg(F.count("*").alias("n"), F.sum("outcome").alias("yes")).where("n >= 3 and yes = 1")
               .select("event_group", F.lit(True).alias("_g")))
@@ -162,12 +163,13 @@ def wallet_profile(trades: DataFrame, wallets: DataFrame) -> DataFrame:
 def ranked_wallets(trades: DataFrame, refs: DataFrame, wallets: DataFrame, n: int = 10, largest: bool = True) -> DataFrame:
     """Largest or smallest aligned wallets per market before the news, with profile columns."""
     order = F.desc("notional") if largest else F.asc("notional")
-    top = top_n(aligned_wallets(trades, refs), ["market_id"], [order, "address"], n)
+    top = staged(top_n(aligned_wallets(trades, refs), ["market_id"], [order, "address"], n))
+    theirs = trades.join(top.select(F.col("address").alias("taker_address")).distinct(), "taker_address", "left_semi")
     share = F.lit(100.0) * F.col("notional").cast("double") / F.sum(F.col("notional").cast("double")).over(
         Window.partitionBy("market_id"))  # at most n rows per market
     lead = (F.unix_micros("t_news") - F.unix_micros("first_trade_ts")) / 60_000_000
     return (top.withColumn("share_pct", share).withColumn("lead_minutes", F.round(lead, 1))
-            .join(wallet_market_counts(trades), "address", "left")
+            .join(wallet_market_counts(theirs), "address", "left")
             .join(wallets.select("address", "first_seen_chain_at", "first_seen_venue_at"), "address", "left"))
 
 

@@ -20,12 +20,24 @@ DISTS = ["exponential", "weibull", "lognormal"]
 
 
 def erfc(x: Column) -> Column:
-    """Complementary error function, which Spark does not have."""
-    @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if pd.isna(v) else math.erfc(v)).astype("float64")
+    """Complementary error function, which Spark does not have, in built-in arithmetic.
 
-    return run(x)
+    Below one the power series of erf; above it the trapezoid rule of its integral form with step 1/2, whose error the last
+    term takes away below 2 pi. Both are right to about 1e-15. NULL stays NULL.
+    """
+    h, a = 0.5, F.abs(x.cast("double"))
+    sq = a * a
+    series = F.lit(0.0)
+    for k in range(22, -1, -1):  # nested, from the smallest term
+        series = series * sq + F.lit((-1) ** k / (math.factorial(k) * (2 * k + 1)))
+    rule = F.lit(1.0) / sq
+    for k in range(1, 13):
+        rule = rule + F.lit(2 * math.exp(-(k * h) ** 2)) / (sq + F.lit((k * h) ** 2))
+    far = F.lit(h / math.pi) * a * F.exp(-sq) * rule
+    pole = F.lit(2.0) / (F.exp(F.lit(2 * math.pi / h) * a) - 1)
+    tail = (F.when(a < 1, 1 - F.lit(2 / math.sqrt(math.pi)) * a * series).when(a < math.pi / h, far - pole)
+            .when(a < 28, far).when(a.isNotNull(), 0.0))
+    return F.when(x < 0, 2 - tail).otherwise(tail)
 
 
 def normal_cdf(z: Column) -> Column:

@@ -143,7 +143,7 @@ def proportion_interval(n: Column, k: Column, key: Column, replicates: int = CEL
 
 
 def score_interval(trades: DataFrame, refs: DataFrame, replicates: int = BOOTSTRAP_B, seed: int = SEED,
-                   min_trades: int = 50, epsilon: float = 0.05, yes_outcome_index: int = 1) -> DataFrame:
+                   min_trades: int = 50, epsilon: float = 0.05, yes_outcome_index: int = 1, portable: bool = False) -> DataFrame:
     """Interval of a deadline score from resampled YES trades between opening and event.
 
     refs: market_id, t_open, t_event, p_open, p_resolve. NULL below ``min_trades``, for a price close
@@ -153,9 +153,9 @@ def score_interval(trades: DataFrame, refs: DataFrame, replicates: int = BOOTSTR
     t = trades_in_window(trades.where(F.col("outcome_index") == yes_outcome_index)
                          .select("market_id", "ts", "tx_hash", "log_index", "price", "notional_usdc"),
                          refs.select("market_id", "t_open", "t_event"), "t_open", "t_event")
-    t = t.withColumn("_row", F.xxhash64("tx_hash", "log_index"))
+    t = t.withColumn("_row", F.concat_ws(":", "tx_hash", F.col("log_index").cast("string")) if portable else F.xxhash64("tx_hash", "log_index"))
     n = t.groupBy("market_id").agg(F.count("*").alias("n_trades"))
-    reps = replicate_means(t, ["market_id"], "_row", "price", "notional_usdc", replicates, seed)
+    reps = replicate_means(t, ["market_id"], "_row", "price", "notional_usdc", replicates, seed, portable)
     base = refs.select("market_id", F.col("p_open").cast("double").alias("_po"), F.col("p_resolve").cast("double").alias("_pr"))
     scored = reps.join(base, "market_id").withColumn("score", F.try_divide(F.col("mean") - F.col("_po"), F.col("_pr") - F.col("_po")))
     ci = interval(scored, ["market_id"], "score")

@@ -12,6 +12,7 @@ from tidemark.operators import filters as fi
 from tidemark.operators.audits import per_market
 from tidemark.operators.hot import attach, join_hot
 from tidemark.operators.ranks import finish_moments, moments, percentiles, percentiles_of, ranked_values, with_ranks
+from tidemark.operators.resample import score_interval
 from tidemark.operators.series import all_points
 from tidemark.session import staged
 from tidemark.plans.scoring import deadline_refs, score
@@ -65,6 +66,18 @@ def population_scores(markets: DataFrame, events: DataFrame, prices: DataFrame,
         keep("ils_6h").alias("ils_dl_6h"), keep("ils_24h").alias("ils_dl_24h"), "in_scope", "exclusion_reason")
 
 
+def with_intervals(population: DataFrame, trades: DataFrame, portable: bool = False) -> DataFrame:
+    """``population`` (written before, as it is read twice) with ``ils_dl_ci_low`` and ``ils_dl_ci_high``.
+
+    An in-scope market without an interval keeps its score and gets the reason ``low_trade_count``.
+    """
+    scored = population.where("in_scope")
+    ci = score_interval(trades, scored.select("market_id", "t_open", "t_event", "p_open", "p_resolve"), portable=portable)
+    j = population.join(ci.select("market_id", F.col("ci_low").alias("ils_dl_ci_low"), F.col("ci_high").alias("ils_dl_ci_high")), "market_id", "left")
+    low = F.col("in_scope") & F.col("ils_dl_ci_low").isNull()
+    return j.withColumn("exclusion_reason", F.when(low, "low_trade_count").otherwise(F.col("exclusion_reason")))
+
+
 def computed(population: DataFrame) -> DataFrame:
     """In-scope rows with a score."""
     return population.where(F.col("in_scope") & F.col("ils_dl").isNotNull())

@@ -149,8 +149,8 @@ def score_candidates(markets: DataFrame, prices: DataFrame, news: DataFrame, lab
     """Unlabelled markets ready to score: resolved deadline markets with prices first, then any with news."""
     todo = scorable(markets).join(labels.select("market_id"), "market_id", "left_anti")
     first = (todo.where("resolution_type = 'deadline_resolved'")
-             .join(prices.select("market_id"), "market_id", "left_semi").select("market_id", F.lit(1).alias("pool")))
-    second = (todo.join(news.select("market_id"), "market_id", "left_semi")
+             .join(prices.select("market_id").distinct(), "market_id", "left_semi").select("market_id", F.lit(1).alias("pool")))
+    second = (todo.join(news.select("market_id").distinct(), "market_id", "left_semi")
               .select("market_id", F.lit(2).alias("pool")))
     out = first.unionByName(second).groupBy("market_id").agg(F.min("pool").alias("pool"))
     return out.orderBy("pool", "market_id").limit(limit) if limit else out
