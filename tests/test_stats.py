@@ -1,11 +1,14 @@
 """Exact ranks, fits, tests and intervals against NumPy and published values."""
 
+import datetime as dt
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.constants import BOOTSTRAP_B, SEED
 from tidemark.operators import fits
 from tidemark.operators import ranks as rk
 from tidemark.operators import resample as rs
@@ -217,3 +220,27 @@ def test_error_function(spark):
     df = spark.createDataFrame([(x,) for x in [*xs, None]], "x double")
     for x, e in df.select("x", fits.erfc(F.col("x"))).collect():
         assert e is None if x is None else e == pytest.approx(math.erfc(x), rel=1e-12, abs=1e-300)
+
+
+def test_population_intervals_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(m, f"0x{m}{i:03d}", i % 3, t0 + dt.timedelta(minutes=int(i)), float(rng.uniform(0.2, 0.8)), float(rng.uniform(1, 90)), 1 if i % 10 else 0)
+            for m, n in (("a", 90), ("b", 40), ("c", 90)) for i in range(n)]
+    trades = spark.createDataFrame(rows, "market_id string, tx_hash string, log_index int, ts timestamp, price double, notional_usdc double, outcome_index int")
+    late = t0 + dt.timedelta(minutes=80)  # the event takes part, later trades don't
+    people = spark.createDataFrame([("a", True, t0, late, 0.3, 1, ""), ("b", True, t0, late, 0.3, 1, ""), ("c", False, t0, late, 0.3, 1, "edge_effect")],
+                                   "market_id string, in_scope boolean, t_open timestamp, t_event timestamp, p_open double, p_resolve int, exclusion_reason string")
+    got = {r["market_id"]: r for r in pop.with_intervals(people, trades, portable=True).collect()}
+    mine = [r for r in rows if r[0] == "a" and r[6] == 1 and r[3] <= late]
+    scores = []
+    for b in range(1, BOOTSTRAP_B + 1):
+        u = [int(hashlib.md5(f"{SEED}|{b}|{r[1]}:{r[2]}".encode()).hexdigest()[:8], 16) / 2 ** 32 for r in mine]
+        k = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(j) for j in range(18)]), u, side="right")
+        w = k * np.array([r[5] for r in mine])
+        scores.append(((w * [r[4] for r in mine]).sum() / w.sum() - 0.3) / 0.7)
+    assert len(mine) >= 50
+    assert got["a"]["ils_dl_ci_low"] == pytest.approx(np.percentile(scores, 2.5), abs=1e-6)
+    assert got["a"]["ils_dl_ci_high"] == pytest.approx(np.percentile(scores, 97.5), abs=1e-6)
+    assert got["a"]["exclusion_reason"] == "" and got["b"]["exclusion_reason"] == "low_trade_count" and got["c"]["exclusion_reason"] == "edge_effect"
+    assert got["b"]["ils_dl_ci_low"] is None and got["c"]["ils_dl_ci_high"] is None and len(got) == 3
