@@ -136,14 +136,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(staged(fingerprints(docs, "doc_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class with all its columns: the one with the smallest doc_id (NULL last), then text digest; of equal rows any one."""
-    keyed = docs.withColumn("_th", text_key(F.col("text")))
-    prints = staged(fingerprints(keyed, "doc_id", "_th"))
-    first = (classes(prints).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th")).alias("k"))
+def keep_first(docs: DataFrame, keyed: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``rooted`` (doc_id, _th, root): the smallest doc_id (NULL last), then text digest; ``keyed`` is docs with _th."""
+    first = (rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th")).alias("k"))
              .select(F.col("k.doc_id").alias("_d"), F.col("k._th").alias("_t")))
-    copies = prints.groupBy("doc_id", "_th").count()
+    copies = rooted.groupBy("doc_id", "_th").count()
     first = first.join(copies, first["_d"].eqNullSafe(copies["doc_id"]) & (first["_t"] == copies["_th"])).select("_d", "_t", F.col("count").alias("_n"))
     kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_d"]) & (keyed["_th"] == first["_t"]))
     once = kept.where("_n = 1").select(docs.columns)
     return once.unionByName(kept.where("_n > 1").dropDuplicates(["_d", "_t"]).select(docs.columns))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each class with all its columns: the one with the smallest doc_id (NULL last), then text digest; of equal rows any one."""
+    keyed = docs.withColumn("_th", text_key(F.col("text")))
+    return keep_first(docs, keyed, classes(staged(fingerprints(keyed, "doc_id", "_th"))))
