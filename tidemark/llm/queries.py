@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontamination, digest, html_extract, license_scan, line_dedup, sharding, simhash, toxicity, url_filter
+from tidemark.llm import (bpe, decontamination, digest, fill_middle, html_extract, katz, lexical_search, license_scan, line_dedup, sharding, simhash, toxicity,
+                          url_filter)
 from tidemark.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 TOXIC = 0.7
 VOCABULARY = "byte_bpe_50k.tiktoken"
+FILL_SEED = "7"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -93,6 +95,21 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "item_id", F.col("n_shingles").cast("bigint"), F.col("n_found").cast("bigint"), "containment")
 
 
+def katz_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    scored = katz.score_corpus(table(spark, sf_dir, "documents"), ~held)
+    return scored.rows.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def fill_middle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), FILL_SEED))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_url_filter": url_filter_query,
     "op2_line_dedup": line_dedup_query,
@@ -104,10 +121,14 @@ QUERIES = {
     "op8_html_text": html_query,
     "op9_sharding": sharding_query,
     "op10_decontamination": decontamination_query,
+    "op11_katz": katz_query,
+    "op12_fill_middle": fill_middle_query,
+    "op13_lexical_search": search_query,
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 _WORDS_SQL = r"list_filter(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+_TERMS_SQL = rf"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical_search.SEPARATORS}'), lambda w: w <> '')"
 
 ORACLES = {
     "op1_url_filter": rf"""
@@ -141,5 +162,27 @@ doc_shingles as (select doc_id, text, k, unnest(list_transform(range(1, len(ws)
 select doc_id, i.item_id, n as n_shingles, count(distinct sh) as n_found, count(distinct sh) / n as containment
 from doc_shingles d join item_shingles i using (k, sh) join item_sizes s on s.item_id is not distinct from i.item_id and s.text = i.text
 group by doc_id, d.text, i.item_id, i.text, n having count(distinct sh) >= ceil({decontamination.CONTAINMENT} * n - 1e-9)
+""",
+    "op12_fill_middle": r"""
+with rows as (select row_number() over () as r, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(doc_id::varchar, '')) as d from documents),
+drawn as (select *, len(u) as n, ('0x' || substr(d, 1, 8))::bigint as h1, ('0x' || substr(d, 9, 8))::bigint as h2, ('0x' || substr(d, 17, 8))::bigint as h3, ('0x' || substr(d, 25, 8))::bigint as h4 from rows),
+cut as (select *, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form,
+               least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b from drawn),
+parts as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s from cut)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(t) as restored_sha256 from parts
+""",
+    "op13_lexical_search": rf"""
+with docs as (select row_number() over () as r, doc_id, {_TERMS_SQL} as ws from documents),
+lens as (select r, doc_id, len(ws) as n from docs where len(ws) > 0),
+totals as (select count(*) as nn, sum(n)::bigint as ll from lens),
+tfs as (select r, w, count(*) as tf from (select r, unnest(ws) as w from docs) group by r, w),
+dfs as (select w, count(*) as df from tfs group by w),
+items as (select distinct item_id, text from benchmark),
+item_terms as (select distinct item_id, text, w from (select item_id, text, unnest({_TERMS_SQL}) as w from items)),
+scores as (select item_id, text, doc_id, r, sum(floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::bigint * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::bigint as score
+           from item_terms join dfs using (w) join tfs using (w) join lens using (r), totals group by item_id, text, doc_id, r)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id, text order by score desc, doc_id nulls last) as rank from scores where score > 0) where rank <= {lexical_search.TOP}
 """,
 }
