@@ -18,12 +18,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import slices
+
 #: runs up to this many bytes are leaves
 LEAF = 16
 #: units of text up to this many characters are remembered
 UNIT = 32
-#: entries of each table of remembered encodings in a task; a full table is emptied, which changes no result
-KEPT = 400_000
+#: bytes that a task's remembered units, and pairs of tokens, may take; a full table is emptied, which changes no result
+KEPT = 48 << 20
+#: about so many bytes are taken by a unit with its ids, and by a pair
+UNIT_COST, PAIR_COST = 240, 170
+#: bytes of text that are held as Python objects at once, or one text
+SLICE = 1 << 20
 
 
 def read_ranks(path: str) -> list[tuple[str, int]]:
@@ -118,7 +124,7 @@ class Codec:
                     i += 1
                 else:
                     j += 1
-            if len(self.met) >= KEPT:
+            if len(self.met) * PAIR_COST >= KEPT:
                 self.met.clear()
             self.met[left, right] = ok
         return ok
@@ -204,7 +210,7 @@ class Codec:
             if ids is None:
                 ids = self._unit(unit)
                 if len(unit) <= UNIT:
-                    if len(known) >= KEPT:
+                    if len(known) * UNIT_COST >= KEPT:
                         known.clear()
                     known[unit] = ids
             out += ids
@@ -234,34 +240,41 @@ def _decoded(codec: Codec, column: pa.Array) -> pa.Array:
     return pa.array([codec.decode(values[a:b].tolist()) if ok else None for ok, a, b in zip(valid, ends, ends[1:])], pa.binary())
 
 
-def _mapper(ranks, pattern: str, column: str, out: str, act):
+def _mapper(held, pattern: str, column: str, rest: list[str], acts: list):
+    """Batches with the columns ``rest`` and what each act makes of the one before it, the first of ``column``."""
     def run(batches):
-        if "codec" not in ranks.value:  # the broadcast value stays with the Python worker, and the codec's memory with it
-            ranks.value["codec"] = Codec(ranks.value["ranks"], pattern)
-        codec = ranks.value["codec"]
+        if "codec" not in held.value:  # the broadcast value stays with the Python worker, and the codec's memory with it
+            held.value["codec"] = Codec(held.value["ranks"], pattern)
+        codec = held.value["codec"]
         for b in batches:
-            at = b.schema.names.index(column)
-            keep = [k for k, n in enumerate(b.schema.names) if n not in (column, out)]
-            for start in range(0, b.num_rows, 512):  # bounds what is held as Python objects
-                s = b.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([s.column(k) for k in keep] + [s.column(at), act(codec, s.column(at))],
-                                                 names=[b.schema.names[k] for k in keep] + [column, out])
+            for s in slices(b, column, SLICE) if pa.types.is_string(b.schema.field(column).type) else (b.slice(k, 512) for k in range(0, b.num_rows, 512)):
+                made = [s.column(column)]
+                for _, act in acts:
+                    made.append(act(codec, made[-1]))
+                yield pa.RecordBatch.from_arrays([s.column(n) for n in rest] + made[1:], names=rest + [n for n, _ in acts])
     return run
 
 
-def _with(df: DataFrame, path: str, pattern: str, column: str, out: str, sql_kind: str, act) -> DataFrame:
-    ranks = df.sparkSession.sparkContext.broadcast({"ranks": read_ranks(path)})  # the vocabulary: a fixed 50,256 tokens
-    rest = [f for f in df.schema if f.name not in (column, out)] + [df.schema[column]]
+def _with(df: DataFrame, path: str, pattern: str, column: str, acts: list[tuple]) -> DataFrame:
+    """Add a column for each act (name, SQL type, function of codec and array)."""
+    held = df.sparkSession.sparkContext.broadcast({"ranks": read_ranks(path)})  # the vocabulary: a fixed 50,256 tokens
+    new = [n for n, _, _ in acts]
+    rest = [f for f in df.schema if f.name not in new or f.name == column]
     df = df.select(*[f"`{f.name}`" for f in rest])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + f", `{out}` {sql_kind}"
-    return df.mapInArrow(_mapper(ranks, pattern, column, out, act), schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{n}` {kind}" for n, kind, _ in acts])
+    return df.mapInArrow(_mapper(held, pattern, column, [f.name for f in rest], [(n, act) for n, _, act in acts]), schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids`` (array of int), the whole text's tokens. NULL and empty texts have none; every row stays; a column named ``ids`` is replaced."""
-    return _with(docs, path, pattern, text, ids, "array<int>", _encoded)
+    return _with(docs, path, pattern, text, [(ids, "array<int>", _encoded)])
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """Add ``decoded`` (binary), the bytes of the tokens. NULL ids give NULL; a column named ``decoded`` is replaced."""
-    return _with(tokens, path, pattern, ids, data, "binary", _decoded)
+    return _with(tokens, path, pattern, ids, [(data, "binary", _decoded)])
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", data: str = "decoded") -> DataFrame:
+    """``decode`` of ``encode`` in one pass, with one codec in a task: adds ``ids`` and ``decoded``, which are replaced where they exist."""
+    return _with(docs, path, pattern, text, [(ids, "array<int>", _encoded), (data, "binary", _decoded)])

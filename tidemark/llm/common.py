@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +34,15 @@ def text_key(c: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int):
+    """A batch in runs of rows whose texts have ``most`` bytes together, or one row."""
+    sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
+    total, start = 0, 0
+    for k, size in enumerate(sizes):
+        if k > start and total + size > most:
+            yield batch.slice(start, k - start)
+            total, start = 0, k
+        total += int(size)
+    yield batch.slice(start)

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import slices
+
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 #: percent of texts that are cut, and percent of these that begin with the suffix
 CUT, SUFFIX_FIRST = 100, 50
@@ -143,18 +145,6 @@ def rejoin(outputs: pa.Array, form: np.ndarray) -> pa.Array:
     return _strings(move(data, int(begin[-1]), *runs, gather=True), begin, ~good | np.asarray(outputs.is_null()))
 
 
-def slices(batch: pa.RecordBatch, column: str):
-    """A batch in runs of rows with ``SLICE`` bytes of text at most, or one row."""
-    sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
-    total, start = 0, 0
-    for k, size in enumerate(sizes):
-        if k > start and total + size > SLICE:
-            yield batch.slice(start, k - start)
-            total, start = 0, k
-        total += int(size)
-    yield batch.slice(start)
-
-
 FORMS = ["plain", "psm", "spm"]
 
 
@@ -174,7 +164,7 @@ def transform(docs: DataFrame, seed: str, rate: int = CUT, suffix_first: int = S
 
     def run(batches):
         for b in batches:
-            for s in slices(b, text):
+            for s in slices(b, text, SLICE):
                 draw = np.array([s.column(name).to_numpy() for name in h]).reshape(4, -1)
                 (n, p, m, form), out = cut(s.column(text), draw, rate, suffix_first)
                 yield pa.RecordBatch.from_arrays([s.column(f.name) for f in rest] + [n, p, m, pa.array(FORMS).take(form), out], names=[f.name for f in rest] + new)
@@ -193,7 +183,7 @@ def restore(rows: DataFrame, output: str = "output", form: str = "form", restore
 
     def run(batches):
         for b in batches:
-            for s in slices(b, output):
+            for s in slices(b, output, SLICE):
                 code = pc.index_in(s.column(form), value_set=pa.array(FORMS))
                 known = np.asarray(code.is_valid())
                 text = rejoin(s.column(output), np.asarray(code.fill_null(0)))

@@ -49,7 +49,7 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_tokens(docs: DataFrame) -> DataFrame:
     """``docs`` with ids and decoded bytes by the query's vocabulary."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    return bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    return bpe.encode_and_decode(docs, path, pattern)
 
 
 def token_digests() -> list[Column]:
@@ -58,9 +58,7 @@ def token_digests() -> list[Column]:
 
 
 def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).select("doc_id", "ids")
-    return bpe.decode(ids, path, pattern).select("doc_id", *token_digests())
+    return with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *token_digests())
 
 
 def digest_query(spark: SparkSession, sf_dir: str) -> DataFrame:

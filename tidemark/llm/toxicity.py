@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import slices, text_key
 from tidemark.session import staged
 
 #: training documents of each label, those with the smallest digests of their id: the bound of the sample
@@ -31,8 +32,14 @@ SUPPORT, MIN_G2 = 3, 12.0
 SPAN, DECAY = 5, 0.6
 #: kernel values below this count as none
 FLOOR = 0.35
-#: words remembered by a Python worker; a full memory is emptied, which changes no result
-KEPT = 300_000
+#: words that stand out for the label, and most frequent words, among which landmarks are looked for
+TELLING, COMMON = 2000, 4000
+#: words remembered by a Python worker, each of so many letters at most; a full memory is emptied, which changes no result
+KEPT, REMEMBERED = 150_000, 40
+#: letters of words whose kernel values are computed at once; a longer word goes through in parts of so many
+LETTERS = 40_000
+#: bytes of text that are held as Python objects at once (or one text), and tokens whose sentences are scored at once
+SLICE, TOKENS = 256 << 10, 20_000
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _INNER = re.compile(r"[\W_]+")
@@ -123,9 +130,34 @@ class Kernel:
         out[out[:, :self.telling].max(axis=1) < FLOOR] = 0
         return out.astype(np.float32)
 
+    def _long(self, letters: str) -> np.ndarray:
+        """As ``_some`` for one word of any length: triple weights are added up over parts, each triple where it begins."""
+        total = np.zeros(1 << 18)
+        for k in range(0, len(letters), LETTERS):
+            own, code, weight = _triples([letters[k:k + LETTERS + SPAN - 1]])
+            total += np.bincount(code, weight, minlength=1 << 18)
+            if k + LETTERS < len(letters):  # those that begin in the overlap belong to the next part
+                _, code, weight = _triples([letters[k + LETTERS:k + LETTERS + SPAN - 1]])
+                total -= np.bincount(code, weight, minlength=1 << 18)
+        live = np.flatnonzero(total)
+        out = np.zeros((1, len(self.landmarks)))
+        for code in live[self.start[live + 1] > self.start[live]]:
+            at = slice(self.start[code], self.start[code + 1])
+            np.add.at(out[0], self.mark[at], total[code] * self.part[at])
+        out /= max(np.sqrt((total * total).sum()), 1e-9)
+        out[out[:, :self.telling].max(axis=1) < FLOOR] = 0
+        return out.astype(np.float32)
+
     def __call__(self, words: list[str]) -> np.ndarray:
         """One row a word; all zero unless it is near a telling landmark."""
-        parts = [self._some(words[k:k + 4000]) for k in range(0, len(words), 4000)]
+        parts, start, size = [], 0, 0
+        for k, w in enumerate([*words, ""]):
+            if k == len(words) or size + len(w) + SPAN > LETTERS:
+                if k > start:
+                    part = words[start:k]
+                    parts.append(self._long(part[0]) if len(part[0]) > LETTERS else self._some(part))
+                start, size = k, 0
+            size += len(w) + SPAN
         return np.concatenate(parts) if parts else np.zeros((0, len(self.landmarks)), np.float32)
 
 
@@ -148,34 +180,55 @@ class Model:
         values = self.kernel([word(t) for t in new])
         some = values.any(axis=1)
         for k, t in enumerate(new):
-            self.memory[t] = values[k] if some[k] else None
+            self.memory[t] = values[k].copy() if some[k] else None
 
-    def vectors(self, cut: list[list[str]], learn: bool = True) -> np.ndarray:
-        """One row for each sentence with a word near a telling landmark; its words' greatest values."""
-        if learn:
-            self.learn_words({t for s in cut for t in s})
+    def near(self, cut: list[list[str]]) -> list[tuple[int, np.ndarray]]:
+        """Number and vector (its words' greatest values) of each sentence with a word near a telling landmark."""
+        self.learn_words({t for s in cut for t in s})
         out, known = [], self.memory
-        for s in cut:
-            near = [v for t in s if (v := known[t]) is not None]
-            if near:
-                out.append(np.max(near, axis=0))
-        return np.array(out, dtype=np.float32).reshape(len(out), len(self.kernel.landmarks))
-
-    def summary(self, vectors: np.ndarray) -> np.ndarray:
-        """The three worst sentences of a document and the logarithm of the number of positive ones."""
-        values = vectors @ self.weights + self.bias
+        for k, s in enumerate(cut):
+            values = [v for t in s if (v := known[t]) is not None]
+            if values:
+                out.append((k, np.max(values, axis=0)))
+        for t in {t for s in cut for t in s if len(t) > REMEMBERED}:
+            known.pop(t, None)
+        return out
+
+    def vectors(self, text: str | None) -> np.ndarray:
+        """The vectors of a text's sentences that have one."""
+        rows = [v for cut in _chunks([text]) for _, v in self.near([s for _, s in cut])]
+        return np.array(rows, dtype=np.float32).reshape(len(rows), len(self.kernel.landmarks))
+
+    def summary(self, values: np.ndarray) -> np.ndarray:
+        """The three worst sentence values of a document and the logarithm of the number of positive ones."""
         worst = np.sort(np.r_[values, [self.bias] * 3])[::-1][:3]
         return np.r_[worst, np.log1p((values > 0).sum()), 1.0]
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if self.logistic is None:
             return [0.0] * len(texts)
-        cuts = [list(sentences(t)) for t in texts]
-        self.learn_words({t for cut in cuts for s in cut for t in s})
-        x = np.array([self.summary(self.vectors(cut, False)) for cut in cuts]) @ self.logistic
+        found: list[list[float]] = [[] for _ in texts]
+        for cut in _chunks(texts):
+            for k, v in self.near([s for _, s in cut]):
+                found[cut[k][0]].append(float(v @ self.weights) + self.bias)
+        x = np.array([self.summary(np.array(f)) for f in found]) @ self.logistic
         return (1 / (1 + np.exp(-np.clip(x, -30, 30)))).tolist()
 
 
+def _chunks(texts: list[str | None]):
+    """Sentences (number of the text, tokens) of ``TOKENS`` tokens together, or one sentence."""
+    cut, size = [], 0
+    for k, text in enumerate(texts):
+        for s in sentences(text):
+            if cut and size + len(s) > TOKENS:
+                yield cut
+                cut, size = [], 0
+            cut.append((k, s))
+            size += len(s)
+    if cut:
+        yield cut
+
+
 def _machine(x: np.ndarray, y: np.ndarray, cost: float = 1.0) -> np.ndarray:
     """Linear machine with squared hinge loss by Newton steps; classes weigh the same; the last weight is the bias."""
     x = np.c_[x, np.ones(len(x))].astype(np.float64)
@@ -250,7 +303,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = chosen.withColumn("bucket", F.xxhash64("doc_id"))
     chosen = staged(chosen.where("toxic = 1").orderBy("bucket", "doc_id").limit(MAX_TRAIN).unionByName(
         chosen.where("toxic = 0").orderBy("bucket", "doc_id").limit(MAX_TRAIN)))
-    sample = staged(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", F.pmod("bucket", F.lit(3)).cast("int").alias("bucket")))
+    # of rows that repeat a doc_id one is learnt from, so the sample keeps its bound
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic", "bucket"), F.struct(text_key(F.col("text")), "text")).alias("r"))
+    sample = staged(rows.select("r.text", "r.toxic", F.pmod("r.bucket", F.lit(3)).cast("int").alias("bucket")))
     fit = sample.where("bucket <> 0")
     sizes = {r["toxic"]: r["count"] for r in fit.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -259,8 +314,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     counts = staged(fit.select("text", "toxic").mapInArrow(_word_batches, "word string, toxic int").groupBy("word")
                     .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
     odds = F.col("t") * F.log((F.col("t") + 0.5) / (F.col("c") + 0.5) * (n_clean / n_toxic))
-    telling = counts.where(F.col("t") >= SUPPORT).orderBy(odds.desc(), "word").limit(2000)
-    common = counts.where(F.col("c") >= SUPPORT).orderBy(F.desc("c"), "word").limit(4000)
+    telling = counts.where(F.col("t") >= SUPPORT).orderBy(odds.desc(), "word").limit(TELLING)
+    common = counts.where(F.col("c") >= SUPPORT).orderBy(F.desc("c"), "word").limit(COMMON)
     marks, telling = _pick_landmarks([tuple(r) for r in telling.unionByName(common).distinct().collect()], n_toxic, n_clean)
     if not marks:
         return Model(None)
@@ -270,7 +325,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             rows = []
             for text, toxic, bucket in zip(*(b.column(k).to_pylist() for k in range(3))):
-                v = blank.vectors(list(sentences(text)))
+                v = blank.vectors(text)
                 v = v[np.argsort(-v[:, :telling].max(axis=1), kind="stable")[:MAX_SENTENCES]] if len(v) else v
                 rows.append((toxic, bucket, v.ravel().tolist()))
             blank.memory.clear()
@@ -309,7 +364,7 @@ def _fit(kernel: Kernel, bag: list[np.ndarray], toxic: np.ndarray, bucket: np.nd
     held = [k for k in range(len(bag)) if _fold(int(bucket[k]))]
     if len({int(toxic[k]) for k in held}) < 2:
         held = range(len(bag))
-    model.logistic = _logistic(np.array([model.summary(bag[k]) for k in held]), np.array([float(toxic[k]) for k in held]))
+    model.logistic = _logistic(np.array([model.summary(bag[k] @ model.weights + model.bias) for k in held]), np.array([float(toxic[k]) for k in held]))
     return model
 
 
@@ -332,8 +387,7 @@ def score_documents(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
         for b in batches:
             at = b.schema.names.index("text")
             keep = [k for k in range(len(b.schema.names)) if with_text or k != at]
-            for start in range(0, b.num_rows, 256):  # bounds what is held as Python objects
-                s = b.slice(start, 256)
+            for s in slices(b, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([s.column(k) for k in keep] + [pa.array(m.scores(s.column(at).to_pylist()), pa.float64())],
                                                  names=[b.schema.names[k] for k in keep] + ["score"])
 
