@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from tests.test_scores import TRADES, at
 from tidemark.operators.features import wallet_first_seen
 from tidemark.operators.series import vwap_buckets
-from tidemark.sources import files, ingest
+from tidemark.sources import files, ingest, stored
 from tidemark.sources.upsert import keep_first, upsert
 from tidemark.streaming import twins
+from tidemark.streaming.segments import Segments
 
 
 def _kv(spark, rows):
@@ -108,32 +109,90 @@ def test_merge_can_be_run_again(spark, trades, tmp_path):
     assert _rows(twins.read_first_seen(spark, str(tmp_path / "w"))) == _rows(wallet_first_seen(trades))
 
 
-def test_quote_log_last_batch_wins_and_compacts(spark, tmp_path):
-    write = twins.quote_writer(str(tmp_path / "q"))
+def test_segments_last_batch_wins_under_compaction(spark, tmp_path):
     q = lambda *rows: spark.createDataFrame(list(rows), "ingest_no int, market_id string, ts timestamp, mid_price double")
-    write(q((2, "m", at(0), 0.2), (1, "m", at(0), 0.1)), 0)
+    table = Segments(spark, str(tmp_path / "q"), ("market_id", "ts"), "market_id string, ts timestamp, mid_price double").create()
+    assert table.read().count() == 0 and table.compact() == 0
+    write = twins.quote_writer(table)
+    write(q((2, "m", at(0), 0.2), (1, "m", at(0), 0.1), (5, None, at(0), 0.7)), 0)
     write(q((3, "m", at(0), 0.3), (4, "m", at(1), 0.4)), 1)
     want = [("m", at(0), 0.3), ("m", at(1), 0.4)]
-    assert _rows(twins.read_quotes(spark, str(tmp_path / "q"))) == want
-    twins.compact(twins.read_quotes(spark, str(tmp_path / "q")), str(tmp_path / "q2"))
-    twins.quote_writer(str(tmp_path / "q2"))(q((9, "m", at(1), 0.9)), 0)
-    assert _rows(twins.read_quotes(spark, str(tmp_path / "q2"))) == [("m", at(0), 0.3), ("m", at(1), 0.9)]
-
-
-def test_stream_dedupe_and_vwap(spark, trades, tmp_path):
+    rows = lambda df: sorted(tuple(r) for r in df.where("market_id is not null").collect())
+    assert rows(table.read()) == want
+    before = table.version()  # a reader that began now
+    assert table.compact() == 1 and rows(table.compacted()) == want and table.batches(table.version()[1]) == []
+    write(q((9, "m", at(1), 0.9), (8, "m", at(0), None)), 2)
+    write(q((9, "m", at(1), 0.9), (8, "m", at(0), None)), 2)  # run again
+    now = [("m", at(0), None), ("m", at(1), 0.9)]
+    assert rows(table.read()) == rows(table.read(before)) == now and rows(table.compacted()) == want
+    table.spark.range(1).write.parquet(f"{table.path}/log/b=3")  # a segment that is not whole yet
+    assert rows(table.read()) == now and table.compact() == 2 and rows(table.compacted()) == now
+    assert {p.removeprefix(table.path) for p in table.superseded(1)} == {"/base/v=0", "/base/v=1", "/log/b=0", "/log/b=1", "/log/b=2"}
+    assert table.read().where("market_id is null").collect()[0]["mid_price"] == 0.7
+
+
+def test_stream_dedupe(spark, trades, tmp_path):
     s = _stream(spark, trades.unionByName(trades), tmp_path / "src", 1)
     q = twins.run_to_files(twins.dedupe_trades(s), str(tmp_path / "d"), str(tmp_path / "cd"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "d")).count() == 60
-    late = trades.limit(1).withColumn("ts", F.expr("ts + interval 5 hours")).withColumn("market_id", F.lit("later"))
-    src = tmp_path / "src2"
-    trades.coalesce(1).write.parquet(str(src))
-    late.coalesce(1).write.mode("append").parquet(str(src))
-    s2 = spark.readStream.schema(trades.schema).parquet(str(src))
-    q = twins.run_to_files(twins.minute_vwap(s2), str(tmp_path / "v"), str(tmp_path / "cv"))
-    q.awaitTermination()
+
+
+def test_closed_minutes_late_rows_and_open_minutes_equal_the_batch(spark, trades, tmp_path):
+    """A watermark of ten minutes moves on with each arrival; a row that comes after its minute was closed is on the late side, once."""
+    landing = twins.Landing(spark, str(tmp_path / "l"), "10 minutes").create()
+    src, closed = str(tmp_path / "src"), str(tmp_path / "closed")
+    minute = lambda a, b: trades.where((F.col("ts") >= F.lit(at(a))) & (F.col("ts") < F.lit(at(b))))
+    late, slow = minute(1, 2).limit(1), minute(8, 9).limit(1)
+    rest = trades.join(late.unionByName(slow), ["tx_hash"], "left_anti").select(trades.columns)
+    cut = lambda a, b: rest.where((F.col("ts") >= F.lit(at(a))) & (F.col("ts") < F.lit(at(b))))
+    sizes = []
+    for rows in (cut(0, 7), cut(7, 14), cut(14, 20).unionByName(late).unionByName(slow)):  # one row behind the watermark at(13) - 10, one before it
+        rows.coalesce(1).write.mode("append").parquet(src)
+        twins.run_merge(spark.readStream.schema(trades.schema).parquet(src), landing.write, str(tmp_path / "c1")).awaitTermination()
+        q = twins.run_to_files(twins.minute_sums(landing.on_time(trades.schema), "10 minutes"), closed, str(tmp_path / "c2"))
+        q.awaitTermination()
+        assert not q.exception() and all(op["numRowsDroppedByWatermark"] == 0 for p in q.recentProgress for op in p["stateOperators"])
+        sizes.append(spark.read.parquet(closed).count() if landing.watermark() else 0)
+    table = spark.read.parquet(closed)
+    assert sizes == [0, 3, 9] and landing.late_count() == 1  # closed minutes only grow
+    assert [(r.tx_hash, r.b) for r in landing.rows(trades.schema, True).collect()] == [(late.first()["tx_hash"], 2)]
     want = vwap_buckets(trades).select("market_id", "ts", "mid_price", "volume")
-    assert _rows(spark.read.parquet(str(tmp_path / "v")).select("market_id", "ts", "mid_price", "volume")) == _rows(want)
+    assert _rows(twins.all_minutes(table, landing, trades.schema)) == _rows(want)
+    before = _rows(landing.rows(trades.schema, False))
+    landing.write(trades, 2)  # a batch that is whole is not written again
+    assert _rows(landing.rows(trades.schema, False)) == before and landing.late_count() == 1
+
+
+def _mtimes(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in sorted(path.rglob("*.parquet"))}
+
+
+@pytest.mark.parametrize("policy", ["overwrite", "do_nothing", {"v": "greatest"}])
+def test_merge_reads_and_writes_touched_weeks_only(spark, tmp_path, policy):
+    weeks = lambda k: at(60 * 24 * 7 * k + 5)
+    frame = lambda rows: spark.createDataFrame(rows, "market_id string, ts timestamp, v int")
+    old = [(m, weeks(k), k) for m in ("a", "b", None) for k in range(6)]
+    path = tmp_path / "facts"
+    table = stored.Stored(spark, str(path), ("market_id", "ts"), stored.week_of()).create(frame(old))
+    files = _mtimes(path)
+    new = frame([("a", weeks(2), 1), ("a", at(60 * 24 * 7 * 2 + 9), 90), (None, weeks(3), 99)])
+    plan = table.merged(new)._jdf.queryExecution().executedPlan().toString() if isinstance(policy, dict) else None
+    assert plan is None or "PartitionFilters: [week" in plan.replace("isnotnull(week), ", "") or "week#" in plan.split("PartitionFilters")[1][:80]
+    table.merge(new, policy)
+    touched = {str(r[0]) for r in new.select(stored.week_of()).distinct().collect()}
+    after = _mtimes(path)
+    kept = {f: t for f, t in files.items() if f.split("/")[0].split("=")[1] not in touched}
+    assert len(touched) == 2 and kept and all(after[f] == t for f, t in kept.items())
+    want = {r[:2]: r[2] for r in old}
+    for m, t, v in (tuple(r) for r in new.collect()):
+        have = want.get((m, t))
+        want[m, t] = v if have is None or policy == "overwrite" else have if policy == "do_nothing" else max(v, have)
+    assert {(r.market_id, r.ts): r.v for r in table.rows().collect()} == want and table.rows().count() == len(want)
+    table.merge(new, policy)  # once more changes nothing
+    assert {(r.market_id, r.ts): r.v for r in table.rows().collect()} == want
+    table.merge(new.limit(0), policy)
+    assert sorted(r.v for r in table.between(weeks(1), weeks(2)).collect()) == sorted(v for (m, t), v in want.items() if weeks(1) <= t < weeks(2))
 
 
 class _Session:

@@ -17,12 +17,13 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], policy: str | d
 
     Policies, for all columns or per column: ``overwrite`` (new row wins, also with NULL),
     ``coalesce`` (new value unless NULL), ``keep`` (old row wins), ``least`` and ``greatest``.
-    ``"do_nothing"`` keeps old rows whole and adds only unseen keys.
+    ``"do_nothing"`` keeps old rows whole and adds only unseen keys. NULL keys match each other.
     """
     if policy == "do_nothing":
-        return existing.unionByName(new.join(existing.select(*keys), keys, "left_anti").select(*existing.columns))
+        same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+        return existing.unionByName(new.alias("n").join(existing.select(*keys).alias("o"), same, "left_anti").select(*existing.columns))
     o, n = existing.withColumn("_o", F.lit(True)).alias("o"), new.withColumn("_n", F.lit(True)).alias("n")
-    cond = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
+    cond = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
     both = F.col("o._o") & F.col("n._n")
     out = []
     for c in existing.columns:
