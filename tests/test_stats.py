@@ -235,7 +235,8 @@ def test_population_intervals_against_brute_force(spark):
     mine = [r for r in rows if r[0] == "a" and r[6] == 1 and r[3] <= late]
     scores = []
     for b in range(1, BOOTSTRAP_B + 1):
-        u = [int(hashlib.md5(f"{SEED}|{b}|{r[1]}:{r[2]}".encode()).hexdigest()[:8], 16) / 2 ** 32 for r in mine]
+        at = 8 * ((b - 1) % 4)  # four replicates share a digest
+        u = [int(hashlib.md5(f"{SEED}|{(b - 1) // 4}|{r[1]}:{r[2]}".encode()).hexdigest()[at:at + 8], 16) / 2 ** 32 for r in mine]
         k = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(j) for j in range(18)]), u, side="right")
         w = k * np.array([r[5] for r in mine])
         scores.append(((w * [r[4] for r in mine]).sum() / w.sum() - 0.3) / 0.7)
@@ -244,3 +245,46 @@ def test_population_intervals_against_brute_force(spark):
     assert got["a"]["ils_dl_ci_high"] == pytest.approx(np.percentile(scores, 97.5), abs=1e-6)
     assert got["a"]["exclusion_reason"] == "" and got["b"]["exclusion_reason"] == "low_trade_count" and got["c"]["exclusion_reason"] == "edge_effect"
     assert got["b"]["ils_dl_ci_low"] is None and got["c"]["ils_dl_ci_high"] is None and len(got) == 3
+
+
+def test_close_values_are_cut_into_ranges(spark, monkeypatch):
+    """A group of close doubles spreads over many partitions; groups keep exact ranks when partitions are made anew."""
+    monkeypatch.setattr(rk, "PER_RANGE", 500)
+    df = spark.range(20000).select(F.when(F.col("id") % 4 == 0, F.lit(None).cast("string")).otherwise("g").alias("g"), (F.lit(0.5) + F.col("id") * F.lit(1e-12)).alias("x"), "id")
+    df = df.unionByName(df.where("id % 10 = 0"))
+    got = {(r["g"], r["value"]): (r["n"], r["below"], r["total"]) for r in rk.ranked_values(df, ["g"], "x").collect()}
+    want, rows = {}, sorted(((r["g"], r["x"]) for r in df.collect()), key=lambda r: (r[0] or "", r[1]))
+    for g in (None, "g"):
+        xs = [x for h, x in rows if h == g]
+        for k, x in enumerate(xs):
+            n, below, _ = want.get((g, x), (0, k, 0))
+            want[g, x] = (n + 1, below, len(xs))
+    assert got == want
+    parts = rk._in_ranges(df.groupBy("g", F.col("x").alias("value")).agg(F.count("*").alias("n")), ["g"], 50).groupBy("_part").count().collect()
+    assert len(parts) > 40 and max(r["count"] for r in parts) < 1000
+
+
+@pytest.mark.parametrize("portable", [True, False])
+@pytest.mark.parametrize("rows,chunk,groups", [(20_000, 2_000, 1_000), (60, 7, 1)])
+def test_replicates_against_brute_force(spark, monkeypatch, portable, rows, chunk, groups):
+    """Counts are Poisson draws of (seed, row, replicate): sums by hand, and mean and variance as resampling theory has them."""
+    for name, value in (("ROWS", rows), ("CHUNK", chunk), ("GROUPS", groups)):
+        monkeypatch.setattr(rs, name, value)
+    rng = np.random.default_rng(4)
+    data = [(f"r{k}", None if k % 3 == 0 else "a|b" if k % 3 == 1 else "a", "c" if k % 3 == 1 else "b|c", float(rng.normal(5, 2)), float(rng.uniform(1, 4))) for k in range(600)]
+    df = spark.createDataFrame(data, "id string, g string, h string, x double, w double").repartition(5)
+    got = {(r["g"], r["h"], r["b"]): r["mean"] for r in rs.replicate_means(df, ["g", "h"], "id", "x", "w", 400, portable=portable).collect()}
+    assert len(got) == 3 * 400
+    for g, h in {(r[1], r[2]) for r in data}:
+        mine = [r for r in data if r[1:3] == (g, h)]
+        x, w = (np.array([r[j] for r in mine]) for j in (3, 4))
+        reps = np.array([got[g, h, b] for b in range(1, 401)])
+        if portable:
+            k = rs.poisson_counts(rs.uniforms([r[0] for r in mine], 400, SEED, True))
+            assert np.allclose(reps, (k * (w * x)[:, None]).sum(0) / (k * w[:, None]).sum(0))
+        mean = (w * x).sum() / w.sum()
+        sd = math.sqrt((w * w * (x - mean) ** 2).sum()) / w.sum()
+        assert abs(reps.mean() - mean) < 4 * sd / 20 and 0.85 < reps.std() / sd < 1.15
+    k = rs.poisson_counts(rs.uniforms(list(range(2000)) if portable else np.arange(2000), 500, 7, portable))
+    assert abs(k.mean() - 1) < 0.01 and abs(k.var() - 1) < 0.02 and abs(np.corrcoef(k[:, 0], k[:, 1])[0, 1]) < 0.08
+    assert rs.replicate_means(df.limit(0), ["g"], "id", "x", replicates=5).count() == 0

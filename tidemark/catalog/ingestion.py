@@ -8,6 +8,7 @@ from tidemark.operators import audits as au
 from tidemark.plans import population as pop
 from tidemark.session import stage_folder
 from tidemark.sources import files, ingest
+from tidemark.sources.stored import BUCKET, Stored, bucket_of, week_of
 from tidemark.sources.upsert import upsert
 
 _MARKET_COLS = "market_id question description category_raw t_open:t end_date:t t_resolve:t outcome:l volume:d liquidity:d slug yes_token"
@@ -72,16 +73,56 @@ def load_new_trades(v):
     return ingest.new_fills(ingest.fills(v.raw_fills), v.trades)
 
 
-@query("load_resolutions", "market_id t_resolve:t outcome:l evidence_url proposer", """
-    with r as (select *, decode(unhex(ancillary_hex)) as txt from requests where settled),
-    u as (select *, regexp_extract_all(txt, 'https?://[^\\s,"'']+') as urls, regexp_extract(txt, '0x[0-9a-f]{64}') as market_id from r)
-    select market_id, make_timestamp(resolve_timestamp * 1000000) as t_resolve, case when resolved_price::double / 1e18 >= 0.5 then 1 else 0 end as outcome,
+_RESOLVED = """
+    r as (select *, decode(unhex(ancillary_hex)) as txt from requests where settled),
+    u as (select *, regexp_extract_all(txt, 'https?://[^\\s,"'']+') as urls, regexp_extract(txt, '0x[0-9a-f]{64}') as market_id from r),
+    res as (select market_id, make_timestamp(resolve_timestamp * 1000000) as t_resolve, case when resolved_price::double / 1e18 >= 0.5 then 1 else 0 end as outcome,
       coalesce(list_filter(urls, lambda x: not contains(x, 'polymarket.com'))[1], urls[1]) as evidence_url, lower(proposer) as proposer
-    from u where market_id in (select market_id from markets)""")
+    from u where market_id in (select market_id from markets))"""
+
+
+@query("load_resolutions", "market_id t_resolve:t outcome:l evidence_url proposer", "with " + _RESOLVED + " select * from res")
 def load_resolutions(v):
     return ingest.resolutions(v.requests, v.markets)
 
 
+@query("upsert_resolutions", "market_id question t_resolve:t outcome:l evidence_url proposer", "with " + _RESOLVED + """
+    select m.market_id, question, case when r.market_id is not null then r.t_resolve else m.t_resolve end as t_resolve,
+      case when r.market_id is not null then r.outcome else m.outcome end as outcome, case when r.market_id is not null then r.evidence_url else m.evidence_url end as evidence_url,
+      case when r.market_id is not null then r.proposer else m.proposer end as proposer from markets m left join res r on r.market_id = m.market_id""")
+def upsert_resolutions(v):
+    """Four columns of stored markets are overwritten; a market that is not stored would get an empty question."""
+    cols = ["market_id", "question", "t_resolve", "outcome", "evidence_url", "proposer"]
+    table = Stored(v.spark, stage_folder(v.spark) + "/markets", ("market_id",), bucket_of("market_id", 8), BUCKET).create(v.markets.select(cols))
+    new = ingest.resolutions(v.requests, v.markets).withColumn("question", F.lit("")).select(cols)
+    table.merge(new, {c: "overwrite" for c in cols[2:]})
+    return table.rows()
+
+
+@query("merge_stored_prices", "market_id ts:t mid_price:d", "with " + _QUOTES + """,
+    picked as (select * from fresh where ts >= timestamp '2024-01-15 00:00:00' and ts < timestamp '2024-01-18 00:00:00')
+    select coalesce(f.market_id, p.market_id) as market_id, coalesce(f.ts, p.ts) as ts,
+      case when f.market_id is not null then f.mid_price else p.mid_price + 0.5 end as mid_price
+    from picked f full join prices p on p.market_id = f.market_id and p.ts = f.ts""")
+def merge_stored_prices(v):
+    """Three days of quotes merged into prices stored by week: other weeks are neither read nor written."""
+    old = v.prices.select("market_id", "ts", (F.col("mid_price") + 0.5).cast("decimal(8,6)").alias("mid_price"))
+    table = Stored(v.spark, stage_folder(v.spark) + "/prices", ("market_id", "ts"), week_of()).create(old)
+    table.merge(ingest.quotes(v.raw_quotes).where("ts >= timestamp '2024-01-15 00:00:00' and ts < timestamp '2024-01-18 00:00:00'"))
+    return table.rows()
+
+
+@query("insert_stored_trades", "tx_hash log_index:l ts:t price:d", "with " + _FILLS.replace("{idx}", _LOG_INDEX) + """
+    select tx_hash, log_index, ts, price from trades where event_id % 3 > 0
+    union all select tx_hash, log_index, ts, price from loaded l where not exists (select 1 from trades t where t.event_id % 3 > 0 and t.tx_hash = l.tx_hash and t.log_index = l.log_index)""")
+def insert_stored_trades(v):
+    """Fills beside the trades that are stored, by a bucket of the hash; stored ones stay as they are and only new files are written."""
+    cols = ["tx_hash", "log_index", "ts", "price"]
+    table = Stored(v.spark, stage_folder(v.spark) + "/trades", ("tx_hash", "log_index"), bucket_of("tx_hash", 8), BUCKET).create(v.trades.where("event_id % 3 > 0").select(cols))
+    table.merge(ingest.fills(v.raw_fills).select(cols), "do_nothing")
+    return table.rows()
+
+
 @query("load_transfers", "address n_transfers:l total_usdc:d first_seen_chain_at:t", """
     select lower(to_address) as address, count(*) as n_transfers, sum(value_units::decimal(30,0) * 0.000001) as total_usdc, min(ts) as first_seen_chain_at
     from transfers group by all""")

@@ -15,7 +15,7 @@ def _scores(df):
 
 
 def _series(v):
-    return ser.prepare_series(v.prices, v.trades)
+    return v.history, ser.history_bounds(v.history)
 
 
 @query("minute_vwap", "market_id ts:t mid_price:d volume:d", """
@@ -81,9 +81,9 @@ def fill_missing_minutes(v):
 
 
 @query("price_source_choice", "market_id source", """
-    select market_id, case when n >= 2 then 'quotes' else 'trade_vwap' end as source from (
-      select t.market_id, count(distinct p.ts) as n from trades t left join prices p on p.market_id = t.market_id
-      group by t.market_id)""")
+    with q as (select market_id, count(*) as n from prices group by all), t as (select distinct market_id from trades)
+    select coalesce(q.market_id, t.market_id) as market_id, case when n >= 2 then 'quotes' else 'trade_vwap' end as source
+    from q full join t on t.market_id = q.market_id where n >= 2 or t.market_id is not null""")
 def price_source_choice(v):
     return ser.market_sources(v.prices, v.trades)
 
@@ -286,13 +286,13 @@ _LABEL_CTES = SERIES + """,
 @query("market_labels", SCORE_COLS + " t_news:t category resolution_type n_trades_total:l n_trades_pre_news:l volume_pre_share:d "
        "pre_news_max_jump:d wallet_hhi_top10:d t_news_tier:l", _LABEL_CTES + " select * from labels_out")
 def market_labels(v):
-    return _scores(plan.market_labels(v.markets, v.prices, v.trades, v.news))
+    return _scores(plan.market_labels(v.markets, v.prices, v.trades, v.news, history=v.history))
 
 
 @query("label_audit_append", "market_id event_type ils:d flags resolution_type t_news_tier:l", _LABEL_CTES + """
     select market_id, 'label_computed' as event_type, ils, flags, resolution_type, t_news_tier from labels_out""")
 def label_audit_append(v):
-    a = plan.label_audit(plan.market_labels(v.markets, v.prices, v.trades, v.news))
+    a = plan.label_audit(plan.market_labels(v.markets, v.prices, v.trades, v.news, history=v.history))
     j = F.from_json("details", "ils string, flags array<string>, resolution_type string, t_news_tier int")
     return a.withColumn("j", j).select("market_id", "event_type", "j.ils", F.array_join("j.flags", ",").alias("flags"),
                                        "j.resolution_type", "j.t_news_tier")
@@ -323,7 +323,7 @@ def score_candidates(v):
        then round_even((rp.p_ref - op.p_open) / (q.p_resolve - op.p_open), 6) end as ils
     from q left join op on op.market_id = q.market_id left join rp on rp.market_id = q.market_id and rp.h = q.h""")
 def ils_offset_sweep(v):
-    return plan.offset_sweep(v.markets, v.prices, v.trades)
+    return plan.offset_sweep(v.markets, v.prices, v.trades, history=v.history)
 
 
 @query("ils_reference_compare", "market_id ils_proxy:d ils_report:d delta:d", SERIES + """,
@@ -341,7 +341,7 @@ def ils_offset_sweep(v):
     select a.market_id, a.ils as ils_proxy, b.ils as ils_report, b.ils - a.ils as delta
     from r a join r b on b.market_id = a.market_id where a.tier = 3 and b.tier = 2""")
 def ils_reference_compare(v):
-    return plan.reference_compare(v.markets, v.prices, v.trades, v.news.where("tier = 3"), v.news.where("tier = 2"))
+    return plan.reference_compare(v.markets, v.prices, v.trades, v.news.where("tier = 3"), v.news.where("tier = 2"), v.history)
 
 
 @query("timing_label", "market_id address first_trade:t timing", """

@@ -63,7 +63,7 @@ _POP_CI = f""",
     yes as (select t.market_id, t.tx_hash || ':' || t.log_index as id, t.price::double as x, t.notional_usdc::double as w from trades t
             join casc c on c.market_id = t.market_id and c.reason = '' where t.outcome_index = 1 and t.ts between c.t_open and c.t_event),
     yes_n as (select market_id, count(*) as n_trades from yes group by all),
-    drawn as (select *, case {_POISSON} end as k from (select yes.*, b, (('0x' || substring(md5('20260430|' || b || '|' || id), 1, 8))::bigint) / 4294967296.0::double as u
+    drawn as (select *, case {_POISSON} end as k from (select yes.*, b, (('0x' || substring(md5('20260430|' || ((b - 1) // 4) || '|' || id), 8 * ((b - 1) % 4) + 1, 8))::bigint) / 4294967296.0::double as u
               from yes cross join (select unnest(range(1, {C.BOOTSTRAP_B} + 1)) as b))),
     reps as (select market_id, b, sum(k * w * x) / nullif(sum(k * w), 0) as m from drawn where k > 0 group by all),
     ci as (select r.market_id, count((m - po) / nullif(outcome - po, 0)) as n_valid, quantile_cont((m - po) / nullif(outcome - po, 0), 0.025) as lo,
@@ -83,7 +83,7 @@ _POP_CI = f""",
       case when reason = '' and ok.lo is null then 'low_trade_count' else reason end as exclusion_reason, ok.lo as ils_dl_ci_low, ok.hi as ils_dl_ci_high
       from casc left join ok on ok.market_id = casc.market_id""")
 def population_ils(v):
-    return pop.with_intervals(staged(pop.population_scores(v.markets, _events(v), v.prices, v.trades)), v.trades, portable=True)
+    return pop.with_intervals(staged(pop.population_scores(v.markets, _events(v), v.prices, v.trades, v.history)), v.trades, portable=True)
 
 
 _REASONS = ["deadline_NO", "low_confidence_t_event", "negative_tau", "no_quote_coverage", "ils_compute_error", "edge_effect", "trivial_resolution", "ils_null"]
@@ -91,7 +91,7 @@ _REASONS = ["deadline_NO", "low_confidence_t_event", "negative_tau", "no_quote_c
 
 @query("scope_cascade", "exclusion_reason n:l", _POP_SQL + " select string_split(reason, ':')[1] as exclusion_reason, count(*) as n from casc group by all")
 def scope_cascade(v):
-    p = pop.population_scores(v.markets, _events(v), v.prices, v.trades)
+    p = pop.population_scores(v.markets, _events(v), v.prices, v.trades, v.history)
     return p.groupBy(F.split("exclusion_reason", ":")[0].alias("exclusion_reason")).agg(F.count("*").alias("n"))
 
 
@@ -102,7 +102,7 @@ def scope_cascade(v):
     select step, case when step = 0 then 'initial' else 'after_' || ['deadline_NO', 'low_confidence_t_event', 'negative_tau', 'no_quote_coverage', 'ils_compute_error', 'edge_effect',
       'trivial_resolution', 'ils_null'][step] end as stage, n, coalesce(lag(n) over (order by step) - n, 0) as dropped from s""")
 def filter_attrition(v):
-    return au.filter_attrition(pop.population_scores(v.markets, _events(v), v.prices, v.trades), _REASONS)
+    return au.filter_attrition(pop.population_scores(v.markets, _events(v), v.prices, v.trades, v.history), _REASONS)
 
 
 @query("regulatory_subcategory", "market_id subcategory", f"""
@@ -309,7 +309,7 @@ _PROXY = SERIES + """,
     select h as offset_hours, count(ils) as n, median(ils) as median, avg(ils) as mean, 100.0 * count(*) filter (ils > 0) / count(ils) as pct_pos,
       100.0 * count(*) filter (abs(ils) > 1) / count(ils) as pct_extreme from sw where ils is not null group by h""")
 def proxy_summary(v):
-    return au.proxy_summary(plan.offset_sweep(v.markets, v.prices, v.trades))
+    return au.proxy_summary(plan.offset_sweep(v.markets, v.prices, v.trades, history=v.history))
 
 
 @query("monotone_trend", "n_aligned:l n_increasing:l n_decreasing:l", _PROXY + """,
@@ -317,7 +317,7 @@ def proxy_summary(v):
     select count(*) as n_aligned, count(*) filter (a <= b and b <= c and c <= d) as n_increasing, count(*) filter (a >= b and b >= c and c >= d) as n_decreasing
     from w where a is not null and b is not null and c is not null and d is not null""")
 def monotone_trend(v):
-    return au.monotone_trend(plan.offset_sweep(v.markets, v.prices, v.trades), [24, 6, 2, 1])
+    return au.monotone_trend(plan.offset_sweep(v.markets, v.prices, v.trades, history=v.history), [24, 6, 2, 1])
 
 
 @query("group_comparison", "grp n:l median:d mean:d min:d max:d pct_pos:d", """
@@ -373,9 +373,27 @@ _FORMS = "with " + _DELAYS + f""",
       union all select category, subcategory, period, n, 'weibull', 2, n * (ln(k) - k * ls + (k - 1) * ml - 1), exp(ls), k from wb)"""
 
 
-@query("functional_form", _CELL_COLS + " distribution n:l log_lik:d aic:d bic:d", _FORMS + " select *, ll as log_lik, 2 * k - 2 * ll as aic, k * ln(n) - 2 * ll as bic from fm")
+# the normal distribution as the series exp(-x^2) * sum 4^k k! x^(2k+1) / (2k+1)!, x = z / sqrt(2); beyond 8 it is 0 or 1 in 15 digits
+_Z = "ln(d.tau_days / f.scale) / f.shape"
+_PHI = f"""case when abs({_Z}) > 8 then case when {_Z} > 0 then 1 else 0 end else 0.5 + coalesce(sign({_Z}) / sqrt(pi()) * list_sum(list_transform(range(0, 160),
+      lambda k: exp(k * ln(4) + (2 * k + 1) * ln(nullif(abs({_Z}), 0) / sqrt(2)) + lgamma(k + 1) - lgamma(2 * k + 2) - pow({_Z}, 2) / 2))), 0) end"""
+
+
+_KS = _FORMS + f""",
+    r as (select d.category, d.subcategory, d.period, f.distribution, case f.distribution when 'exponential' then 1 - exp(-d.tau_days / f.scale)
+        when 'weibull' then 1 - exp(-pow(d.tau_days / f.scale, f.shape)) else {_PHI} end as cdf,
+        row_number() over (partition by d.category, d.subcategory, d.period, f.distribution order by d.tau_days) as i, f.n
+      from del d join fm f on f.category is not distinct from d.category and f.subcategory is not distinct from d.subcategory and f.period is not distinct from d.period),
+    k as (select category, subcategory, period, distribution, max(greatest(cdf - (i - 1) / n::double, i / n::double - cdf)) as ks, max(n) as n from r group by all),
+    x as (select *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * ks as x from k),
+    kp as (select *, case when x < 0.2 then 1 else greatest(0, least(1, (select sum(2 * pow(-1, j - 1) * exp(-2 * j * j * x * x)) from (select unnest(range(1, 41)) as j) q))) end as ks_pvalue from x)"""
+
+
+@query("functional_form", _CELL_COLS + " distribution n:l log_lik:d aic:d bic:d ks:d ks_pvalue:d", _KS + """
+    select fm.*, ll as log_lik, 2 * k - 2 * ll as aic, k * ln(fm.n) - 2 * ll as bic, ks, ks_pvalue from fm join kp on kp.category is not distinct from fm.category
+      and kp.subcategory is not distinct from fm.subcategory and kp.period is not distinct from fm.period and kp.distribution = fm.distribution""")
 def functional_form(v):
-    return fits.functional_forms(fits.positive_delays(v.population))
+    return fits.forms_with_ks(fits.positive_delays(v.population))
 
 
 @query("functional_form_weibull", _CELL_COLS + " distribution n:l log_lik:d scale:d shape:d", _FORMS + " select *, ll as log_lik from fm where distribution = 'weibull'")
@@ -390,20 +408,7 @@ def functional_form_winner(v):
     return fits.best_form(fits.functional_forms(fits.positive_delays(v.population)))
 
 
-# the normal distribution as the series exp(-x^2) * sum 4^k k! x^(2k+1) / (2k+1)!, x = z / sqrt(2); beyond 8 it is 0 or 1 in 15 digits
-_Z = "ln(d.tau_days / f.scale) / f.shape"
-_PHI = f"""case when abs({_Z}) > 8 then case when {_Z} > 0 then 1 else 0 end else 0.5 + coalesce(sign({_Z}) / sqrt(pi()) * list_sum(list_transform(range(0, 160),
-      lambda k: exp(k * ln(4) + (2 * k + 1) * ln(nullif(abs({_Z}), 0) / sqrt(2)) + lgamma(k + 1) - lgamma(2 * k + 2) - pow({_Z}, 2) / 2))), 0) end"""
-
-
-@query("ks_statistic", _CELL_COLS + " distribution ks:d n:l ks_pvalue:d", _FORMS + f""",
-    r as (select d.category, d.subcategory, d.period, f.distribution, case f.distribution when 'exponential' then 1 - exp(-d.tau_days / f.scale)
-        when 'weibull' then 1 - exp(-pow(d.tau_days / f.scale, f.shape)) else {_PHI} end as cdf,
-        row_number() over (partition by d.category, d.subcategory, d.period, f.distribution order by d.tau_days) as i, f.n
-      from del d join fm f on f.category is not distinct from d.category and f.subcategory is not distinct from d.subcategory and f.period is not distinct from d.period),
-    k as (select category, subcategory, period, distribution, max(greatest(cdf - (i - 1) / n::double, i / n::double - cdf)) as ks, max(n) as n from r group by all),
-    x as (select *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * ks as x from k)
-    select *, case when x < 0.2 then 1 else greatest(0, least(1, (select sum(2 * pow(-1, j - 1) * exp(-2 * j * j * x * x)) from (select unnest(range(1, 41)) as j) q))) end as ks_pvalue from x""")
+@query("ks_statistic", _CELL_COLS + " distribution ks:d n:l ks_pvalue:d", _KS + " select * from kp")
 def ks_statistic(v):
     d = fits.positive_delays(v.population)
     return fits.ks_statistic(d, fits.functional_forms(d))
@@ -434,7 +439,7 @@ def mann_whitney_p(v):
 # --------------------------------------------------------------- resampling
 
 @query("bootstrap_engine", _CELL_COLS + " b:l mean:d", "with " + _COMP + f""",
-    u as (select c.*, b, (('0x' || substring(md5('20260430|' || b || '|' || market_id), 1, 8))::bigint) / 4294967296.0::double as u from comp c cross join (select unnest(range(1, {C.BOOTSTRAP_B} + 1)) as b)),
+    u as (select c.*, b, (('0x' || substring(md5('20260430|' || ((b - 1) // 4) || '|' || market_id), 8 * ((b - 1) % 4) + 1, 8))::bigint) / 4294967296.0::double as u from comp c cross join (select unnest(range(1, {C.BOOTSTRAP_B} + 1)) as b)),
     w as (select *, case {_POISSON} end as k from u)
     select category, subcategory, period, b, sum(k * ils_dl) / sum(k) as mean from w group by all having sum(k) > 0""")
 def bootstrap_engine(v):
@@ -443,7 +448,7 @@ def bootstrap_engine(v):
 
 @query("bootstrap_ils_ci", "market_id n_trades:l ci_low:d ci_high:d")
 def bootstrap_ils_ci(v):
-    points, bounds = ser.prepare_series(v.prices, v.trades)
+    points, bounds = v.history, ser.history_bounds(v.history)
     refs = plan.snap_open(plan.standard_refs(v.markets, v.news), bounds)
     s = plan.score(refs, points, bounds).select("market_id", "t_open", F.col("t_ref").alias("t_event"), "p_open", "p_resolve")
     return rs.score_interval(v.trades, staged(s))
@@ -518,7 +523,8 @@ _TOPIC = """case k % 6 when 0 then 'geopolitics' when 1 then 'politics' when 2 t
 _QUOTA_SQL = f"""
     with c as (select m.market_id, {_TOPIC.replace('k %', 'num %')} as topic, m.t_resolve - interval 24 hour as cutoff from markets m
       where m.outcome is not null and m.t_resolve is not null),
-    ok as (select c.* from c where exists (select 1 from trades t where t.market_id = c.market_id and t.ts < c.cutoff)),
+    ok as (select c.* from c where exists (select 1 from trades t where t.market_id = c.market_id and t.ts < c.cutoff)
+           or exists (select 1 from prices p where p.market_id = c.market_id and p.ts < c.cutoff)),
     r as (select *, row_number() over (partition by topic order by md5('{C.SEED}|' || market_id), market_id) as rn, case when topic in ('geopolitics', 'entertainment') then 20 else 16 end as q,
       case topic when 'politics' then 'geopolitics' when 'geopolitics' then 'politics' when 'crypto' then 'economics' when 'economics' then 'crypto' when 'sports' then 'entertainment' else 'sports' end as sib from ok),
     own as (select market_id, topic, topic as slot from r where rn <= q),
@@ -542,16 +548,19 @@ def _pool(v):
     return m.join(base, "market_id")
 
 
-@query("fixture_export", "marketId category categoryRule resolutionOutcome:l resolvedAt baselineDate baselineSource volumeUsdc:d tradeCount:l eventGroupId isBucketMarket:b", f"""
+@query("fixture_export", "marketId question category categoryRule resolutionOutcome:l resolvedAt baselineDate baselineMidPrice:d baselineSource ilsScore:d volumeUsdc:d tradeCount:l eventGroupId isBucketMarket:b", f"""
     with s as ({_QUOTA_SQL}), n as (select market_id, count(*) as n from trades group by all), q as (select distinct p.market_id from prices p join markets m on m.market_id = p.market_id
       where p.ts < m.t_resolve - interval 24 hour),
+    bq as (select m.market_id, arg_max(p.mid_price, p.ts)::double as x from markets m join prices p on p.market_id = m.market_id and p.ts < m.t_resolve - interval 24 hour group by all),
+    bt as (select m.market_id, 1 - sum(t.size_shares * t.price)::double / sum(t.size_shares)::double as x from markets m join trades t on t.market_id = m.market_id and t.ts < m.t_resolve - interval 24 hour group by all),
     g as (select event_group from markets m where t_resolve >= timestamp '2024-01-01' and outcome in (0, 1) and volume >= {C.MIN_VOLUME} and not coalesce(neg_risk, false)
       and m.market_id in (select market_id from trades) group by all having count(*) >= 3 and sum(outcome) = 1)
-    select m.market_id as "marketId", s.topic as category, m.category as "categoryRule", m.outcome as "resolutionOutcome", strftime(m.t_resolve, '%Y-%m-%dT%H:%M:%SZ') as "resolvedAt",
+    select m.market_id as "marketId", m.question, round(coalesce(bq.x, bt.x), 6) as "baselineMidPrice", null as "ilsScore", s.topic as category, m.category as "categoryRule", m.outcome as "resolutionOutcome", strftime(m.t_resolve, '%Y-%m-%dT%H:%M:%SZ') as "resolvedAt",
       strftime(m.t_resolve - interval 24 hour, '%Y-%m-%dT%H:%M:%SZ') as "baselineDate", case when q.market_id is not null then 'quote_mid' else 'trade_vwap' end as "baselineSource",
       m.volume as "volumeUsdc", n.n as "tradeCount", m.event_group as "eventGroupId", coalesce(m.neg_risk, false)
         or (m.t_resolve >= timestamp '2024-01-01' and m.volume >= {C.MIN_VOLUME} and coalesce(m.event_group in (select event_group from g where event_group is not null), false)) as "isBucketMarket"
-    from s join markets m on m.market_id = s.market_id left join n on n.market_id = s.market_id left join q on q.market_id = s.market_id""")
+    from s join markets m on m.market_id = s.market_id left join n on n.market_id = s.market_id left join q on q.market_id = s.market_id
+    left join bq on bq.market_id = s.market_id left join bt on bt.market_id = s.market_id""")
 def fixture_export(v):
     s = sa.quota_sample(_pool(v), "topic", "market_id", _QUOTAS)
     groups = au.exclusive_groups(v.markets, v.trades, F.expr("timestamp '2024-01-01'")).select("market_id", F.col("is_bucket_market").alias("_bucket"))

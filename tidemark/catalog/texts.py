@@ -197,6 +197,17 @@ def side_normalise(v):
     return v.raw_fills.select("ingest_no", P.side_normalise(F.get_json_object("line", "$.side")).alias("side"))
 
 
+@query("side_of_asset", "ingest_no:l asset side", """
+    with m as (select ingest_no, line->>'$.clobTokenIds' as t from raw_markets where line->>'$.clobTokenIds' is not null),
+    a as (select ingest_no, t->>'$[1]' as yes, unnest([t->>'$[0]', t->>'$[1]', null]) as asset from m)
+    select ingest_no, asset, case when asset = yes then 'BUY' else 'SELL' end as side from a""")
+def side_of_asset(v):
+    t = F.from_json(F.get_json_object("line", "$.clobTokenIds"), "array<string>")
+    m = v.raw_markets.select("ingest_no", t.alias("t")).where("t is not null")
+    a = m.select("ingest_no", F.get("t", F.lit(1)).alias("yes"), F.explode(F.array(F.get("t", F.lit(0)), F.get("t", F.lit(1)), F.lit(None))).alias("asset"))
+    return a.withColumn("side", P.side_of_asset(F.col("asset"), F.col("yes")))
+
+
 @query("json_path", "ingest_no:l title neg_risk first_tag", """
     select ingest_no, line->>'$.events[0].title' as title, line->>'$.events[0].negRisk' as neg_risk,
       case when json_type(line, '$.tags') = 'ARRAY' then line->>'$.tags[0]' end as first_tag from raw_markets""")
@@ -393,12 +404,19 @@ def disagreement(v):
     return _passes(v).groupBy("severity").agg(F.count("*").alias("n"), F.max("delta_days").alias("max_days"))
 
 
-@query("agreement_rates", "scope n:l exact_match_rate:d within_24h_rate:d n_minor:l n_major:l", _PASSES + """
+@query("agreement_rates", "scope n:l exact_match_rate:d within_24h_rate:d within_6h_rate:d source_overlap_rate:d n_minor:l n_major:l", _PASSES + f""",
+    src as (select market_id, tier, from_json(ok->'$.sources', '["VARCHAR"]') as u from {_JS} where ok is not null),
+    o as (select x.*, coalesce(list_has_any(a.u, b.u), false) as overlap from x left join src a on a.market_id = x.market_id and a.tier = 1
+          left join src b on b.market_id = x.market_id and b.tier = 3)
     select scope, count(*) as n, round(avg(exact_match::int), 4) as exact_match_rate, round(avg(within_24h::int), 4) as within_24h_rate,
+      round(avg((d1 = d2)::int), 4) as within_6h_rate, round(avg(overlap::int), 4) as source_overlap_rate,
       count(*) filter (severity = 'minor') as n_minor, count(*) filter (severity = 'major') as n_major
-    from (select 'overall' as scope, * from x union all select bucket::varchar, * from x) group by scope""")
+    from (select 'overall' as scope, * from o union all select bucket::varchar, * from o) group by scope""")
 def agreement_rates(v):
-    return au.agreement_rates(_passes(v).withColumn("source_overlap", F.lit(None).cast("boolean")), "bucket")
+    s = v.answers.where("text not like 'DATE:%'").select("market_id", "tier", rec.json_answer(F.col("text"))["sources"].alias("u"))
+    side = lambda t, name: s.where(F.col("tier") == t).select("market_id", F.col("u").alias(name))
+    j = _passes(v).join(side(1, "u1"), "market_id", "left").join(side(3, "u2"), "market_id", "left")
+    return au.agreement_rates(j.withColumn("source_overlap", au.sources_overlap(F.col("u1"), F.col("u2"))), "bucket")
 
 
 @query("source_overlap", "market_id overlap:b", f"""

@@ -115,6 +115,11 @@ def side_normalise(c: Column) -> Column:
     return F.when(F.lower(F.coalesce(c, F.lit("Buy"))) == "buy", "BUY").otherwise("SELL")
 
 
+def side_of_asset(taker_asset: Column, yes_token: Column) -> Column:
+    """BUY where the taker receives the YES token, SELL for any other asset, unknown ones and NULL too."""
+    return F.when(taker_asset.cast("string") == yes_token.cast("string"), "BUY").otherwise("SELL")
+
+
 def format_iso(ts: Column) -> Column:
     """ISO text with Z; microseconds only when there are any."""
     return F.when(F.unix_micros(ts) % 1_000_000 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")) \

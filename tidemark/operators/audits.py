@@ -181,10 +181,10 @@ def cross_market_wallets(trades: DataFrame, market_set: DataFrame, least: int =
     pairs = (trades.join(market_set.select("market_id"), "market_id", "left_semi")
              .groupBy(F.col("taker_address").alias("address"), "market_id")
              .agg(F.sum("notional_usdc").alias("v"), F.min("ts").alias("t")))
-    return (pairs.groupBy("address").agg(F.count("*").alias("n_markets"), F.sum("v").alias("volume"),
-                                         F.min("t").alias("earliest_trade"),
-                                         F.sort_array(F.collect_list("market_id")).alias("market_ids"))
-            .where(F.col("n_markets") >= least).join(wallet_market_counts(trades), "address", "left"))
+    several = staged(pairs.groupBy("address").agg(F.count("*").alias("n_markets"), F.sum("v").alias("volume"), F.min("t").alias("earliest_trade"),
+                                                  F.sort_array(F.collect_list("market_id")).alias("market_ids")).where(F.col("n_markets") >= least))
+    theirs = trades.join(several.select(F.col("address").alias("taker_address")), "taker_address", "left_semi")
+    return several.join(wallet_market_counts(theirs), "address", "left")
 
 
 def market_trade_stats(trades: DataFrame, limit: int | None = 20) -> DataFrame:

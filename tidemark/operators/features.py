@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import minutes_between
 from tidemark.operators.hot import join_hot
+from tidemark.session import staged
 
 MONEY = "decimal(24,6)"
 
@@ -34,21 +35,46 @@ def volume_features(trades: DataFrame, refs: DataFrame) -> DataFrame:
     """
     j = join_hot(trades.select("market_id", "ts", "notional_usdc", "tx_hash"),
                  refs.select("market_id", "t_news", "t_resolve"), ["market_id"], spread=["tx_hash"])
-    pre, total = F.col("ts") < F.col("t_news"), F.col("ts") <= F.col("t_resolve")
-    n = F.col("notional_usdc")
-    agg = j.groupBy("market_id").agg(
-        F.count_if(total).alias("n_trades_total"), F.count_if(pre).alias("n_trades_pre_news"),
-        F.sum(F.when(total, n)).alias("_total"), F.sum(F.when(pre, n)).alias("_pre"),
-        F.max(F.when(pre, n)).alias("pre_news_max_jump"))
+    return _volumes(j.groupBy("market_id").agg(*_volume_sums()), refs)
+
+
+def _volume_sums() -> list[Column]:
+    pre, total, n = F.col("ts") < F.col("t_news"), F.col("ts") <= F.col("t_resolve"), F.col("notional_usdc")
+    return [F.count_if(total).alias("n_trades_total"), F.count_if(pre).alias("n_trades_pre_news"),
+            F.sum(F.when(total, n)).alias("_total"), F.sum(F.when(pre, n)).alias("_pre"), F.max(F.when(pre, n)).alias("pre_news_max_jump")]
+
+
+def _volumes(sums: DataFrame, refs: DataFrame) -> DataFrame:
     zero = F.lit(0).cast(MONEY)
     share = F.bround(F.try_divide(F.coalesce(F.col("_pre"), zero).cast(MONEY), F.col("_total").cast(MONEY)), 6)
-    out = refs.select("market_id").join(agg, "market_id", "left")
+    out = refs.select("market_id").join(sums, "market_id", "left")
     return out.select(
         "market_id", F.coalesce("n_trades_total", F.lit(0)).alias("n_trades_total"),
         F.coalesce("n_trades_pre_news", F.lit(0)).alias("n_trades_pre_news"),
         F.when(F.col("_total") > 0, share).cast("decimal(18,6)").alias("volume_pre_share"), "pre_news_max_jump")
 
 
+def label_features(trades: DataFrame, refs: DataFrame) -> DataFrame:
+    """``volume_features`` and ``wallet_features`` together for refs (market_id, t_news, t_resolve, p_resolve), from one pass over the trades.
+
+    The pass leaves one row per (market, taker), written, with what both sides add up.
+    """
+    j = join_hot(trades.select("market_id", "ts", "taker_address", "side", "outcome_index", "price", "notional_usdc", "tx_hash"),
+                 refs.select("market_id", "t_news", "t_resolve", "p_resolve"), ["market_id"], spread=["tx_hash"])
+    ours = _aligned()
+    per = staged(j.groupBy("market_id", "t_news", F.col("taker_address").alias("address")).agg(
+        *_volume_sums(), F.sum(F.when(ours, F.col("notional_usdc"))).alias("notional"), F.min(F.when(ours, F.col("ts"))).alias("first_trade_ts"),
+        F.count_if(ours).alias("n_trades")))
+    sums = per.groupBy("market_id").agg(*[F.sum(c).alias(c) for c in ("n_trades_total", "n_trades_pre_news", "_total", "_pre")], F.max("pre_news_max_jump").alias("pre_news_max_jump"))
+    return _volumes(sums, refs).join(_top_wallets(per.where("n_trades > 0")), "market_id", "left")
+
+
+def _aligned() -> Column:
+    """Is a trade before the news, on the side and outcome that the market resolved to?"""
+    side = F.when(F.col("p_resolve") == 1, "BUY").otherwise("SELL")
+    return F.coalesce((F.col("ts") < F.col("t_news")) & (F.col("side") == side) & (F.col("outcome_index") == F.col("p_resolve")), F.lit(False))
+
+
 def aligned_wallets(trades: DataFrame, refs: DataFrame) -> DataFrame:
     """Per (market, taker): trades on the winning side before ``t_news``.
 
@@ -57,9 +83,7 @@ def aligned_wallets(trades: DataFrame, refs: DataFrame) -> DataFrame:
     j = join_hot(trades.select("market_id", "ts", "taker_address", "side", "outcome_index", "price",
                                "notional_usdc", "tx_hash"),
                  refs.select("market_id", "t_news", "p_resolve"), ["market_id"], spread=["tx_hash"])
-    side = F.when(F.col("p_resolve") == 1, "BUY").otherwise("SELL")
-    return (j.where((F.col("ts") < F.col("t_news")) & (F.col("side") == side)
-                    & (F.col("outcome_index") == F.col("p_resolve")))
+    return (j.where(_aligned())
             .groupBy("market_id", "t_news", F.col("taker_address").alias("address"))
             .agg(F.sum("notional_usdc").alias("notional"), F.min("ts").alias("first_trade_ts"),
                  F.count("*").alias("n_trades"), F.avg(F.lit(1) - F.col("price").cast("double")).alias("avg_inverted")))
@@ -75,7 +99,11 @@ def wallet_features(trades: DataFrame, refs: DataFrame) -> DataFrame:
 
     The index is the sum of squared shares within the ten; the list is ordered by notional.
     """
-    top = top_n(aligned_wallets(trades, refs), ["market_id"], [F.desc("notional"), "address"], 10)
+    return _top_wallets(aligned_wallets(trades, refs))
+
+
+def _top_wallets(aligned: DataFrame) -> DataFrame:
+    top = top_n(aligned, ["market_id"], [F.desc("notional"), "address"], 10)
     n = F.col("notional").cast("decimal(18,6)")
     agg = top.groupBy("market_id").agg(
         F.sum((n * n).cast("decimal(38,12)")).alias("_sq"), F.sum(n).alias("_s"),

@@ -14,6 +14,7 @@ from tidemark.constants import KS_BOOTSTRAP_B, SEED
 from tidemark.operators.hot import attach
 from tidemark.operators.ranks import percentiles, ranked_values, with_ranks
 from tidemark.operators.resample import _rng
+from tidemark.session import staged
 
 CELL = ["category", "subcategory", "period"]
 DISTS = ["exponential", "weibull", "lognormal"]
@@ -58,35 +59,36 @@ def hazard_exponential(delays: DataFrame, groups: list[str] = CELL, least: int =
             .withColumn("half_life_days", math.log(2.0) * F.col("mean_tau_days")))
 
 
-def _weibull_shape(delays: DataFrame, groups: list[str], stats: DataFrame, rounds: int = 3, points: int = 16) -> DataFrame:
+def _log_counts(delays: DataFrame, groups: list[str]) -> DataFrame:
+    """The table that all fits read, written: number of rows per group and logarithm of the delay."""
+    return staged(delays.groupBy(*groups, F.log(F.col("tau_days").cast("double")).alias("_l")).agg(F.count("*").cast("double").alias("_c")))
+
+
+def _weibull_shape(logs: DataFrame, groups: list[str], stats: DataFrame, rounds: int = 3, first: int = 32, points: int = 16) -> DataFrame:
     """Maximum-likelihood shape per group.
 
-    The score equation is monotone in the shape. Every round evaluates it on a grid between the
-    current bounds with one aggregation, keeps the sub-interval where it changes sign, and the last
-    one is cut linearly. Values are divided by their geometric mean, which keeps the powers tame.
+    The score equation is monotone in the shape. A round evaluates it on a grid between the current bounds in one pass, in which every
+    grid point is a pair of sums, keeps the sub-interval where the sign changes, and the last one is cut linearly. Values are
+    divided by their geometric mean, which keeps the powers tame.
     """
-    base = attach(delays.select(*groups, F.col("tau_days").cast("double").alias("_x")), stats, groups)
-    y = base.select(*groups, (F.log("_x") - F.col("mean_log")).alias("_ly"))
-    # copies of a value are counted once before the grid multiplies the rows
-    y = y.groupBy(*groups, "_ly").agg(F.count("*").cast("double").alias("_c"))
-    lo, hi = F.lit(0.02), F.lit(60.0)
-    bounds = stats.select(*groups, lo.alias("lo"), hi.alias("hi"))
+    y = attach(logs, stats.select(*groups, "mean_log"), groups).select(*groups, (F.col("_l") - F.col("mean_log")).alias("_ly"), "_c")
+    grid = [F.lit(0.02 * (60.0 / 0.02) ** (j / first)) for j in range(first + 1)]
+    bounds = None
     for i in range(rounds + 1):
-        log_grid = i == 0
-        steps = 48 if log_grid else points
-        at = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda j: (
-            F.exp(F.log("lo") + (F.log("hi") - F.log("lo")) * j / steps) if log_grid
-            else F.col("lo") + (F.col("hi") - F.col("lo")) * j / steps))
-        g = (attach(y, bounds, groups).select(*groups, "_ly", "_c", F.explode(at).alias("k"))
-             .withColumn("_p", F.col("_c") * F.exp(F.col("k") * F.col("_ly")))
-             .groupBy(*groups, "k").agg((F.sum(F.col("_p") * F.col("_ly")) / F.sum("_p")).alias("_r"))
-             .withColumn("g", F.col("_r") - 1.0 / F.col("k")))
-        bounds = g.groupBy(*groups).agg(
-            F.max(F.when(F.col("g") <= 0, F.struct("k", "g"))).alias("_a"), F.min(F.when(F.col("g") > 0, F.struct("k", "g"))).alias("_b")) \
-            .where("_a is not null and _b is not null") \
-            .select(*groups, F.col("_a.k").alias("lo"), F.col("_b.k").alias("hi"), F.col("_a.g").alias("_ga"), F.col("_b.g").alias("_gb"))
-        shape = bounds.select(*groups, (F.col("lo") - F.col("_ga") * (F.col("hi") - F.col("lo")) / (F.col("_gb") - F.col("_ga"))).alias("shape"))
-        bounds = bounds.select(*groups, "lo", "hi")
+        rows, held = y, []
+        if i:
+            rows, held = attach(y, bounds, groups), ["lo", "hi"]
+            grid = [F.col("lo") + (F.col("hi") - F.col("lo")) * (j / points) for j in range(points + 1)]
+        sums = []
+        for j, k in enumerate(grid):
+            p = F.col("_c") * F.exp(k * F.col("_ly"))
+            sums += [F.sum(p).alias(f"_p{j}"), F.sum(p * F.col("_ly")).alias(f"_q{j}")]
+        g = rows.groupBy(*groups, *held).agg(*sums)
+        at = F.array(*[F.struct(k.alias("k"), (F.col(f"_q{j}") / F.col(f"_p{j}") - 1.0 / k).alias("g")) for j, k in enumerate(grid)])
+        g = g.select(*groups, at.alias("at")).select(*groups, F.array_max(F.filter("at", lambda s: s["g"] <= 0)).alias("a"), F.array_min(F.filter("at", lambda s: s["g"] > 0)).alias("b"))
+        g = g.where("a is not null and b is not null")
+        shape = g.select(*groups, (F.col("a.k") - F.col("a.g") * (F.col("b.k") - F.col("a.k")) / (F.col("b.g") - F.col("a.g"))).alias("shape"))
+        bounds = g.select(*groups, F.col("a.k").alias("lo"), F.col("b.k").alias("hi"))
     power = (attach(y, shape, groups).groupBy(*groups, "shape")
              .agg(F.sum(F.col("_c") * F.exp(F.col("shape") * F.col("_ly"))).alias("_s"), F.sum("_c").alias("_n")))
     return power.select(*groups, "shape", (F.log(F.col("_s") / F.col("_n")) / F.col("shape")).alias("_log_scale0"))
@@ -94,10 +96,11 @@ def _weibull_shape(delays: DataFrame, groups: list[str], stats: DataFrame, round
 
 def functional_forms(delays: DataFrame, groups: list[str] = CELL, least: int = 20, weibull: bool = True) -> DataFrame:
     """Log-likelihood, AIC and BIC per group and form, with the fitted parameters."""
-    lx = F.log(F.col("tau_days").cast("double"))
-    stats = delays.groupBy(*groups).agg(
-        F.count("*").alias("n"), F.avg(F.col("tau_days").cast("double")).alias("mean_tau"), F.avg(lx).alias("mean_log"),
-        F.stddev_pop(lx).alias("sd_log")).where(F.col("n") >= least)
+    logs, c, lx = _log_counts(delays, groups), F.col("_c"), F.col("_l")
+    mean = F.sum(c * lx) / F.sum(c)
+    stats = staged(logs.groupBy(*groups).agg(
+        F.sum(c).cast("bigint").alias("n"), (F.sum(c * F.exp(lx)) / F.sum(c)).alias("mean_tau"), mean.alias("mean_log"),
+        F.sqrt(F.greatest(F.sum(c * lx * lx) / F.sum(c) - mean * mean, F.lit(0.0))).alias("sd_log")).where(F.col("n") >= least))
     n = F.col("n")
     none = F.lit(None).cast("double")
     exp_ll = -n * (F.log("mean_tau") + 1.0)
@@ -107,7 +110,7 @@ def functional_forms(delays: DataFrame, groups: list[str] = CELL, least: int = 2
             stats.select(*groups, "n", F.lit("lognormal").alias("distribution"), F.lit(2).alias("n_params"), log_ll.alias("log_lik"),
                          F.exp("mean_log").alias("scale"), F.col("sd_log").alias("shape"))]
     if weibull:
-        w = attach(stats, _weibull_shape(delays, groups, stats), groups)
+        w = attach(stats, _weibull_shape(logs, groups, stats), groups)
         log_scale = F.col("mean_log") + F.col("_log_scale0")
         ll = n * (F.log("shape") - F.col("shape") * log_scale + (F.col("shape") - 1) * F.col("mean_log") - 1.0)
         rows.append(w.select(*groups, "n", F.lit("weibull").alias("distribution"), F.lit(2).alias("n_params"), ll.alias("log_lik"),
@@ -148,6 +151,13 @@ def kolmogorov_p(d: Column, n: Column, terms: int = 40) -> Column:
     return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)))
 
 
+def forms_with_ks(delays: DataFrame, groups: list[str] = CELL, least: int = 20) -> DataFrame:
+    """The form table with ``ks`` and ``ks_pvalue`` beside each form."""
+    forms = staged(functional_forms(delays, groups, least))
+    ks = ks_statistic(delays, forms, groups).drop("n")
+    return attach(forms, ks, [*groups, "distribution"])
+
+
 def ks_statistic(delays: DataFrame, forms: DataFrame, groups: list[str] = CELL) -> DataFrame:
     """Largest distance of the empirical from the fitted distribution, per group and form."""
     ranked = ranked_values(delays, groups, "tau_days").withColumnRenamed("n", "copies")
@@ -263,8 +273,9 @@ def ks_parametric_bootstrap(ks: DataFrame, groups: list[str] = CELL, replicates:
 def mann_whitney(df: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
     """Two-sided rank test of two groups: U of the first, normal p with tie and continuity correction, effect size."""
     two = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull()).select(group, value)
-    ranks = with_ranks(two, [], value)
-    ties = ranked_values(two, [], value).agg(F.sum(F.pow(F.col("n").cast("double"), 3.0) - F.col("n")).alias("ties"))
+    ranked = ranked_values(two, [], value)
+    ranks = with_ranks(two, [], value, ranked=ranked)
+    ties = ranked.agg(F.sum(F.pow(F.col("n").cast("double"), 3.0) - F.col("n")).alias("ties"))
     is1 = F.col(group) == first
     a = ranks.agg(F.sum(F.when(is1, F.col("avg_rank"))).alias("r1"), F.count_if(is1).alias("n1"), F.count_if(~is1).alias("n2"))
     from tidemark.operators.audits import one_row

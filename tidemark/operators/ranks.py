@@ -1,26 +1,26 @@
 """Exact ranks and percentiles of groups that may be very large.
 
 A plain window or ``percentile`` would bring a whole group to one task. Here equal values are first
-collapsed to a count, values fall into ordered buckets by a fixed rule, and bucket totals give every
-bucket its offset. No task holds more than one bucket of distinct values or one group's buckets.
+collapsed to a count and put in order by range partitions, whose splitters Spark samples, so a group of any size is cut at
+equal depth whatever its values look like. Every partition numbers its rows as they lie; the few totals of (partition, group)
+give the rest. No task holds more than one partition's distinct values at a time, and none gathers a group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.hot import attach
+from tidemark.session import staged
 
-PER_OCTAVE = 256
-
-
-def value_bucket(c: Column) -> Column:
-    """Order-preserving bucket number: logarithmic, 256 buckets per doubling, symmetric around zero."""
-    d = c.cast("double")
-    return (F.signum(d) * F.floor(F.log2(F.abs(d) * 1e6 + 1.0) * PER_OCTAVE)).cast("long")
+#: distinct values in a range partition, about; more partitions are made where one holds over twice as many
+PER_RANGE = 1_000_000
 
 
 def _same(left: str, right: str, cols: list[str]) -> Column:
@@ -33,18 +33,36 @@ def ranked_values(df: DataFrame, groups: list[str], value: str, weight: str | No
     NULL groups are ordinary groups; NULL values are left out.
     """
     n = F.sum(weight) if weight else F.count("*")
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("value"))
-              .agg(n.cast("long").alias("n")).withColumn("_b", value_bucket(F.col("value"))))
-    sums = counts.groupBy(*groups, "_b").agg(F.sum("n").alias("_bn"))
+    counts = (df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("value")).agg(n.cast("long").alias("n")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _in_ranges(counts, groups, parts)
+    most = rows.groupBy("_part").count().agg(F.max("count")).first()[0] or 0
+    if most > 2 * PER_RANGE:
+        rows = _in_ranges(rows.drop("_part", "_run"), groups, parts * -(-most // PER_RANGE))
+    sums = rows.groupBy(*groups, "_part").agg(F.min("_run").alias("_start"), F.sum("n").alias("_bn"))
     by_group = Window.partitionBy(*[F.col(g) for g in groups]) if groups else Window.partitionBy(F.lit(0))
     offsets = (sums.withColumn("_offset", F.coalesce(F.sum("_bn").over(
-        by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("total", F.sum("_bn").over(by_group)).drop("_bn"))
-    j = counts.alias("c").join(offsets.alias("o"), _same("c", "o", [*groups, "_b"]))
-    j = j.select(*[F.col(f"c.{c}").alias(c) for c in [*groups, "value", "n", "_b"]], "o._offset", "o.total")
-    w = Window.partitionBy(*groups, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return j.withColumn("below", F.col("_offset") + F.coalesce(F.sum("n").over(w), F.lit(0))) \
-        .drop("_offset", "_b")
+        by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_start"))
+        .withColumn("total", F.sum("_bn").over(by_group)).drop("_bn", "_start"))
+    j = rows.alias("c").join(offsets.alias("o"), _same("c", "o", [*groups, "_part"]))
+    return j.select(*[F.col(f"c.{c}").alias(c) for c in [*groups, "value", "n"]], (F.col("o._offset") + F.col("c._run")).alias("below"), "o.total")
+
+
+def _in_ranges(counts: DataFrame, groups: list[str], parts: int) -> DataFrame:
+    """``counts`` in order of group and value, written: ``_part`` the range, ``_run`` the sum of ``n`` of the rows before in this range."""
+    order = [*groups, "value"]
+    placed = counts.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for b in batches:
+            n = b.column(b.schema.names.index("n")).to_numpy()
+            upto = np.cumsum(n) + before
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(upto - n, pa.int64())], names=[*b.schema.names, "_run"])
+            before = int(upto[-1]) if len(upto) else before
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
+    return staged(placed.mapInArrow(run, f"{kinds}, _run bigint"))
 
 
 def value_at_rank(ranked: DataFrame, groups: list[str], ranks: dict[str, Column]) -> DataFrame:
@@ -82,9 +100,12 @@ def percentiles_of(ranked: DataFrame, groups: list[str], probs: dict[str, float]
     return out
 
 
-def with_ranks(df: DataFrame, groups: list[str], value: str, prefix: str = "") -> DataFrame:
-    """Add ``avg_rank`` (ties averaged), ``cume`` (share of the group at or below) and ``cell_n`` to each row."""
-    r = ranked_values(df, groups, value).select(
+def with_ranks(df: DataFrame, groups: list[str], value: str, prefix: str = "", ranked: DataFrame | None = None) -> DataFrame:
+    """Add ``avg_rank`` (ties averaged), ``cume`` (share of the group at or below) and ``cell_n`` to each row.
+
+    ``ranked`` are these ranks, if they were made before.
+    """
+    r = (ranked or ranked_values(df, groups, value)).select(
         *groups, F.col("value").alias("_rv"), (F.col("below") + (F.col("n") + 1) / 2).alias(f"{prefix}avg_rank"),
         ((F.col("below") + F.col("n")) / F.col("total")).alias(f"{prefix}cume"), F.col("total").alias(f"{prefix}cell_n"))
     out = attach(df.withColumn("_rv", F.col(value)), r, [*groups, "_rv"], "left")
@@ -97,7 +118,6 @@ def with_place(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     The order is a range sort: its partitions follow each other, so a row's place is its place in the partition plus the
     rows of the partitions before it, whose counts are one small row each.
     """
-    from tidemark.session import staged
     rows = df.orderBy(F.desc_nulls_last(value), tie).withColumn("_at", F.monotonically_increasing_id())
     rows = staged(rows.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))))
     before = (rows.groupBy("_part").agg(F.count("*").alias("_n"))

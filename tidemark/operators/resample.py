@@ -1,7 +1,7 @@
 """Bootstrap intervals that do not gather a sample in one place.
 
-Weighted means use Poisson weights: each row contributes to each replicate on its own, and partial
-sums meet in one small row per (group, replicate). Percentiles use order statistics: the m-th
+Weighted means use Poisson weights: each row contributes to each replicate on its own, and a task keeps the
+sums of a group for all replicates in one array. Percentiles use order statistics: the m-th
 smallest of n resampled values is the value whose rank is ceil(n * U), U ~ Beta(m, n - m + 1), so a
 replicate needs two ranks and not a resample. Proportions use binomial draws. All draws are a
 function of seed, group and replicate.
@@ -15,48 +15,106 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.constants import BOOTSTRAP_B, CELL_BOOTSTRAP_B, MIN_VALID_SHARE, SEED
+from tidemark.operators.hot import attach
 from tidemark.operators.ranks import ranked_values
+from tidemark.session import staged
 
 # beyond 17 the probability is below the step of a double uniform number
 _CUTS = list(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)]))
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count from a uniform number."""
-    w = None
-    for k, cut in enumerate(_CUTS):
-        w = F.when(u < cut, k) if w is None else w.when(u < cut, k)
-    return w.otherwise(len(_CUTS))
+#: rows of a group that are resampled in one task, rows whose draws are held at once, and groups whose sums are
+ROWS, CHUNK, GROUPS = 20_000, 2_000, 1_000
 
 
-def uniform(row_id: Column, b: Column, seed: int, portable: bool = False) -> Column:
-    """Uniform number of a row in a replicate; ``portable`` uses a digest that other engines share."""
+def poisson_counts(u: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts from uniform numbers."""
+    return np.searchsorted(_CUTS, u, side="right").astype(np.float64)
+
+
+def uniforms(ids: list | np.ndarray, replicates: int, seed: int, portable: bool = False) -> np.ndarray:
+    """Uniform numbers, a row for each id and a column for each replicate; ``portable`` ones are digests that other engines share.
+
+    A digest of seed, number of the four and id gives four replicates their numbers.
+    """
     if portable:
-        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), row_id.cast("string")))
-        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    h = F.xxhash64(F.lit(seed), b, row_id)
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(9007199254740992.0)
+        fours = -(-replicates // 4)
+        heads = [f"{seed}|{q}|".encode() for q in range(fours)]
+        whole = b"".join(hashlib.md5(h + i).digest() for i in (str(i).encode() for i in ids) for h in heads)
+        return (np.frombuffer(whole, ">u4").reshape(len(ids), 4 * fours)[:, :replicates]) / 4294967296.0
+    with np.errstate(over="ignore"):
+        x = np.asarray(ids, np.int64).view(np.uint64)[:, None] + (np.arange(1, replicates + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 9007199254740992.0
+
+
+def _identity(groups: list[str]) -> Column:
+    """A number for a group; NULL in one column is not NULL in another."""
+    return F.xxhash64(F.lit(0), *[F.col(f"`{g}`") for g in groups], *[F.col(f"`{g}`").isNull() for g in groups])
+
+
+def _sums(replicates: int, seed: int, portable: bool, n_groups: int):
+    """Per run of rows: weighted sums of each group in every replicate, as two arrays beside the group's columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}  # group -> its columns, sums of weighted values, sums of weights
+
+        def out():
+            columns = [pa.concat_arrays([h[0].column(k) for h in held.values()]) for k in range(n_groups)]
+            arrays = [pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * replicates, pa.int32()), pa.array(np.concatenate([h[j] for h in held.values()]))) for j in (1, 2)]
+            return pa.RecordBatch.from_arrays([*columns, *arrays], names=[f"g{k}" for k in range(n_groups)] + ["s", "n"])
+
+        for b in batches:
+            ids, x, w, g = (b.column(n_groups + k) for k in range(4))
+            x, w, g = (c.to_numpy(zero_copy_only=False) for c in (x, w, g))
+            for start in range(0, b.num_rows, CHUNK):
+                stop = min(start + CHUNK, b.num_rows)
+                part = ids.slice(start, stop - start)
+                k = poisson_counts(uniforms(part.to_pylist() if portable else part.to_numpy(), replicates, seed, portable))
+                for key in np.unique(g[start:stop]).tolist():
+                    at = np.flatnonzero(g[start:stop] == key)
+                    weight = w[start:stop][at]
+                    s, n = (weight * x[start:stop][at]) @ k[at], weight @ k[at]
+                    if key in held:
+                        held[key][1] += s
+                        held[key][2] += n
+                    else:
+                        held[key] = [b.slice(start + int(at[0]), 1), s, n]
+                if len(held) >= GROUPS:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+    return run
 
 
 def replicate_means(df: DataFrame, groups: list[str], row_id: str, value: str, weight: str | None = None,
                     replicates: int = BOOTSTRAP_B, seed: int = SEED, portable: bool = False) -> DataFrame:
-    """(groups, b, mean): weighted mean of every replicate; rows of weight zero are dropped at once."""
+    """(groups, b, mean): weighted mean of every replicate; no mean where all its weights are zero.
+
+    Rows are never repeated: a task draws a row's counts for all replicates and adds them to two arrays of its group, and only
+    such arrays are shuffled, one pair for about ``ROWS`` rows of a group. NULL groups are groups; NULL values are left out.
+    """
     w0 = F.col(weight).cast("double") if weight else F.lit(1.0)
     x = F.col(value).cast("double")
-    base = df.where(x.isNotNull()).select(*groups, F.col(row_id).alias("_id"), x.alias("_x"), w0.alias("_w"))
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    # moving the rows once costs little next to multiplying them; it also takes a hot group apart
-    long = (base.repartition(parts, "_id")
-            .withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-            .withColumn("_k", poisson_weight(uniform(F.col("_id"), F.col("b"), seed, portable))).where("_k > 0"))
-    return (long.groupBy(*groups, "b").agg(F.sum(F.col("_k") * F.col("_w") * F.col("_x")).alias("_s"),
-                                           F.sum(F.col("_k") * F.col("_w")).alias("_n"))
-            .select(*groups, "b", F.try_divide("_s", "_n").alias("mean")))
+    names = [f"g{k}" for k in range(len(groups))]
+    row = F.col(row_id).cast("string") if portable else F.xxhash64(row_id)
+    base = df.where(x.isNotNull() & w0.isNotNull()).select(*[F.col(g).alias(n) for g, n in zip(groups, names)], row.alias("_id"), x.alias("_x"), w0.alias("_w"))
+    base = base.withColumn("_g", _identity(names))
+    sizes = base.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / ROWS).alias("_parts"))
+    spread = attach(base, sizes, ["_g"], spread=["_id"]).withColumn("_p", F.pmod(F.xxhash64("_id"), F.col("_parts")))
+    placed = spread.repartition("_g", "_p").sortWithinPartitions("_g").select(*names, "_id", "_x", "_w", "_g")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema[:len(names)])
+    kinds = f"{kinds}, " if kinds else ""
+    sums = placed.mapInArrow(_sums(replicates, seed, portable, len(names)), f"{kinds}s array<double>, n array<double>")
+    long = sums.select(*names, F.posexplode(F.arrays_zip("s", "n")).alias("b", "r"))
+    out = long.groupBy(*names, (F.col("b") + 1).alias("b")).agg(F.sum("r.s").alias("_s"), F.sum("r.n").alias("_n")).where("_n > 0" if weight is None else "true")
+    return out.select(*[F.col(n).alias(g) for g, n in zip(groups, names)], "b", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias("mean"))
 
 
 def interval(reps: DataFrame, groups: list[str], value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -88,8 +146,8 @@ def _percentile_ranks(n: int, p: float, size: int, rng: np.random.Generator) ->
 def percentile_replicates(df: DataFrame, groups: list[str], value: str, probs: dict[str, float],
                           replicates: int = CELL_BOOTSTRAP_B, seed: int = SEED) -> DataFrame:
     """(groups, stat, b, value): bootstrap replicates of percentiles."""
-    ranked = ranked_values(df, groups, value).withColumn("_g", F.concat_ws("|", *[
-        F.coalesce(F.col(g).cast("string"), F.lit("␀")) for g in groups]) if groups else F.lit("all"))
+    # as JSON, so that texts with separators and NULLs stay apart; written once, as sizes and both ranks read it
+    ranked = staged(ranked_values(df, groups, value).withColumn("_g", F.to_json(F.struct(*groups)) if groups else F.lit("all")))
     sizes = ranked.groupBy("_g", *groups).agg(F.max("total").alias("total"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,7 +157,7 @@ def percentile_replicates(df: DataFrame, groups: list[str], value: str, probs: d
                     lo, hi, frac = _percentile_ranks(int(n), p, replicates, _rng(seed, g, stat))
                     yield pd.DataFrame({"_g": g, "stat": stat, "b": np.arange(1, replicates + 1), "lo": lo, "hi": hi, "frac": frac})
 
-    asked = sizes.select("_g", "total").mapInPandas(draw, "_g string, stat string, b int, lo bigint, hi bigint, frac double")
+    asked = staged(sizes.select("_g", "total").mapInPandas(draw, "_g string, stat string, b int, lo bigint, hi bigint, frac double"))
     found = values_at_ranks(ranked, asked.select("_g", F.explode(F.array("lo", "hi")).alias("rank")).distinct())
     lo, hi = found.withColumnsRenamed({"rank": "lo", "value": "_vlo"}), found.withColumnsRenamed({"rank": "hi", "value": "_vhi"})
     j = asked.join(lo, ["_g", "lo"]).join(hi, ["_g", "hi"])

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.constants import LOOKUP_TOLERANCE_MIN, TOPEN_FORWARD_HOURS
 from tidemark.functions.numeric import PRICE, clamp01, ratio
+from tidemark.operators import history
 from tidemark.operators.asof import last_before, nearest_within, neighbours
+from tidemark.operators.history import History
 from tidemark.session import staged
 
 GRANULARITY = {"1min": 60, "5min": 300, "1h": 3600}
@@ -74,15 +76,20 @@ def all_points(prices: DataFrame, trades: DataFrame, granularity: str = "1min")
                          .select("market_id", F.lit("trade_vwap").alias("source"), "ts", "mid_price")))
 
 
-def series_bounds(points: DataFrame, price_source: str = "auto") -> DataFrame:
+def series_bounds(points: DataFrame | History, price_source: str = "auto") -> DataFrame:
     """Chosen source of each market with the first and last point of its series.
 
     ``auto`` takes quotes when there are at least two, otherwise trades; the other modes take one
     source or nothing.
     """
-    per = points.groupBy("market_id", "source").agg(
+    if isinstance(points, History):
+        return history_bounds(points, price_source)
+    return _bounds(points.groupBy("market_id", "source").agg(
         F.count("*").alias("n_points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        F.min_by("mid_price", "ts").alias("first_price"))
+        F.min_by("mid_price", "ts").alias("first_price")), price_source)
+
+
+def _bounds(per: DataFrame, price_source: str) -> DataFrame:
     ok = F.when(F.col("source") == "quotes", F.col("n_points") >= 2).otherwise(True)
     if price_source != "auto":
         return per.where(ok & (F.col("source") == price_source))
@@ -91,10 +98,30 @@ def series_bounds(points: DataFrame, price_source: str = "auto") -> DataFrame:
     return best.select("market_id", "b.*")
 
 
-def prepare_series(prices: DataFrame, trades: DataFrame, price_source: str = "auto") -> tuple[DataFrame, DataFrame]:
-    """Staged points and bounds, for jobs that look prices up more than once."""
-    points = staged(all_points(prices, trades))
-    return points, staged(series_bounds(points, price_source))
+def store_history(prices: DataFrame, trades: DataFrame) -> History:
+    """All minute bars of quotes and trades, written once for any number of jobs."""
+    return history.store(all_points(prices, trades), prices.count() + trades.count())
+
+
+def _day_bounds(bars: History) -> DataFrame:
+    per = bars.days.groupBy("market_id", "source").agg(F.sum("n").alias("n_points"), F.min("_first").alias("_f"), F.max("_last._ts").alias("last_ts"))
+    return per.select("market_id", "source", "n_points", F.col("_f._ts").alias("first_ts"), "last_ts", F.col("_f._v").alias("first_price"))
+
+
+def history_bounds(bars: History, price_source: str = "auto") -> DataFrame:
+    """``series_bounds`` of a stored history, from its days."""
+    return staged(_bounds(_day_bounds(bars), price_source))
+
+
+def quote_bounds(bars: History) -> DataFrame:
+    """Bounds of the quotes alone, of every market that has any."""
+    return staged(_day_bounds(bars).where("source = 'quotes'"))
+
+
+def prepare_series(prices: DataFrame, trades: DataFrame, price_source: str = "auto") -> tuple[History, DataFrame]:
+    """Stored bars and their bounds, for jobs that look prices up more than once."""
+    bars = store_history(prices, trades)
+    return bars, history_bounds(bars, price_source)
 
 
 def market_sources(prices: DataFrame, trades: DataFrame, price_source: str = "auto") -> DataFrame:
@@ -102,7 +129,7 @@ def market_sources(prices: DataFrame, trades: DataFrame, price_source: str = "au
     return series_bounds(all_points(prices, trades), price_source).select("market_id", "source")
 
 
-def lookup_prices(lookups: DataFrame, points: DataFrame, bounds: DataFrame) -> DataFrame:
+def lookup_prices(lookups: DataFrame, points: DataFrame | History, bounds: DataFrame) -> DataFrame:
     """Price per lookup (market_id, kind, t, forward), as on the filled minute series, without filling.
 
     ``forward`` asks for the first price in 24 hours from ``t``; otherwise the nearest within five
@@ -112,9 +139,12 @@ def lookup_prices(lookups: DataFrame, points: DataFrame, bounds: DataFrame) -> D
     """
     asked = (lookups.join(bounds.select("market_id", "source", "last_ts"), "market_id")
              .select("market_id", "kind", "t", "forward", "source", "last_ts",
-                     F.date_trunc("minute", "t").alias("m"), F.concat_ws("|", "market_id", "source").alias("_ms")))
-    keyed = points.select(F.concat_ws("|", "market_id", "source").alias("_ms"), "ts", "mid_price")
-    n = neighbours(asked, keyed, "_ms", "m", "ts", "mid_price")
+                     F.date_trunc("minute", "t").alias("m")))
+    if isinstance(points, History):
+        n = history.neighbours(asked, points, "m")
+    else:
+        keyed = points.select(F.struct("market_id", "source").alias("_ms"), "ts", "mid_price")
+        n = neighbours(asked.withColumn("_ms", F.struct("market_id", "source")), keyed, "_ms", "m", "ts", "mid_price")
     back = F.unix_seconds("m") - F.unix_seconds("prev._ts")
     ahead = F.unix_seconds("next._ts") - F.unix_seconds("m")
     tol, wide = LOOKUP_TOLERANCE_MIN * 60, TOPEN_FORWARD_HOURS * 3600

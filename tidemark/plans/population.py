@@ -9,11 +9,11 @@ from tidemark import constants as C
 from tidemark.functions.numeric import days_between
 from tidemark.functions.text import classify_regulatory
 from tidemark.operators import filters as fi
-from tidemark.operators.audits import per_market
 from tidemark.operators.hot import attach, join_hot
 from tidemark.operators.ranks import finish_moments, moments, percentiles, percentiles_of, ranked_values, with_ranks
 from tidemark.operators.resample import score_interval
-from tidemark.operators.series import all_points
+from tidemark.operators.history import History
+from tidemark.operators.series import quote_bounds, store_history
 from tidemark.session import staged
 from tidemark.plans.scoring import deadline_refs, score
 
@@ -28,23 +28,21 @@ def proxy_news(markets: DataFrame) -> DataFrame:
                           F.lit("proxy:resolve-24h:control").alias("notes"))
 
 
-def population_scores(markets: DataFrame, events: DataFrame, prices: DataFrame, trades: DataFrame) -> DataFrame:
+def population_scores(markets: DataFrame, events: DataFrame, prices: DataFrame, trades: DataFrame, history: History | None = None) -> DataFrame:
     """One row per market of a prefiltered universe with score, scope and exclusion reason.
 
     ``events`` holds recovered events (market_id, t_event, confidence, n_sources). Scores use quotes
-    only, with a minute-before-event reference.
+    only, with a minute-before-event reference. ``history`` is a stored one of these prices; without it one is stored.
     """
     m = fi.prefilter_scope(markets).withColumnRenamed("exclusion_reason", "_pre")
     e = events.select("market_id", "t_event", F.col("confidence").alias("t_event_confidence"), "n_sources")
-    base = staged(m.join(e, "market_id", "left").join(per_market(prices, "n_quotes"), "market_id", "left"))
+    bars = history or store_history(prices, trades.where("false"))
+    bounds = quote_bounds(bars)
+    base = staged(m.join(e, "market_id", "left").join(bounds.select("market_id", F.col("n_points").alias("n_quotes")), "market_id", "left"))
     good = base.where((F.col("t_event_confidence") >= C.CONFIDENCE_THRESHOLD) & (F.col("_pre") == "")
                       & (F.col("t_event") > F.col("t_open")))
-    points = staged(all_points(prices, trades).where("source = 'quotes'"))
-    bounds = staged(points.groupBy("market_id", "source").agg(
-        F.count("*").alias("n_points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        F.min_by("mid_price", "ts").alias("first_price")))
     refs = deadline_refs(good.drop("t_event"), good.select("market_id", "t_event"))
-    s = score(refs, points, bounds).select(
+    s = score(refs, bars, bounds).select(
         "market_id", "status", F.col("p_open").cast("double").alias("p_open"),
         F.col("p_ref").cast("double").alias("p_event"), "ils", "ils_30min", "ils_2h", "ils_6h", "ils_24h", "flags")
     j = base.join(s, "market_id", "left").withColumn("tau_days", days_between(F.col("t_event"), F.col("t_open"))) \
@@ -109,7 +107,10 @@ def anchor_flags(population: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, groups: list[str], a: str, b: str, least: int = 5) -> DataFrame:
     """Rank correlation per group from tie-averaged ranks; NULL below ``least`` pairs."""
     paired = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*groups, a, b)
-    r = with_ranks(with_ranks(paired, groups, a, "a_"), groups, b, "b_")
+    sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col(a).alias("x")), F.struct(F.lit("b").alias("side"), F.col(b).alias("x"))))
+    ranked = ranked_values(paired.select(*groups, sides.alias("s")).select(*groups, "s.side", "s.x"), [*groups, "side"], "x")  # both columns in one pass
+    r = with_ranks(paired, groups, a, "a_", ranked.where("side = 'a'"))
+    r = with_ranks(r, groups, b, "b_", ranked.where("side = 'b'"))
     return r.groupBy(*groups).agg(
         F.count("*").alias("n_pairs"),
         F.when(F.count("*") >= least, F.corr("a_avg_rank", "b_avg_rank")).alias("spearman"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.constants import DEADLINE_LOOKBACK_HOURS, EPSILON, TOPEN_SNAP_SECONDS, WINDOWS_MIN
 from tidemark.functions.numeric import PRICE, decimal_ratio
-from tidemark.operators.features import best_news, volume_features, wallet_features
-from tidemark.operators.series import lookup_prices, prepare_series
+from tidemark.operators.features import best_news, label_features
+from tidemark.operators.history import History
+from tidemark.operators.series import history_bounds, lookup_prices, prepare_series
 from tidemark.session import staged
 
 REF_COLUMNS = ["market_id", "t_open", "t_ref", "t_resolve", "p_resolve", "lead_flags"]
@@ -54,12 +55,12 @@ def snap_open(refs: DataFrame, bounds: DataFrame) -> DataFrame:
             .withColumn("t_open", F.when(late, F.col("first_ts")).otherwise(F.col("t_open"))).drop("first_ts"))
 
 
-def score(refs: DataFrame, series: DataFrame, bounds: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+def score(refs: DataFrame, series: DataFrame | History, bounds: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Score rows of REF_COLUMNS; markets without any price are left out."""
     return _score(staged(refs), series, bounds, epsilon)
 
 
-def _score(refs: DataFrame, series: DataFrame, bounds: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+def _score(refs: DataFrame, series: DataFrame | History, bounds: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Score staged references.
 
     All prices of a market (opening, reference and five window starts) come from one exploded
@@ -102,14 +103,18 @@ def _score(refs: DataFrame, series: DataFrame, bounds: DataFrame, epsilon: float
         .otherwise(F.concat("lead_flags", F.array_compact(F.array(*flags)))).alias("flags"))
 
 
+def _history(prices: DataFrame, trades: DataFrame, price_source: str, history: History | None) -> tuple[History, DataFrame]:
+    return (history, history_bounds(history, price_source)) if history else prepare_series(prices, trades, price_source)
+
+
 def market_labels(markets: DataFrame, prices: DataFrame, trades: DataFrame, news: DataFrame,
-                  price_source: str = "auto") -> DataFrame:
+                  price_source: str = "auto", history: History | None = None) -> DataFrame:
     """The full label row of every scorable market with prices.
 
     Deadline markets use the recovered event when they resolved to yes, and a one-hour lookback
-    otherwise; all other markets need a news time.
+    otherwise; all other markets need a news time. ``history`` is a stored one of these prices and trades; without it one is stored.
     """
-    series, bounds = prepare_series(prices, trades, price_source)
+    series, bounds = _history(prices, trades, price_source, history)
     best = staged(best_news(news).select("market_id", "t_news", "tier", "confidence"))
     m = staged(scorable(markets).select("market_id", "t_open", "t_resolve", "outcome", "category", "resolution_type")
                .join(bounds.select("market_id"), "market_id", "left_semi"))
@@ -122,8 +127,7 @@ def market_labels(markets: DataFrame, prices: DataFrame, trades: DataFrame, news
     refs = staged(dl_refs.unionByName(std.select(*dl_refs.columns)))
     scores = _score(refs, series, bounds)
     feats = refs.select("market_id", "t_news", "t_resolve", "p_resolve")
-    return (scores.join(volume_features(trades, feats), "market_id", "left")
-            .join(wallet_features(trades, feats), "market_id", "left")
+    return (scores.join(label_features(trades, feats), "market_id", "left")
             .join(m.select("market_id", "category", "resolution_type"), "market_id")
             .join(best.join(dl.where("outcome = 0").select("market_id"), "market_id", "left_anti")
                   .select("market_id", F.col("tier").alias("t_news_tier")), "market_id", "left"))
@@ -157,9 +161,9 @@ def score_candidates(markets: DataFrame, prices: DataFrame, news: DataFrame, lab
 
 
 def offset_sweep(markets: DataFrame, prices: DataFrame, trades: DataFrame,
-                 offset_hours: tuple[int, ...] = (24, 6, 2, 1)) -> DataFrame:
+                 offset_hours: tuple[int, ...] = (24, 6, 2, 1), history: History | None = None) -> DataFrame:
     """Score at several fixed times before resolution; NULL where that is before the opening."""
-    series, bounds = prepare_series(prices, trades)
+    series, bounds = _history(prices, trades, "auto", history)
     base = staged(snap_open(scorable(markets).select("market_id", "t_open", "t_resolve",
                                                      F.col("outcome").alias("p_resolve")), bounds))
     sweep = (base.withColumn("offset_hours", F.explode(F.array(*[F.lit(h) for h in offset_hours])))
@@ -182,9 +186,9 @@ def offset_sweep(markets: DataFrame, prices: DataFrame, trades: DataFrame,
 
 
 def reference_compare(markets: DataFrame, prices: DataFrame, trades: DataFrame, first: DataFrame,
-                      second: DataFrame) -> DataFrame:
+                      second: DataFrame, history: History | None = None) -> DataFrame:
     """Scores at two candidate news times (market_id, t_news) and their difference."""
-    series, bounds = prepare_series(prices, trades)
+    series, bounds = _history(prices, trades, "auto", history)
     m = staged(scorable(markets).select("market_id", "t_open", "t_resolve", F.col("outcome").alias("p_resolve"))
                .join(bounds.select("market_id"), "market_id", "left_semi"))
 

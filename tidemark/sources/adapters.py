@@ -135,13 +135,24 @@ def view_sql(d: Dialect) -> dict[str, str]:
                cast(round(o_totalprice, 2) as decimal(20,6))
         from orders
       ) u"""
+    # quotes of every minute that was traded, of the whole first hour after opening, and around the times that news may be dated to
+    asked = " union all ".join(
+        [f"select num, market_id, {d.shift('t_open', str(m * 60 + 300))} as ts, {m} as place from markets where {{0}}" for m in (0, 20, 55)]
+        + [f"select num, market_id, {d.shift('t_resolve', f'-(num % 96) * 3600 - 1800 * {tier} - {lead * 60}')}, {k} from markets where {{0}}"
+           for tier in (1, 2) for k, lead in enumerate((0, 1, 3, 31, 121, 361, 1441, 10081), 3)])
+    quoted = "t_resolve is not null and category <> 'other' and outcome is not null and resolution_type <> 'unclassifiable' and (market_id in (select market_id from trades) or num % 50 = 7)"
+    v["quoted"] = f"""
+      select num, market_id, ts, place, row_number() over (partition by market_id, ts order by place) as rn from (
+        select num, market_id, date_trunc('minute', ts) as ts, place from ({asked.replace('{0}', quoted)}) a) b"""
     v["prices"] = """
       select market_id, ts, price as mid_price from (
-        select t.market_id, date_trunc('minute', t.ts) as ts, t.price,
-               row_number() over (partition by t.market_id, date_trunc('minute', t.ts)
-                                  order by t.ts, t.event_id) as rn
-        from trades t join markets m on m.market_id = t.market_id
-        where m.category <> 'other') q
+        select market_id, ts, price, row_number() over (partition by market_id, ts order by kind, seen, id) as rn from (
+          select t.market_id, date_trunc('minute', t.ts) as ts, t.price, 0 as kind, t.ts as seen, t.event_id as id
+          from trades t join markets m on m.market_id = t.market_id
+          where m.category <> 'other'
+          union all
+          select market_id, ts, cast(cast(1500 + (num * 37 + place * 311) % 7000 as decimal(10,0)) * 0.0001 as decimal(8,6)), 1, ts, num
+          from quoted where rn = 1) u) q
       where rn = 1"""
     tiers = " union all ".join(
         f"""select num, market_id, {i} as tier, t_resolve, category, outcome from markets
@@ -381,6 +392,7 @@ def with_views(sql: str) -> str:
 
 
 _landed: dict[tuple[str, str, str], str] = {}
+_histories: dict[tuple[str, str], object] = {}
 _INLINE = {"ev"}
 
 
@@ -414,6 +426,15 @@ class Views:
             _landed[key] = path
         return self.spark.read.schema(df.schema).parquet(_landed[key])
 
+    @property
+    def history(self):
+        """The minute bars of prices and trades, stored once per session like the tables themselves."""
+        from tidemark.operators.series import store_history
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _histories:
+            _histories[key] = store_history(self.prices, self.trades)
+        return _histories[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
