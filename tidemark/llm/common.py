@@ -46,3 +46,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int):
             total, start = 0, k
         total += int(size)
     yield batch.slice(start)
+
+
+def free(name: str, *taken) -> str:
+    """``name``, lengthened until none of the given columns or frames has it."""
+    used = {c.lower() for t in taken for c in (t.columns if isinstance(t, DataFrame) else t)}
+    while name.lower() in used:
+        name += "_"
+    return name

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_key
+from tidemark.llm.common import free, text_key
 from tidemark.session import staged
 
 RADIUS = 2
@@ -136,18 +136,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(staged(fingerprints(docs, "doc_id")))
 
 
-def keep_first(docs: DataFrame, keyed: DataFrame, rooted: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each ``root`` of ``rooted`` (doc_id, _th, root): the smallest doc_id (NULL last), then text digest; ``keyed`` is docs with _th."""
-    first = (rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th")).alias("k"))
-             .select(F.col("k.doc_id").alias("_d"), F.col("k._th").alias("_t")))
-    copies = rooted.groupBy("doc_id", "_th").count()
-    first = first.join(copies, first["_d"].eqNullSafe(copies["doc_id"]) & (first["_t"] == copies["_th"])).select("_d", "_t", F.col("count").alias("_n"))
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_d"]) & (keyed["_th"] == first["_t"]))
-    once = kept.where("_n = 1").select(docs.columns)
-    return once.unionByName(kept.where("_n > 1").dropDuplicates(["_d", "_t"]).select(docs.columns))
+def keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``rooted`` (doc_id, th, root; a row for each of docs): the smallest doc_id (NULL last), then text digest."""
+    d, t, n, th = (free(c, docs) for c in ("_d", "_t", "_n", "_th"))
+    first = (rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("k"))
+             .select(F.col("k.doc_id").alias(d), F.col("k.th").alias(t)))
+    copies = rooted.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias(n))
+    first = first.join(copies, first[d].eqNullSafe(copies["doc_id"]) & (first[t] == copies["th"])).select(d, t, n)
+    keyed = docs.withColumn(th, text_key(F.col("text")))
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first[d]) & (keyed[th] == first[t]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.where(F.col(n) == 1).select(columns).unionByName(kept.where(F.col(n) > 1).dropDuplicates([d, t]).select(columns))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class with all its columns: the one with the smallest doc_id (NULL last), then text digest; of equal rows any one."""
-    keyed = docs.withColumn("_th", text_key(F.col("text")))
-    return keep_first(docs, keyed, classes(staged(fingerprints(keyed, "doc_id", "_th"))))
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("th"))
+    return keep_first(docs, classes(staged(fingerprints(rows, "doc_id", "th"))))
