@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_scores import TRADES, at
+from tidemark.operators import audits as au
 from tidemark.operators.features import wallet_first_seen
 from tidemark.operators.series import vwap_buckets
 from tidemark.sources import files, ingest, stored
@@ -64,6 +65,23 @@ def test_market_lines(spark):
     assert got["7"]["t_open"] == datetime(2025, 1, 2, 2) and set(got) == {"0x1", "7"}
 
 
+def test_payloads_are_parsed_once(spark):
+    """Both encodings of lists, numbers for texts, missing and broken lines; one parse in the plan however many fields are read."""
+    rows = [(1, '{"id":"a","outcomePrices":["0.999","0"],"clobTokenIds":["1","2"],"volume":1e3,"liquidity":"7","events":[]}'),
+            (2, '{"id":"b","outcomePrices":"[\\"0\\",\\"1\\"]","clobTokenIds":"[\\"3\\"]","volume":"x","events":[{"title":"T","negRisk":true}],"closedTime":null}'),
+            (3, '{"id":"c","outcomePrices":"[0.5"'), (4, ""), (5, None), (6, '["id"]'), (7, '{"id":5,"outcomePrices":"[0.5","question":"q"}')]
+    raw = spark.createDataFrame(rows, "ingest_no int, line string")
+    got = {r["market_id"]: r for r in ingest.markets(raw).collect()}
+    assert set(got) == {"a", "b", "5"}
+    assert [(got[k]["outcome"], got[k]["yes_token"], got[k]["volume"], got[k]["category_raw"]) for k in "ab5"] == [
+        (1, "2", Decimal("1000.000000"), ""), (0, None, None, "T"), (None, None, None, "")]
+    assert got["a"]["liquidity"] == Decimal("7.000000") and got["b"]["t_resolve"] is None
+    plan = ingest.markets(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1
+    audit = au.json_field_audit(raw.withColumn("t_resolve", F.lit(None).cast("timestamp"))).collect()[0]
+    assert audit["exclusive_events"] == 1 and audit["with_closed_time"] == 0 and audit["resolved_total"] == 0
+
+
 def test_sinks_round_trip(spark, tmp_path):
     df = _kv(spark, [("x", 1, "o"), ("y", None, "p")])
     for fmt in ("csv", "parquet", "json"):

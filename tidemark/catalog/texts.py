@@ -212,10 +212,8 @@ def side_of_asset(v):
     select ingest_no, line->>'$.events[0].title' as title, line->>'$.events[0].negRisk' as neg_risk,
       case when json_type(line, '$.tags') = 'ARRAY' then line->>'$.tags[0]' end as first_tag from raw_markets""")
 def json_path(v):
-    g = lambda p: F.get_json_object("line", p)
-    tags = F.from_json(g("$.tags"), "array<string>")
-    return v.raw_markets.select("ingest_no", g("$.events[0].title").alias("title"), g("$.events[0].negRisk").alias("neg_risk"),
-                                F.get(tags, F.lit(0)).alias("first_tag"))
+    m = v.raw_markets.select("ingest_no", P.payload(F.col("line")).alias("p"))
+    return m.select("ingest_no", P.field("p", "$.events[0].title").alias("title"), P.field("p", "$.events[0].negRisk").alias("neg_risk"), P.field("p", "$.tags[0]").alias("first_tag"))
 
 
 @query("usdc_scale", "l_orderkey:l l_linenumber:l value_units:l usdc:d", """

@@ -10,6 +10,16 @@ from tidemark.constants import URL_PATTERN, VENUE_DOMAIN
 _MOD31 = 2 ** 31
 
 
+def payload(line: Column) -> Column:
+    """A JSON line as VARIANT, parsed once for all its fields; NULL when it is broken."""
+    return F.try_parse_json(line)
+
+
+def field(p: Column | str, path: str, kind: str = "string") -> Column:
+    """A field of a parsed line by path (``$.a[0].b``); lists and objects as JSON text, NULL when missing, JSON null or of another kind."""
+    return F.try_variant_get(F.col(p) if isinstance(p, str) else p, path, kind)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

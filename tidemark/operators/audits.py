@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
+from tidemark.functions.parsing import field, payload
 from tidemark.operators.features import aligned_wallets, top_n
 from tidemark.operators.ranks import percentiles
 from tidemark.session import staged
@@ -229,14 +230,15 @@ def tag_counts(raw: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def json_field_audit(raw: DataFrame) -> DataFrame:
-    """Where does the resolve time of a market come from? Needs line and t_resolve."""
-    closed, resolved = F.get_json_object("line", "$.closedTime").isNotNull(), F.col("t_resolve").isNotNull()
-    return raw.agg(
+    """Where does the resolve time of a market come from? Needs line and t_resolve; a line is parsed once, a broken one has no field."""
+    p = raw.select("t_resolve", payload(F.col("line")).alias("p"))
+    closed, resolved = field("p", "$.closedTime").isNotNull(), F.col("t_resolve").isNotNull()
+    return p.agg(
         F.count_if(resolved).alias("resolved_total"), F.count_if(resolved & closed).alias("resolved_with_closed_time"),
         F.count_if(resolved & ~closed).alias("resolved_no_closed_time"),
         F.count_if(~resolved & closed).alias("unresolved_with_closed_time"), F.count_if(closed).alias("with_closed_time"),
-        F.count_if(F.get_json_object("line", "$.startDate").isNotNull()).alias("with_start_date"),
-        F.count_if(F.get_json_object("line", "$.events[0].negRisk") == "true").alias("exclusive_events"))
+        F.count_if(field("p", "$.startDate").isNotNull()).alias("with_start_date"),
+        F.count_if(field("p", "$.events[0].negRisk") == "true").alias("exclusive_events"))
 
 
 def label_health(labels: DataFrame) -> DataFrame:

@@ -12,24 +12,20 @@ from tidemark.sources.upsert import keep_first
 MONEY, PRICE6 = "decimal(20,6)", "decimal(8,6)"
 
 
-_MARKET = ("conditionId string, id string, question string, description string, events array<struct<title: string>>, "
-           "groupItemTitle string, createdAt string, startDate string, endDate string, closedTime string, "
-           "outcomePrices string, clobTokenIds string, volume string, liquidity string, slug string")
-
-
 def markets(raw: DataFrame) -> DataFrame:
-    """Market lines (ingest_no, line) to one row per market, the first line winning. A line is parsed once."""
-    m = raw.select("ingest_no", F.from_json("line", _MARKET).alias("m")).select("ingest_no", "m.*")
-    one = lambda *cs: F.coalesce(*[P.blank_to_null(F.col(c)) for c in cs])
-    title = P.blank_to_null(F.get("events", F.lit(0))["title"])
+    """Market lines (ingest_no, line) to one row per market, the first line winning. A line is parsed once, into a VARIANT; broken lines are left out."""
+    # the place settles equal numbers; as it is no function of the row, Spark doesn't move the filter on ids before the parse and parse once more
+    m = raw.select("ingest_no", F.monotonically_increasing_id().alias("at"), P.payload(F.col("line")).alias("p"))
+    g = lambda name: P.field("p", f"$.{name}")
+    one = lambda *names: F.coalesce(*[P.blank_to_null(g(n)) for n in names])
     df = m.select(
-        "ingest_no", one("conditionId", "id").alias("market_id"), F.coalesce("question", F.lit("")).alias("question"),
-        "description", F.coalesce(title, one("groupItemTitle"), F.lit("")).alias("category_raw"),
-        P.parse_iso_ts(one("createdAt", "startDate")).alias("t_open"), P.parse_iso_ts(F.col("endDate")).alias("end_date"),
-        P.parse_iso_ts(F.col("closedTime")).alias("t_resolve"), P.outcome_from_prices(one("outcomePrices")).alias("outcome"),
-        F.col("volume").try_cast(MONEY).alias("volume"), F.col("liquidity").try_cast(MONEY).alias("liquidity"), one("slug").alias("slug"),
+        "ingest_no", "at", one("conditionId", "id").alias("market_id"), F.coalesce(g("question"), F.lit("")).alias("question"),
+        g("description").alias("description"), F.coalesce(one("events[0].title", "groupItemTitle"), F.lit("")).alias("category_raw"),
+        P.parse_iso_ts(one("createdAt", "startDate")).alias("t_open"), P.parse_iso_ts(g("endDate")).alias("end_date"),
+        P.parse_iso_ts(g("closedTime")).alias("t_resolve"), P.outcome_from_prices(one("outcomePrices")).alias("outcome"),
+        g("volume").try_cast(MONEY).alias("volume"), g("liquidity").try_cast(MONEY).alias("liquidity"), one("slug").alias("slug"),
         P.token_at(one("clobTokenIds")).alias("yes_token"))
-    return keep_first(df.where("market_id is not null"), ["market_id"], ["ingest_no"]).drop("ingest_no")
+    return keep_first(df.where("market_id is not null"), ["market_id"], ["ingest_no", "at"]).drop("ingest_no", "at")
 
 
 def quotes(raw: DataFrame) -> DataFrame:
