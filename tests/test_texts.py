@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +161,14 @@ def test_articles_match_substrings(spark):
         (datetime(2025, 1, 2), "SPORT", "u2", "p"), (datetime(2025, 1, 4), "TROOPS", "u3", "p")], "ts timestamp, themes string, url string, publisher string")
     r = rec.from_articles(m, a).collect()
     assert len(r) == 1 and r[0]["source_url"] == "u1"
+
+
+def test_words_within_against_brute_force(spark):
+    """Parts at the start, inside and at the end of words, whole words, repeated trigrams, parts that share all trigrams but not their order, and short ones."""
+    rng = random.Random(8)
+    words = {"".join(rng.choice("ABC") for _ in range(rng.randrange(1, 12))) for _ in range(400)} | {"CEASEFIRE", "FIREWORKS", "MISFIRED", "ABABAB", "BABA"}
+    parts = {w[i:j] for w in sorted(words)[:80] for i in range(len(w)) for j in range(i + 1, len(w) + 1)} | {"FIRE", "CEASE", "WORKS", "ABCABD", "AB", "A", "", "BABAB", "XYZ"}
+    frame = lambda xs, name: spark.createDataFrame([(x,) for x in xs] * 2 + [(None,)], f"{name} string")
+    got = {(r.kw, r.run) for r in rec.words_within(frame(parts, "kw"), frame(words, "run")).collect()}
+    assert got == {(p, w) for p in parts for w in words if len(p) >= 3 and p in w}
+    assert rec.words_within(frame(parts, "kw"), frame(words, "run").limit(0)).count() == 0

@@ -11,6 +11,7 @@ from tidemark.functions.text import extract_keywords
 from tidemark.operators.asof import first_at_or_after
 from tidemark.operators.filters import url_allowed
 from tidemark.operators.hot import join_hot
+from tidemark.session import staged
 
 _NULLS = ["null", "none", ""]
 
@@ -47,11 +48,29 @@ def from_pages(pages: DataFrame) -> DataFrame:
             .withColumn("tier", F.lit(1)).withColumn("confidence", F.lit(C.CONFIDENCE_PAGE)))
 
 
+def trigrams(c: Column) -> Column:
+    """Distinct runs of three characters of a word of three or more."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3))))
+
+
+def words_within(parts: DataFrame, words: DataFrame) -> DataFrame:
+    """Distinct (kw, run) with the part ``kw`` anywhere inside the word ``run``; parts of under three characters are in none.
+
+    The words have one posting for each of their trigrams, so the index is linear in their length. A part is looked for at its rarest
+    trigram only, is dropped when any of its trigrams has no posting, and is verified in the words found there.
+    """
+    postings = staged(words.where(F.length("run") >= 3).select("run").distinct().select("run", F.explode(trigrams(F.col("run"))).alias("gram")))
+    often = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = parts.where(F.length("kw") >= 3).select("kw").distinct().select("kw", F.explode(trigrams(F.col("kw"))).alias("gram"))
+    rarest = (asked.join(often, "gram", "left").groupBy("kw").agg(F.min_by("gram", "n").alias("gram"), F.count("n").alias("met"), F.count(F.lit(1)).alias("all"))
+              .where("met = `all`"))
+    return rarest.join(postings, "gram").where(F.col("run").contains(F.col("kw"))).select("kw", "run")
+
+
 def from_articles(markets: DataFrame, articles: DataFrame) -> DataFrame:
     """Earliest article in the life of each market whose themes contain one of its keywords.
 
-    A theme contains a keyword when one of its letter runs does. The runs are a small vocabulary, so
-    they are expanded to their substrings once and met by equality; no text is compared pair by pair.
+    A theme contains a keyword when one of its letter runs does; runs and keywords are matched once per distinct word.
     """
     lo = F.coalesce("t_open", F.col("t_resolve") - F.expr(f"interval {C.ARTICLE_WINDOW_DAYS} days"))
     kw = (markets.where("t_resolve is not null")
@@ -60,10 +79,7 @@ def from_articles(markets: DataFrame, articles: DataFrame) -> DataFrame:
           .withColumn("kw", F.upper("kw")))
     runs = articles.select("ts", "url", "publisher", F.explode(F.array_distinct(
         F.regexp_extract_all(F.upper("themes"), F.lit("([A-Z]{3,})"), 1))).alias("run"))
-    vocab = runs.select("run").distinct()
-    cuts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("run") - 2), lambda i: F.transform(
-        F.sequence(F.lit(3), F.length("run") - i + 1), lambda n: F.substr(F.col("run"), i, n))))
-    contains = vocab.select("run", F.explode(F.array_distinct(cuts)).alias("kw"))
+    contains = words_within(kw.select("kw"), runs.select("run"))
     lookups = join_hot(kw, contains, ["kw"], spread=["market_id"]).select("market_id", "run", "lo", "hi").distinct()
     facts = runs.groupBy("run", "ts").agg(F.min(F.struct("url", "publisher")).alias("article"))
     hit = first_at_or_after(lookups, facts.withColumnRenamed("run", "frun"), "run", "lo", "hi", "ts", "article", fact_key="frun")
