@@ -79,18 +79,17 @@ def test_attrition_counts_every_row(spark):
 def test_hot_joins_take_only_kinds_that_salting_leaves_right(spark):
     import pytest
 
-    from tidemark.operators.hot import attach, join_hot
-    fact = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (None, 13)], "k int, v int")
+    from tidemark.operators.hot import ROWS_CONF, attach, join_hot
+    fact = spark.createDataFrame([(1, 10), (1, 11), (1, 14), (2, 12), (None, 13)], "k int, v int")
     dim = spark.createDataFrame([(1, "a"), (3, "c")], "k int, d string")
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     got = {}
-    for size in (limit, "-1"):
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    for rows in ("2000000", "1"):
+        spark.conf.set(ROWS_CONF, rows)
         try:
             for how in ("inner", "left", "left_semi", "left_anti"):
                 got.setdefault(how, []).append(sorted(map(str, join_hot(fact, dim, ["k"], how).collect())))
         finally:
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            spark.conf.unset(ROWS_CONF)
     assert all(a == b for a, b in got.values())
     for how in ("right", "full"):
         with pytest.raises(ValueError):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_scores import PRICES, T0, at, prices_df, trades_df
+from tidemark.operators import hot
 from tidemark.operators import series as ser
 from tidemark.operators.asof import first_at_or_after, last_before, nearest_within
 from tidemark.operators.hot import attach, join_hot
@@ -94,21 +95,26 @@ def test_sparse_lookup_equals_dense_series(spark):
         assert (got[str(i)] is None and want is None) or abs(float(got[str(i)]) - want) < 1e-9
 
 
-@pytest.mark.parametrize("limit, salted", [("10MB", False), ("-1", True)])
-def test_join_hot_keeps_every_row(spark, limit, salted):
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+@pytest.mark.parametrize("rows", [2_000_000, 100])
+def test_join_hot_keeps_every_row_and_repeats_heavy_keys_only(spark, rows):
+    spark.conf.set(hot.ROWS_CONF, str(rows))
     try:
-        fact = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+        fact = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, F.lit(None).cast("string")).otherwise(F.col("id").cast("string")).alias("k"), "id")
         dim = fact.select("k").distinct().withColumn("d", F.length("k"))
+        heavy = hot.heavy_keys(fact, ["k"])
+        assert sorted(heavy.values()) == ([] if rows > 100 else [17])  # 1667 of one key; 67 NULLs are not heavy
         j = join_hot(fact, dim, ["k"], spread=["id"])
-        assert ("_salt" in j._jdf.queryExecution().optimizedPlan().toString()) is salted
-        assert j.count() == 5000 and j.select("id").distinct().count() == 5000
+        assert ("_salt" in j._jdf.queryExecution().optimizedPlan().toString()) is bool(heavy)
+        known = fact.where("k is not null").count()
+        assert j.count() == known and j.select("id").distinct().count() == known
+        salted = dim.withColumn("n", hot._salts(heavy, ["k"]))
+        assert salted.where("n > 1").count() == len(heavy) and salted.agg(F.sum("n")).first()[0] == dim.count() + 16 * len(heavy)
         only = dim.where("k = 'hot'")
-        assert join_hot(fact, only, ["k"], "left", ["id"]).where("d is null").count() == fact.where("k <> 'hot'").count()
+        assert join_hot(fact, only, ["k"], "left", ["id"]).where("d is null").count() == fact.where("k is null or k <> 'hot'").count()
+        assert join_hot(fact, only, ["k"], "left_semi", ["id"]).count() == 1667
         nulls = fact.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
         cells = nulls.groupBy("k").agg(F.count("*").alias("n"))
-        got = attach(nulls, cells, ["k"], spread=["id"])
-        assert got.count() == 5000 and got.where("k is null").select("n").distinct().collect()[0][0] == 1667
+        got = attach(nulls, cells, ["k"])
+        assert got.count() == 5000 and got.where("k is null").select("n").distinct().collect()[0][0] == 5000 - known + 1667
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset(hot.ROWS_CONF)

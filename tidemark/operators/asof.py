@@ -73,7 +73,7 @@ def _carried(placed: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
     up = Window.partitionBy("_k").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("_k").orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)
     line = days.select("_k", "_d", F.last("_last", ignorenulls=True).over(up).alias("_prev"), F.last("_first", ignorenulls=True).over(down).alias("_next"))
-    return attach(placed, line, ["_k", "_d"], "left", cols)
+    return attach(placed, line, ["_k", "_d"], "left")
 
 
 def neighbours(lookups: DataFrame, facts: DataFrame, key: str, t: str, ts: str, value: str) -> DataFrame:

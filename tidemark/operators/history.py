@@ -58,5 +58,5 @@ def neighbours(asked: DataFrame, history: History, t: str) -> DataFrame:
     up = w.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     down = w.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
     line = line.select(*KEY, F.last("_last", ignorenulls=True).over(up).alias("prev"), F.last("_first", ignorenulls=True).over(down).alias("next"))
-    other = attach(placed, line, KEY, "left", cols).select(*cols, "prev", "next")
+    other = attach(placed, line, KEY, "left").select(*cols, "prev", "next")
     return same.unionByName(other).groupBy(*cols).agg(F.max("prev").alias("prev"), F.min("next").alias("next"))

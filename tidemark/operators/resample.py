@@ -107,7 +107,7 @@ def replicate_means(df: DataFrame, groups: list[str], row_id: str, value: str, w
     base = df.where(x.isNotNull() & w0.isNotNull()).select(*[F.col(g).alias(n) for g, n in zip(groups, names)], row.alias("_id"), x.alias("_x"), w0.alias("_w"))
     base = base.withColumn("_g", _identity(names))
     sizes = base.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / ROWS).alias("_parts"))
-    spread = attach(base, sizes, ["_g"], spread=["_id"]).withColumn("_p", F.pmod(F.xxhash64("_id"), F.col("_parts")))
+    spread = attach(base, sizes, ["_g"]).withColumn("_p", F.pmod(F.xxhash64("_id"), F.col("_parts")))
     placed = spread.repartition("_g", "_p").sortWithinPartitions("_g").select(*names, "_id", "_x", "_w", "_g")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema[:len(names)])
     kinds = f"{kinds}, " if kinds else ""

@@ -138,7 +138,7 @@ def hazard_adjusted(population: DataFrame, min_cell: int = 5) -> DataFrame:
     c = computed(population)
     overall = c.agg(F.avg("tau_days")).scalar()
     cells = c.groupBy(*CELL).agg((1 / F.when(F.count("tau_days") >= min_cell, F.avg("tau_days"))).alias("_lam"))
-    j = attach(c, cells, CELL, spread=["market_id"]).withColumn("lam", F.coalesce("_lam", 1 / overall)).drop("_lam")
+    j = attach(c, cells, CELL).withColumn("lam", F.coalesce("_lam", 1 / overall)).drop("_lam")
     tau_total = days_between(F.col("t_resolve"), F.col("t_open"))
     s = lambda t: F.exp(-F.col("lam") * F.greatest(t, F.lit(0.0)))
     left = F.greatest(tau_total - F.col("tau_days"), F.lit(0.0))
