@@ -191,14 +191,15 @@ def json_field_audit(v):
     return au.json_field_audit(_raw_with_market(v))
 
 
-@query("report_sinks", "collector status runs:l total_records:l")
+@query("report_sinks", "collector status runs:l total_records:l", "select collector, status, count(*) as runs, sum(n_records) as total_records from runs group by all")
 def report_sinks(v):
     path = stage_folder(v.spark) + "/report"
     files.write_report(au.run_stats(v.runs).select("collector", "status", "runs", "total_records"), path, "csv")
     return v.spark.read.schema("collector string, status string, runs bigint, total_records bigint").option("header", True).csv(path)
 
 
-@query("run_ledger_append", "collector started_at:t status target n_records:l")
+@query("run_ledger_append", "collector started_at:t status target n_records:l", """
+    select collector, started_at, status, target, n_records from runs union all select 'scoring', null, 'success', 'batch', 0""")
 def run_ledger_append(v):
     path = stage_folder(v.spark) + "/ledger"
     v.runs.select("collector", "started_at", "finished_at", "status", "target", "n_records", "error_message").write.mode("append").parquet(path)

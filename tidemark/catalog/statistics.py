@@ -348,9 +348,17 @@ def hazard_exponential(v):
     return fits.hazard_exponential(fits.positive_delays(v.population))
 
 
-@query("lambda_bootstrap_ci", _CELL_COLS + " n_valid:l ci_low:d ci_high:d")
+def _drawn(rows, row_id):
+    """SQL of the portable draws: ``rows`` with replicate b and Poisson count k, four replicates to a digest of seed, four and row."""
+    return (f"(select *, case {_POISSON} end as k from (select r.*, b, (('0x' || substring(md5('20260430|' || ((b - 1) // 4) || '|' || {row_id}), 8 * ((b - 1) % 4) + 1, 8))::bigint) / 4294967296.0::double as u "
+            f"from {rows} r cross join (select unnest(range(1, {C.BOOTSTRAP_B} + 1)) as b)))")
+
+
+@query("lambda_bootstrap_ci", _CELL_COLS + " n_valid:l ci_low:d ci_high:d", "with " + _DELAYS + f""",
+    reps as (select category, subcategory, period, b, sum(k) / sum(k * tau_days) as lam from {_drawn('del', 'market_id')} group by all having sum(k) > 0)
+    select category, subcategory, period, count(lam) as n_valid, quantile_cont(lam, 0.025) as ci_low, quantile_cont(lam, 0.975) as ci_high from reps group by all""")
 def lambda_bootstrap_ci(v):
-    reps = rs.replicate_means(fits.positive_delays(v.population), CELL, "market_id", "tau_days", replicates=C.BOOTSTRAP_B)
+    reps = rs.replicate_means(fits.positive_delays(v.population), CELL, "market_id", "tau_days", replicates=C.BOOTSTRAP_B, portable=True)
     return rs.interval(reps.withColumn("lam", 1.0 / F.col("mean")), CELL, "lam")
 
 
@@ -446,12 +454,24 @@ def bootstrap_engine(v):
     return rs.replicate_means(pop.computed(v.population), CELL, "market_id", "ils_dl", replicates=C.BOOTSTRAP_B, portable=True)
 
 
-@query("bootstrap_ils_ci", "market_id n_trades:l ci_low:d ci_high:d")
+@query("bootstrap_ils_ci", "market_id n_trades:l ci_low:d ci_high:d", SERIES + """,
+    refs as (select m.market_id, case when epoch_us(b.first_ts) - epoch_us(m.t_open) > 300000000 then b.first_ts else m.t_open end as t_open, n.t_news as t_ref, m.t_resolve,
+             m.outcome as p_resolve, []::varchar[] as lead from sc m join best n on n.market_id = m.market_id join bounds b on b.market_id = m.market_id),
+""" + scored("refs") + f""",
+    yes as (select t.market_id, t.tx_hash || ':' || t.log_index as id, t.price::double as x, t.notional_usdc::double as w from trades t join scores c on c.market_id = t.market_id
+            where t.outcome_index = 1 and t.ts between c.t_open and c.t_ref),
+    yes_n as (select market_id, count(*) as n_trades from yes group by all),
+    reps as (select market_id, b, sum(k * w * x) / nullif(sum(k * w), 0) as m from {_drawn('yes', 'id')} where k > 0 group by all),
+    ci as (select r.market_id, count((m - p_open) / nullif(p_resolve - p_open, 0)) as n_valid, quantile_cont((m - p_open) / nullif(p_resolve - p_open, 0), 0.025) as lo,
+           quantile_cont((m - p_open) / nullif(p_resolve - p_open, 0), 0.975) as hi from reps r join scores c on c.market_id = r.market_id group by all),
+    ok as (select c.*, coalesce(n_trades >= 50 and abs(p_resolve - p_open) >= 0.05 and n_valid >= {C.BOOTSTRAP_B} * {C.MIN_VALID_SHARE}, false) as ok, n_trades, lo, hi
+           from scores c left join ci on ci.market_id = c.market_id left join yes_n n on n.market_id = c.market_id)
+    select market_id, n_trades, case when ok then round(lo, 6) end as ci_low, case when ok then round(hi, 6) end as ci_high from ok""")
 def bootstrap_ils_ci(v):
     points, bounds = v.history, ser.history_bounds(v.history)
     refs = plan.snap_open(plan.standard_refs(v.markets, v.news), bounds)
     s = plan.score(refs, points, bounds).select("market_id", "t_open", F.col("t_ref").alias("t_event"), "p_open", "p_resolve")
-    return rs.score_interval(v.trades, staged(s))
+    return rs.score_interval(v.trades, staged(s), portable=True)
 
 
 def _buckets(v):
