@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm_operators import docs_of
-from tidemark.llm import bpe, queries, toxicity
+from tidemark.llm import bpe, digest, line_dedup, queries, toxicity, url_filter
 
 
 def test_long_words_have_the_same_kernel_values(monkeypatch):
@@ -57,3 +57,44 @@ def test_one_pass_equals_encode_then_decode(spark, monkeypatch):
     monkeypatch.setattr(bpe, "SLICE", 10)
     monkeypatch.setattr(bpe, "KEPT", 500)
     assert sorted(map(repr, bpe.encode_and_decode(docs.withColumn("ids", F.lit(1)), path, pattern).select("doc_id", "text", "ids", "decoded").collect())) == want
+
+
+def slow_digest_counts(text):
+    """Bucket counts by hand: every shape at every place where it fits."""
+    data = text.encode()
+    data += b"\0" * (3 - len(data) if 0 < len(data) < 3 else 0)
+    counts = [0] * digest.BUCKETS
+    for k, (p, q) in enumerate(digest.SHAPES):
+        for i in range(len(data) - q):
+            x = (data[i] * 0x9E3779B1 ^ data[i + p] * 0x85EBCA77 ^ data[i + q] * 0xC2B2AE3D ^ 0x27D4EB2F * (k + 1)) & 0xFFFFFFFF
+            counts[((x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 25] += 1
+    return counts
+
+
+def test_digest_counts_every_triplet(monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(digest, "BLOCK", 16)
+    for text in ["", "a", "ab", "abc", "abcd", "abcde", "é", *("".join(rng.choice("abcdé ") for _ in range(n)) for n in (15, 16, 17, 19, 20, 21, 300))]:
+        counts = slow_digest_counts(text)
+        cuts = [sorted(counts)[k] for k in (31, 63, 95)]
+        levels = [sum(c > x for x in cuts) for c in counts]
+        assert digest._levels(bytes.fromhex(digest.digest(text))[2:]).ravel().tolist() == levels, text
+    for a, b in (("abc", "xyz"), ("abcd", "wxyz"), ("ab", "zz"), ("a", "b"), ("", "a")):
+        assert digest.likeness(digest.digest(a), digest.digest(b)) < 1
+    assert digest.digest("ab") == digest.digest("ab") and digest.digest(None) == digest.digest("")
+
+
+def test_columns_with_the_names_of_the_code_are_carried(spark):
+    """Names that url filter and line dedup use inside are free for the caller's columns."""
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, None)], "page_id int, url string")
+    for c in ("won", "_won", "_host", "_path", "node", "key", "kind", "part", "parts", "stack", "open", "top"):
+        pages = pages.withColumn(c, F.concat(F.lit(c), F.col("page_id")))
+    got = url_filter.judge_urls(pages, spark.createDataFrame([("org", "/", "allow")], "host string, path string, verdict string")).collect()
+    assert {r.page_id: (r.host, r.rule, r["_host"], r["won"], r["_won"], r["part"]) for r in got} == {
+        1: ("a.org", "org/", "_host1", "won1", "_won1", "part1"), 2: ("", None, "_host2", "won2", "_won2", "part2")}
+    rows = [(k, "a line that all sites have here\nown %d line of the text" % k, "en", f"s{k}", 0) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    for c in ("_drop", "_th", "_doc_id", "th", "h", "g", "pos", "first", "site", "sites", "sketch", "line", "n"):
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id")))
+    got = line_dedup.dedup_lines(docs).collect()
+    assert sorted((r.doc_id, r.n_removed, r["_drop"], r["_th"], r["_doc_id"], r["h"]) for r in got) == [(k, int(k > 0), f"_drop{k}", f"_th{k}", f"_doc_id{k}", f"h{k}") for k in range(6)]

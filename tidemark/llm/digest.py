@@ -30,17 +30,21 @@ BLOCK = 1 << 20
 
 def digest(text: str | None) -> str:
     """Hex digest of a whole text: 2 digits of length, 2 of quartile ratios, 64 of buckets. NULL is empty; equal texts have equal digests."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    size = len(raw)
+    data = np.frombuffer(raw + b"\0" * (3 - size if 0 < size < 3 else 0), dtype=np.uint8).astype(np.uint32)  # one or two bytes stand as a triplet with zeros
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for start in range(0, max(len(data) - 4, 0), BLOCK):  # blocks overlap by the window, so no triplet is lost
+    for start in range(0, len(data), BLOCK):  # blocks overlap by the window, so no triplet is lost, and the last bytes have the shapes that fit
         d = data[start:start + BLOCK + 4]
-        n = len(d) - 4
         for k, (p, q) in enumerate(SHAPES):
+            n = min(len(d) - q, BLOCK)
+            if n <= 0:
+                continue
             mix = (d[:n] * np.uint32(0x9E3779B1)) ^ (d[p:p + n] * np.uint32(0x85EBCA77)) ^ (d[q:q + n] * np.uint32(0xC2B2AE3D)) ^ np.uint32(0x27D4EB2F * (k + 1) & 0xFFFFFFFF)
             counts += np.bincount((mix ^ (mix >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(25), minlength=BUCKETS)
     q1, q2, q3 = np.sort(counts)[[BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]]
     level = (counts > q1).astype(np.uint8) + (counts > q2) + (counts > q3)
-    length = min(int(math.log(len(data) + 1) / math.log(1.1)), 255)
+    length = min(int(math.log(size + 1) / math.log(1.1)), 255)
     ratio = (int(q1 * 15 // q3) << 4 | int(q2 * 15 // q3)) if q3 else 0
     packed = (level.reshape(-1, 4) << np.array([6, 4, 2, 0], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
     return bytes([length, ratio]).hex() + packed.tobytes().hex()

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, text_key
+from tidemark.llm.common import free, let, text_key
 from tidemark.session import staged
 
 MIN_SITES = 5
@@ -72,17 +72,18 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
         sites = docs.select("source").distinct().count()
         wide = boilerplate_lines(lines.where("not short"), min_sites).unionByName(
             boilerplate_lines(lines.where("short"), max(min_sites, math.ceil(short_share * sites - 1e-9))))
+    d, t, drop = (free(c, docs) for c in ("_doc_id", "_th", "_drop"))
     drops = (lines.join(wide, ["h", "g"])
              .where(~first.eqNullSafe(F.col("first")))
-             .groupBy(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_drop")))
+             .groupBy(F.col("doc_id").alias(d), F.col("th").alias(t)).agg(F.collect_set("pos").alias(drop)))
     th = text_key(F.col("text"))
-    out = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_doc_id"]) & (th == F.col("_th")), "left")
+    out = docs.join(drops, docs["doc_id"].eqNullSafe(drops[d]) & (th == F.col(t)), "left")
     kept = let(F.split("text", "\n", -1), lambda a: F.array_join(F.transform(
-        F.array_except(F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)), F.col("_drop")), lambda i: F.get(a, i)), "\n"))
-    new = {"text": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept),
+        F.array_except(F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)), F.col(drop)), lambda i: F.get(a, i)), "\n"))
+    new = {"text": F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept),
            "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(
                F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1),
-           "n_removed": F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop"))}
+           "n_removed": F.when(F.col(drop).isNull(), F.lit(0)).otherwise(F.size(drop))}
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = out.select(*[new.get(c, F.col(c)).alias(c) for c in rest], new["n_lines"].alias("n_lines"), new["n_removed"].alias("n_removed"))
+    out = out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in rest], new["n_lines"].alias("n_lines"), new["n_removed"].alias("n_removed"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in rest else out

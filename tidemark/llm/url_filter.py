@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, let
+from tidemark.llm.common import ascii_lower, free, let
 
 #: points of one node swept by one task; a node with more is split by a hash of the path
 SWEEP_ROWS = 8192
@@ -53,7 +53,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     out once, repeated rows too; columns of the input that are named like the four new ones are replaced.
     """
     host, path = url_parts(F.col(url))
-    pages = pages.withColumn("_host", host).withColumn("_path", path)
+    h, p, w = (free(c, pages) for c in ("_host", "_path", "_won"))
+    pages = pages.withColumn(h, host).withColumn(p, path)
+    urls = pages.select(F.col(h).alias("_host"), F.col(p).alias("_path")).distinct().where(F.col("_host") != "")
     stacks = _rule_stacks(rules)
     depth = stacks.agg(F.max(F.size(F.split("node", r"\.")))).first()[0] or 0  # one number
     # each distinct url once, under every ancestor host that may have rules
@@ -61,8 +63,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     nodes = let(reversed_host, lambda a: F.transform(
         F.sequence(F.lit(1), F.least(F.size(a), F.lit(max(depth, 1)))),
         lambda k: F.array_join(F.reverse(F.slice(a, 1, k)), ".")))
-    points = (pages.select("_host", "_path").distinct().where(F.col("_host") != "")
-              .select("_host", "_path", F.explode(nodes).alias("node")))
+    points = urls.select("_host", "_path", F.explode(nodes).alias("node"))
     points = points.join(stacks.select("node").distinct(), "node", "left_semi")
     # hot nodes are split; their rules go to each part
     sizes = points.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(sweep_rows)).cast("int").alias("parts"))
@@ -76,10 +77,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     swept = events.withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
     top = F.expr("try_element_at(filter(open, r -> startswith(key, r.path)), -1)")
     won = (swept.withColumn("top", top).where("top is not null")
-           .groupBy("_host", F.col("key").alias("_path"))
+           .groupBy(F.col("_host").alias(h), F.col("key").alias(p))
            .agg(F.max(F.struct((F.length("node") + F.col("top.n")).alias("n"), F.length("node").alias("m"),
-                               F.concat("node", "top.path").alias("rule"), F.col("top.verdict").alias("verdict"))).alias("won")))
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "_host", "_path")]
-    return pages.join(won, ["_host", "_path"], "left").select(
-        *keep, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("won.rule").alias("rule"),
-        F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
+                               F.concat("node", "top.path").alias("rule"), F.col("top.verdict").alias("verdict"))).alias(w)))
+    keep = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict", h, p)]
+    return pages.join(won, [h, p], "left").select(
+        *keep, F.col(h).alias("host"), F.col(p).alias("path"), F.col(f"{w}.rule").alias("rule"),
+        F.coalesce(F.col(f"{w}.verdict"), F.lit(default)).alias("verdict"))
