@@ -288,3 +288,19 @@ def test_replicates_against_brute_force(spark, monkeypatch, portable, rows, chun
     k = rs.poisson_counts(rs.uniforms(list(range(2000)) if portable else np.arange(2000), 500, 7, portable))
     assert abs(k.mean() - 1) < 0.01 and abs(k.var() - 1) < 0.02 and abs(np.corrcoef(k[:, 0], k[:, 1])[0, 1]) < 0.08
     assert rs.replicate_means(df.limit(0), ["g"], "id", "x", replicates=5).count() == 0
+
+
+def test_bitmaps_count_distinct_keys_and_merge_by_day(spark):
+    from tidemark.operators import distinct
+    rng = np.random.default_rng(6)
+    rows = [(["a", "b", None][int(rng.integers(3))], f"m{int(rng.integers(90000))}" if rng.random() < 0.97 else None, int(rng.integers(5)), int(rng.integers(10))) for _ in range(60000)]
+    df = spark.createDataFrame([*rows, ("none", None, 0, 0)], "g string, m string, day int, x int")
+    conditions = {"every": F.lit(True), "large": F.col("x") > 6}
+    want = {g: (len({r[1] for r in rows if r[0] == g and r[1]}), len({r[1] for r in rows if r[0] == g and r[1] and r[3] > 6})) for g in ("a", "b", None)} | {"none": (0, 0)}
+    assert {r.g: (r.every, r.large) for r in distinct.distinct_counts(df, ["g"], "m", conditions).collect()} == want
+    numbers = distinct.dense_numbers(df, "m")
+    assert sorted(r.number for r in numbers.collect()) == list(range(1, numbers.count() + 1)) and numbers.count() > 32768  # over one bucket
+    daily = distinct.bitmaps(df, ["g", "day"], "m", numbers, conditions)
+    merged = distinct.merge_bitmaps(daily, ["g"], list(conditions))
+    assert {r.g: (r.every, r.large) for r in distinct.bitmap_counts(merged, ["g"], list(conditions)).collect()} == want
+    assert distinct.distinct_counts(df.limit(0), ["g"], "m", conditions).count() == 0

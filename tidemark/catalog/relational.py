@@ -9,6 +9,7 @@ from tidemark.catalog.sqlparts import SERIES, WALLETS
 from tidemark.operators import audits as au
 from tidemark.operators import features as feat
 from tidemark.operators import filters as fi
+from tidemark.operators.distinct import distinct_counts
 from tidemark.operators.ranks import ranked_values, value_at_rank
 from tidemark.plans import scoring as plan
 from tidemark.sources.upsert import keep_first, upsert
@@ -328,9 +329,8 @@ def price_depth_having(v):
     select status, count(distinct target) as targets, count(distinct case when n_records > 0 then target end) as with_records,
       count(distinct case when n_records >= 500 then target end) as many_records from runs group by status""")
 def conditional_distinct(v):
-    t = lambda c: F.count_distinct(F.when(c, F.col("target")))
-    return v.runs.groupBy("status").agg(t(F.lit(True)).alias("targets"), t(F.col("n_records") > 0).alias("with_records"),
-                                        t(F.col("n_records") >= 500).alias("many_records"))
+    n = F.col("n_records")
+    return distinct_counts(v.runs, ["status"], "target", {"targets": F.lit(True), "with_records": n > 0, "many_records": n >= 500})
 
 
 @query("exclusive_groups", "market_id event_group is_bucket_market:b", """
