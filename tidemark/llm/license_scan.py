@@ -19,28 +19,58 @@ BASE = (
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-# fixed values: wording of well-known licences and notices
+# fixed values: whole mandatory wording of well-known licences and notices, as words
+_GRANT = ("permission is hereby granted free of charge to any person obtaining a copy of <<1-8>> and associated documentation files [[the software]] to deal in the software "
+          "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+          "persons to whom the software is furnished to do so")
+_AS_IS = ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular "
+          "purpose and noninfringement in no event shall <<1-10>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from "
+          "out of or in connection with the software or the use or other dealings in the software")
+_FORMS = ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source "
+          "code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright "
+          "notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution")
+_DISCLAIMED = ("this software is provided by <<1-10>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for "
+               "a particular purpose are disclaimed in no event shall <<1-10>> be liable for any direct indirect incidental special exemplary or consequential damages including but "
+               "not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether "
+               "in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage")
+_FREE = ("is free software you can redistribute it and or modify it under the terms of the gnu {0} public license as published by the free software foundation [[either]] version {1} "
+         "[[of the license]] [[or at your option any later version]] <<1-4>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty "
+         "of merchantability or fitness for a particular purpose see the gnu {0} public license for more details")
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of <<1-8>> and associated documentation files [[the software]] "
-            "to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0 [[the license]] [[you may not use this <<1-4>> except in compliance with the license]]"),
-    ("gpl-2", "gnu general public license [[as published by the free software foundation]] [[either]] version 2"),
-    ("gpl-3", "gnu general public license [[as published by the free software foundation]] [[either]] version 3"),
-    ("lgpl", "gnu lesser general public license [[as published by the free software foundation]] [[either]] [[version <<1-1>>]]"),
-    ("agpl", "gnu affero general public license [[as published by the free software foundation]] [[either]] [[version <<1-1>>]]"),
-    ("mpl-2", "mozilla public license [[v]] [[version]] 2 [[0]]"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd", "under the [[terms of the]] [[2 clause]] [[3 clause]] [[new]] [[simplified]] [[modified]] bsd [[2 clause]] [[3 clause]] license"),
-    ("isc", "permission to use copy modify [[and]] [[or]] distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by-nc", "creative commons attribution noncommercial [[sharealike]] [[noderivatives]] [[<<1-1>> 0]] [[international]] license"),
-    ("cc-by-sa", "cc by sa"),
-    ("cc-by-sa", "creative commons attribution sharealike [[<<1-1>> 0]] [[international]] license"),
-    ("cc-by", "creative commons attribution [[<<1-1>> 0]] [[international]] license"),
-    ("cc-by", "licensed under cc by [[<<1-1>>]] 0"),
-    ("cc0", "creative commons cc0 [[1 0]] [[universal]]"),
-    ("public-domain", "released into the public domain"),
+    ("mit", f"{_GRANT} subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or "
+            f"substantial portions of the software {_AS_IS}"),
+    ("mit-0", f"{_GRANT} {_AS_IS}"),
+    ("isc", "permission to use copy modify [[and]] [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+            "permission notice appear in all copies the software is provided as is and <<1-6>> disclaims all warranties with regard to this software including all implied warranties of "
+            "merchantability and fitness in no event shall <<1-6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use "
+            "data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd-2", f"{_FORMS} {_DISCLAIMED}"),
+    ("bsd-3", f"{_FORMS} [[3]] neither the name of <<1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+              f"written permission {_DISCLAIMED}"),
+    ("apache-2", "licensed under the apache license version 2 0 [[the license]] you may not use this <<1-4>> except in compliance with the license [[you may obtain a copy of the license at "
+                 "<<1-12>>]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions "
+                 "of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-2", _FREE.format("general", 2)),
+    ("gpl-3", _FREE.format("general", 3)),
+    ("lgpl-2-1", _FREE.format("lesser general", "2 1")),
+    ("lgpl-3", _FREE.format("lesser general", 3)),
+    ("agpl-3", _FREE.format("affero general", 3)),
     ("all-rights-reserved", "copyright [[c]] <<1-8>> all rights reserved"),
     ("all-rights-reserved", "all rights reserved"),
+    ("public-domain", "released into the public domain"),
+    # names of licences: labels of their own kind, as a name grants nothing
+    ("name:gpl-2", "gnu general public license [[as published by the free software foundation]] [[either]] version 2"),
+    ("name:gpl-3", "gnu general public license [[as published by the free software foundation]] [[either]] version 3"),
+    ("name:lgpl", "gnu lesser general public license [[as published by the free software foundation]] [[either]] [[version <<1-1>>]]"),
+    ("name:agpl", "gnu affero general public license [[as published by the free software foundation]] [[either]] [[version <<1-1>>]]"),
+    ("name:mpl-2", "mozilla public license [[v]] [[version]] 2 [[0]]"),
+    ("name:bsd", "under the [[terms of the]] [[2 clause]] [[3 clause]] [[new]] [[simplified]] [[modified]] bsd [[2 clause]] [[3 clause]] license"),
+    ("name:cc-by-nc", "creative commons attribution noncommercial [[sharealike]] [[noderivatives]] [[<<1-1>> 0]] [[international]] license"),
+    ("name:cc-by-sa", "cc by sa"),
+    ("name:cc-by-sa", "creative commons attribution sharealike [[<<1-1>> 0]] [[international]] license"),
+    ("name:cc-by", "creative commons attribution [[<<1-1>> 0]] [[international]] license"),
+    ("name:cc-by", "licensed under cc by [[<<1-1>>]] 0"),
+    ("name:cc0", "creative commons cc0 [[1 0]] [[universal]]"),
 )
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
