@@ -1,6 +1,7 @@
 """Series and time lookups against plain Python."""
 
 import random
+import re
 from datetime import timedelta
 from decimal import Decimal
 
@@ -118,3 +119,29 @@ def test_join_hot_keeps_every_row_and_repeats_heavy_keys_only(spark, rows):
         assert got.count() == 5000 and got.where("k is null").select("n").distinct().collect()[0][0] == 5000 - known + 1667
     finally:
         spark.conf.unset(hot.ROWS_CONF)
+
+
+@pytest.mark.parametrize("key", ["ils_standard", "market_labels"])
+def test_lookups_meet_stored_bars_without_an_exchange(spark, key):
+    """Without broadcasts the scan of the bars stands bucketed under a sort-merge join, with nothing but a sort and a filter between."""
+    from tidemark.catalog import load_all
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = load_all()[key].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scans = [k for k, line in enumerate(plan) if "tidemark_bars" in line and "FileScan" in line]
+    assert scans
+    for k in scans:
+        assert "Bucketed: true" in plan[k]
+        depth = lambda line: len(re.match(r"[\s:|+\-*()\d]*", line).group())
+        at, above = depth(plan[k]), []
+        for line in reversed(plan[:k]):
+            if depth(line) < at:
+                at = depth(line)
+                above.append(line.strip(" :+-*()0123456789"))
+                if "Join" in line:
+                    break
+        assert "SortMergeJoin" in above[-1] and not any("Exchange" in line for line in above), above
+    assert sum("FileScan" in line and "notional_usdc" in line for line in plan) <= 1  # the trades are read once at most
