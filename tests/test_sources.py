@@ -231,3 +231,14 @@ def test_stages_go_below_the_named_folder():
     assert a.startswith("hdfs:///shared/tidemark-") and a != b
     with pytest.raises(ValueError):
         stage_folder(_Session("yarn"))
+
+
+@pytest.mark.parametrize("policy", ["overwrite", "do_nothing"])
+def test_merged_rows_take_the_types_of_the_table(spark, tmp_path, policy):
+    table = stored.Stored(spark, str(tmp_path / "t"), ("k",), stored.bucket_of("k", 4), stored.BUCKET).create(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"))
+    for v in (3, 4):
+        table.merge(spark.createDataFrame([(v, "c"), (v, "a")], "v bigint, k string"), policy)
+    assert table.rows().schema["v"].dataType.simpleString() == "int"
+    assert {r.k: r.v for r in table.rows().collect()} == ({"a": 4, "b": 2, "c": 4} if policy == "overwrite" else {"a": 1, "b": 2, "c": 3})
+    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+        table.merge(spark.createDataFrame([(1 << 40, "d")], "v bigint, k string"), policy)

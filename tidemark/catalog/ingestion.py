@@ -118,7 +118,7 @@ def merge_stored_prices(v):
 def insert_stored_trades(v):
     """Fills beside the trades that are stored, by a bucket of the hash; stored ones stay as they are and only new files are written."""
     cols = ["tx_hash", "log_index", "ts", "price"]
-    table = Stored(v.spark, stage_folder(v.spark) + "/trades", ("tx_hash", "log_index"), bucket_of("tx_hash", 8), BUCKET).create(v.trades.where("event_id % 3 > 0").select(cols))
+    table = Stored(v.spark, stage_folder(v.spark) + "/trades", ("tx_hash", "log_index"), bucket_of("tx_hash", 8), BUCKET).create(v.trades.where("event_id % 3 > 0").select(cols).withColumn("log_index", F.col("log_index").cast("bigint")))
     table.merge(ingest.fills(v.raw_fills).select(cols), "do_nothing")
     return table.rows()
 

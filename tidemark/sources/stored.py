@@ -63,14 +63,18 @@ class Stored:
         """Partitions of some rows: one small value for each, however many rows."""
         return [r[0] for r in new.select(self.part.alias("p")).distinct().collect()]
 
+    def _typed(self, df: DataFrame) -> DataFrame:
+        """Rows in the columns and types of the stored table; a value that doesn't fit its type is an error."""
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.rows().schema])
+
     def _only(self, parts: list) -> DataFrame:
         there = [p for p in parts if p is not None]
         return self.rows().where(F.col(self.name).isin(there) | (F.col(self.name).isNull() if None in parts else F.lit(False)))
 
     def merged(self, new: DataFrame, policy: str | dict[str, str] = "overwrite") -> DataFrame:
         """What the touched partitions hold after a merge: only these are read."""
-        old = self._only(self.touched(new))
-        return upsert(old, new.withColumn(self.name, self.part).select(old.columns), [self.name, *self.keys], policy)
+        new = self._typed(new.withColumn(self.name, self.part))
+        return self._typed(upsert(self._only(self.touched(new)), new, [self.name, *self.keys], policy))
 
     def merge(self, new: DataFrame, policy: str | dict[str, str] = "overwrite") -> None:
         """Merge one-row-per-key rows. Partitions without new rows are neither read nor written; ``do_nothing`` only adds files.
@@ -83,7 +87,7 @@ class Stored:
             return
         if policy == "do_nothing":
             old = self._only(parts)
-            placed = new.withColumn(self.name, self.part)
+            placed = self._typed(new.withColumn(self.name, self.part))
             same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in (self.name, *self.keys)]
             self._write(placed.alias("n").join(old.select(self.name, *self.keys).alias("o"), same, "left_anti"), "append")
             return
