@@ -37,3 +37,32 @@ def test_template_is_counted_over_all_pages_and_copies_count_once(spark):
     assert all(got[k] == f"Title {k} a text of its own, number {k}" for k in range(60))
     assert got[100] == f"Title same {long} shared paragraph revision 0"
     assert got[200] == "Title 30 a text of its own, number 30 Follow us"
+
+
+def test_all_different_pages_show_what_a_marked_node_holds(spark):
+    def page(k, body):
+        return f"<body>{'<div class=rail><p>line</p></div>' if k % 2 else ''}<div class=box><h1>Title {k}</h1><p>short text {k}</p></div>{'<hr><div class=box>more</div>' * (k % 7)}{body}</body>"
+    long = {k: " ".join(f"sentence {j} of the story {k}" for j in range(300)) for k in (54, 55)}
+    rows = [(k, f"https://a.example/{k}", page(k, "")) for k in range(100, 260)]
+    rows += [(k, f"https://a.example/{k}", page(k, f"<div class='related'><p>{t}</p></div>")) for k, t in long.items()]
+    rows += [rows[3], (60, None, page(0, "")), (61, "https://a.example/e", ""), (62, "https://a.example/n", None)]
+    # two of 163 pages hold most of the host's text, and a page with a little of it in the same node shows that this node counts for the host
+    rows += [(70, "https://a.example/70", page(70, "<div class='related'><p>an addition</p></div>"))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(df.repartition(3)).collect()}
+    assert got[54].endswith(long[54]) and got[55].endswith(long[55])
+    assert got[70].endswith("an addition") and got[70].startswith("Title 70 short text 70")
+    assert got[61] == got[62] == "" and got[60].startswith("Title 0")
+
+
+def test_trees_of_a_host_are_aligned_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "FAN", 3)
+    trees = [["", 0, [["body", 0, [[f"div.c{k % 5}", k + 1, [["p", 2, []]]], ["div.z!", 1, []]]]]] for k in range(11)]
+    rows = [("h", html_extract.json.dumps(t)) for t in trees] + [("one", html_extract.json.dumps(trees[0]))]
+    got = {r["host"]: html_extract.json.loads(r["tree"]) for r in html_extract.templates(spark.createDataFrame(rows, "host string, tree string")).collect()}
+
+    def total(t):
+        return t[1] + sum(map(total, t[2]))
+    assert got["one"] == trees[0] and total(got["h"]) == sum(map(total, trees))
+    body = got["h"][2]
+    assert [c[0] for c in body] == ["body"] and [(c[0], c[1]) for c in body[0][2] if c[0].endswith("!")] == [("div.z!", 11)]

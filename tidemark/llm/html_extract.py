@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. A few of them are parsed into trees in which runs of equal siblings are one node; the trees are
-aligned by simple tree matching. Texts that stand at the same node in every page are template, the others are slots; the lowest node that holds all
+Pages of one host share a template. Every page is parsed into a tree in which runs of equal siblings are one node. Texts that most of a host's
+pages have at the same node are template, the others are slots. Pages of equal trees are added up, and the different trees of a host are
+aligned by simple tree matching, in rounds, until one is left; it has the slots' text of all pages at its nodes. The lowest node that holds all
 the slots' text outside menus, headers, footers and the like is where the host keeps its content. This wrapper
 is then applied to every page of the host.
 """
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.url_filter import url_parts
 from tidemark.session import staged
 
-#: different pages of a host whose trees show which marked nodes hold content
-PAGES = 8
+#: trees of a host that are aligned in one place
+FAN = 32
 #: share of the different pages with a node from which a text in it is template
 SHARED = 0.8
 #: share of the text from which a marked node is content
@@ -151,23 +152,38 @@ def blocks(source: str | None):
 
 
 class Node:
-    """A template node: children in order, and for every page that has it the texts that stand directly in it."""
+    """A template node: children in order, for every page that has it the texts that stand directly in it, and the length of slots' text
+    that was counted elsewhere."""
 
-    def __init__(self, label: str):
-        self.label, self.children, self.texts = label, [], {}
+    def __init__(self, label: str, own: int = 0):
+        self.label, self.own, self.children, self.texts = label, own, [], {}
 
 
-def tree(page: int, found: list[tuple[tuple[str, ...], str]]) -> Node:
-    """Tree of a page's blocks; neighbouring siblings with one label are one node."""
-    root = Node("")
+def tree(page: int, found: list[tuple[tuple[str, ...], str]]) -> tuple[Node, list[int]]:
+    """Tree of a page's blocks, neighbouring siblings with one label as one node, and every block's node by its place in preorder."""
+    root, places = Node(""), []
+    root.place, size = 0, 1
     for path, text in found:
         node = root
         for label in path[:DEPTH]:
             if not node.children or node.children[-1].label != label:
                 node.children.append(Node(label))
+                node.children[-1].place, size = size, size + 1
             node = node.children[-1]
         node.texts.setdefault(page, []).append(text)
-    return root
+        places.append(node.place)
+    return root, places
+
+
+def packed(node: Node) -> list:
+    """A tree as nested lists of label, length of slots' text and children."""
+    return [node.label, node.own, [packed(c) for c in node.children]]
+
+
+def unpacked(rows: list) -> Node:
+    node = Node(rows[0], rows[1])
+    node.children = [unpacked(c) for c in rows[2]]
+    return node
 
 
 def matching(a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
@@ -195,6 +211,7 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
 
 def merge(a: Node, b: Node) -> None:
     """Lay a page's tree over the template: matched nodes join, others are inserted in their order."""
+    a.own += b.own
     for page, texts in b.texts.items():
         a.texts.setdefault(page, []).extend(texts)
     _, pairs = matching(a, b)
@@ -208,28 +225,13 @@ def merge(a: Node, b: Node) -> None:
     a.children = out
 
 
-def induce(pages: list[str | None]) -> dict | None:
-    """The wrapper of a host: path of its content node and the template texts below it; None if the pages don't show one."""
-    seen, template = [], Node("")
-    for source in pages:
-        found = [(path, text) for path, _, text in blocks(source)]
-        if found and found not in seen:
-            merge(template, tree(len(seen), found))
-            seen.append(found)
-    if len(seen) < 2:
-        return None
-    fixed: dict[str, list[str]] = {}
-
-    def weigh(node: Node, path: tuple[str, ...]) -> int:
-        sets = [set(t) for t in node.texts.values()]
-        same = set.intersection(*sets) if len(sets) == len(seen) >= AGREE else set()
-        if same:
-            fixed["\n".join(path)] = sorted(same)
-        own = sum(len(t) for texts in node.texts.values() for t in texts if t not in same)
-        node.weight = own + sum(weigh(c, (*path, c.label)) for c in node.children)
+def _chosen(template: Node) -> tuple[list, list, int]:
+    """Path of the content node, paths of the opened marked nodes, and the length of all slots' text, from the nodes' ``own``."""
+    def weigh(node: Node) -> int:
+        node.weight = node.own + sum(map(weigh, node.children))
         return node.weight
 
-    total = weigh(template, ())
+    total = weigh(template)
     opened = set()
 
     def clean(node: Node, path: tuple[str, ...]) -> int:
@@ -239,7 +241,7 @@ def induce(pages: list[str | None]) -> dict | None:
                 node.clean = 0
                 return 0
             opened.add(path)
-        node.clean = node.weight - sum(c.weight for c in node.children) + sum(clean(c, (*path, c.label)) for c in node.children)
+        node.clean = node.own + sum(clean(c, (*path, c.label)) for c in node.children)
         return node.clean
 
     rest = clean(template, ())
@@ -249,7 +251,33 @@ def induce(pages: list[str | None]) -> dict | None:
         if getattr(top, "clean", 0) < rest or _tag(top.label) not in ("html", "body", "article", "main", "section", "div", "td", "tr", "table", "tbody"):
             break
         node, path = top, (*path, top.label)
-    return {"root": list(path), "fixed": fixed, "open": ["\n".join(p) for p in sorted(opened)]} if total else None
+    return list(path), ["\n".join(p) for p in sorted(opened)], total
+
+
+def induce(pages: list[str | None]) -> dict | None:
+    """The wrapper of a few pages: path of their content node and the template texts below it; None if the pages don't show one."""
+    seen, template = [], Node("")
+    for source in pages:
+        found = [(path, text) for path, _, text in blocks(source)]
+        if found and found not in seen:
+            merge(template, tree(len(seen), found)[0])
+            seen.append(found)
+    if len(seen) < 2:
+        return None
+    fixed: dict[str, list[str]] = {}
+
+    def count(node: Node, path: tuple[str, ...]) -> None:
+        sets = [set(t) for t in node.texts.values()]
+        same = set.intersection(*sets) if len(sets) == len(seen) >= AGREE else set()
+        if same:
+            fixed["\n".join(path)] = sorted(same)
+        node.own = sum(len(t) for texts in node.texts.values() for t in texts if t not in same)
+        for c in node.children:
+            count(c, (*path, c.label))
+
+    count(template, ())
+    root, opened, total = _chosen(template)
+    return {"root": root, "fixed": fixed, "open": opened} if total else None
 
 
 def block_digest(path: tuple[str, ...], text: str) -> int:
@@ -282,17 +310,9 @@ def extract(source: str | None, wrapper: dict | None) -> str:
     return " ".join(main or [t for _, t in found])
 
 
-def _induce(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("digest")
-    wrapper = induce(group["html"].tolist())
-    if wrapper:
-        digests = group["digests"].iloc[0]
-        wrapper |= {"fixed": {}, "digests": [] if digests is None else sorted(int(x) for x in digests)}  # of all pages instead of these
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(wrapper) if wrapper else None]})
-
-
-def _block_rows(batches):
-    """For every block of every page: host, page, the page's longest unmarked block as ``lead``, path, and path with text."""
+def _page_rows(batches):
+    """For every page with blocks: host, page, the page's longest unmarked block as ``lead``, its tree, and of each block its node, path, path with
+    text, and length."""
     for b in batches:
         for start in range(0, b.num_rows, 256):
             out: tuple[list, ...] = ([], [], [], [], [])
@@ -302,10 +322,59 @@ def _block_rows(batches):
                     continue
                 opened = big_nodes(found)
                 lead = block_digest((), max((t for p, t in found if not closed(p, opened)), key=lambda t: (len(t), t), default=""))
-                for path, both in {(block_digest(p, ""), block_digest(p, t)) for p, t in found}:
-                    for column, v in zip(out, (host, digest, lead, path, both)):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], names=["host", "digest", "lead", "path", "both"])
+                shape, places = tree(0, found)
+                known: dict[tuple[str, ...], int] = {}
+                rows = []
+                for place, (p, t) in zip(places, found):
+                    if p not in known:
+                        known[p] = block_digest(p, "")
+                    rows.append({"node": place, "path": known[p], "both": block_digest(p, t), "n": len(t)})
+                for column, v in zip(out, (host, digest, lead, json.dumps(packed(shape), separators=(",", ":")), rows)):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.string(), _BLOCKS))],
+                                             names=["host", "digest", "lead", "tree", "blocks"])
+
+
+_BLOCKS = pa.list_(pa.struct([("node", pa.int32()), ("path", pa.int64()), ("both", pa.int64()), ("n", pa.int64())]))
+
+
+def _filled(group: pd.DataFrame) -> pd.DataFrame:
+    """Trees with their slots' text, from trees and the lengths at some of their nodes by place in preorder."""
+    out = []
+    for text, slots in zip(group["tree"], group["slots"]):
+        top, own = unpacked(json.loads(text)), {s["node"]: s["n"] for s in slots}
+        nodes, place = [top], 0
+        while nodes:
+            node = nodes.pop()
+            node.own, place = int(own.get(place, 0)), place + 1
+            nodes += node.children[::-1]
+        out.append(json.dumps(packed(top), separators=(",", ":")))
+    return pd.DataFrame({"host": group["host"], "tree": out})
+
+
+def _aligned(group: pd.DataFrame) -> pd.DataFrame:
+    template = Node("")
+    for text in sorted(group["tree"]):
+        merge(template, unpacked(json.loads(text)))
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "tree": [json.dumps(packed(template), separators=(",", ":"))]})
+
+
+def _wrapper(group: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for text, digests in zip(group["tree"], group["digests"]):
+        root, opened, total = _chosen(unpacked(json.loads(text)))
+        out.append(json.dumps({"root": root, "fixed": {}, "open": opened, "digests": [] if digests is None else sorted(int(x) for x in digests)}) if total else None)
+    return pd.DataFrame({"host": group["host"], "wrapper": out})
+
+
+def templates(trees: DataFrame) -> DataFrame:
+    """One tree per host from all its different ones (host, tree): in a round, about ``FAN`` of them are aligned to one."""
+    while True:
+        sizes = trees.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 1) == 1:
+            return trees
+        placed = trees.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("tree"), F.ceil(F.col("n") / FAN)))
+        trees = staged(placed.groupBy("host", "part").applyInPandas(_aligned, "host string, tree string"))
 
 
 def _extract(batches):
@@ -326,24 +395,28 @@ def _extract(batches):
             yield pa.RecordBatch.from_arrays([s.column(k) for k in keep] + [pa.array(texts, pa.string())], names=[names[k] for k in keep] + ["text"])
 
 
-def wrappers(pages: DataFrame, per_host: int = PAGES) -> DataFrame:
-    """One wrapper (JSON; NULL where none is seen) per host.
+def wrappers(pages: DataFrame) -> DataFrame:
+    """One wrapper (JSON; NULL where none is seen) per host with two different pages.
 
     Template texts are counted over all pages of the host: of the different pages that have a node, ``SHARED`` have the text there. Pages with
-    the same longest block are equal or revised copies of one article and count once. Trees of ``per_host`` different pages show which
-    marked nodes hold content.
+    the same longest block are equal or revised copies of one article and count once. All different pages' slots show which
+    marked nodes hold content: their lengths are added up over pages of one tree, and all different trees are aligned.
     """
     rows = pages.select(url_parts(F.col("url"))[0].alias("host"), F.xxhash64("html").alias("digest"), "html").where("host <> '' and html is not null")
-    rows = rows.dropDuplicates(["host", "digest"])
-    seen = staged(rows.mapInArrow(_block_rows, "host string, digest bigint, lead bigint, path bigint, both bigint"))
-    nodes = seen.groupBy("host", "path").agg(F.countDistinct("lead").alias("n_node"))
-    texts = seen.groupBy("host", "path", "both").agg(F.countDistinct("lead").alias("n")).where(F.col("n") >= AGREE)
-    fixed = (texts.join(nodes, ["host", "path"]).where(F.col("n") >= F.col("n_node") * SHARED)
-             .groupBy("host").agg(F.collect_set("both").alias("digests")))
-    leads = seen.groupBy("host", "lead").agg(F.min("digest").alias("digest"))
-    few = leads.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("digest"))).where(F.col("n") <= per_host).select("host", "digest")
-    few = rows.join(few, ["host", "digest"]).join(fixed, "host", "left").select("host", "digest", "html", "digests")
-    return staged(few.groupBy("host").applyInPandas(_induce, "host string, wrapper string"))
+    seen = staged(rows.mapInArrow(_page_rows, "host string, digest bigint, lead bigint, tree string, blocks array<struct<node: int, path: bigint, both: bigint, n: bigint>>"))
+    found = seen.select("host", "lead", F.explode(F.array_distinct(F.transform("blocks", lambda x: F.struct(x["path"].alias("path"), x["both"].alias("both"))))).alias("b")).select("host", "lead", "b.*")
+    texts = found.groupBy("host", "path", "both").agg(F.countDistinct("lead").alias("n")).where(F.col("n") >= AGREE)
+    nodes = found.groupBy("host", "path").agg(F.countDistinct("lead").alias("n_node"))
+    fixed = staged(texts.join(nodes, ["host", "path"]).where(F.col("n") >= F.col("n_node") * SHARED).select("host", "both"))
+    hosts = seen.groupBy("host").agg(F.countDistinct("lead").alias("n")).where("n > 1").select("host")
+    shape = F.xxhash64("tree").alias("shape")
+    each = seen.join(hosts, "host", "left_semi").groupBy("host", "digest").agg(F.first(F.col("blocks")).alias("blocks"), F.first(shape).alias("shape"))
+    slots = (each.select("host", "shape", F.explode("blocks").alias("b")).select("host", "shape", "b.node", "b.both", "b.n").join(fixed, ["host", "both"], "left_anti")
+             .groupBy("host", "shape", "node").agg(F.sum("n").alias("n")).groupBy("host", "shape").agg(F.collect_list(F.struct("node", "n")).alias("slots")))
+    kinds = seen.select("host", shape, "tree").dropDuplicates(["host", "shape"])
+    trees = staged(kinds.join(slots, ["host", "shape"]).select("host", "tree", "slots").mapInPandas(lambda it: map(_filled, it), "host string, tree string"))
+    digests = fixed.groupBy("host").agg(F.collect_set("both").alias("digests"))
+    return staged(templates(trees).join(digests, "host", "left").mapInPandas(lambda it: map(_wrapper, it), "host string, wrapper string"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
