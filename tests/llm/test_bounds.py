@@ -98,3 +98,31 @@ def test_columns_with_the_names_of_the_code_are_carried(spark):
         docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id")))
     got = line_dedup.dedup_lines(docs).collect()
     assert sorted((r.doc_id, r.n_removed, r["_drop"], r["_th"], r["_doc_id"], r["h"]) for r in got) == [(k, int(k > 0), f"_drop{k}", f"_th{k}", f"_doc_id{k}", f"h{k}") for k in range(6)]
+
+
+def test_remembered_units_stay_within_their_bytes_and_change_no_ids(monkeypatch):
+    import random
+
+    import public_tokenizers
+
+    from tidemark.llm import bpe
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(("the", "", "lichpf", "anenß", "qwzrt")) + rng.choice(("", ".", ".\nDer", "&&&", str(rng.randrange(900)))) for _ in range(60)) for _ in range(40)]
+    whole = bpe.Codec(bpe.read_ranks(path), public_tokenizers.PATTERN)
+    want = [[i for piece in whole.pieces.findall(t) for i in whole._merge(piece.encode())] for t in texts]
+    monkeypatch.setattr(bpe, "KEPT", 40 * bpe.UNIT_COST)
+    small = bpe.Codec(bpe.read_ranks(path), public_tokenizers.PATTERN)
+    asked = []
+    search = small._search
+    monkeypatch.setattr(small, "_search", lambda data: asked.append(data) or search(data))
+    got = []
+    for t in texts:
+        got.append(small.encode(t))
+        assert len(small.known) <= 20 and len(small.older) <= 20
+    assert got == want
+    # a word met again beside another mark is not searched again
+    small.encode(" qwzrtx?")
+    asked.clear()
+    small.encode(" qwzrtx!!")
+    assert not any(b"qwzrtx" in a for a in asked)

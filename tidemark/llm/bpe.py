@@ -24,7 +24,7 @@ from tidemark.llm.common import slices
 LEAF = 16
 #: units of text up to this many characters are remembered
 UNIT = 32
-#: bytes that a task's remembered units, and pairs of tokens, may take; a full table is emptied, which changes no result
+#: bytes that a task's remembered units, and pairs of tokens, may take; a full table is emptied, that of units by its older half, which changes no result
 KEPT = 48 << 20
 #: about so many bytes are taken by a unit with its ids, and by a pair
 UNIT_COST, PAIR_COST = 240, 170
@@ -44,8 +44,15 @@ class Codec:
     def __init__(self, ranks: list[tuple[str, int]], pattern: str):
         self.ranks = {base64.b64decode(a): r for a, r in ranks}
         self.token = {r: b for b, r in self.ranks.items()}
+        found: dict[bytes, set[int]] = {}
+        for b in self.ranks:
+            if len(b) >= 4:
+                found.setdefault(b[:4], {3, 2, 1}).add(len(b))
+        #: first four bytes -> lengths that a token which begins so can have, longest first
+        self.lengths = {b: tuple(sorted(n, reverse=True)) for b, n in found.items()}
         self.pieces = regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.met: dict[tuple[int, int], bool] = {}
         self.spines: dict[tuple[int, bool], list[tuple[bytes, float]]] = {}
 
@@ -150,28 +157,30 @@ class Codec:
 
     def _search(self, data: bytes) -> tuple[int, ...]:
         """The token sequence of a leaf in which every neighbouring pair stays apart, by longest tokens first."""
-        get, met, apart = self.ranks.get, self.met.get, self._apart
+        get, met, apart, lengths = self.ranks.get, self.met.get, self._apart, self.lengths.get
         out: list[int] = []
         cuts = [0]
-        stop = size = len(data)
-        while cuts[-1] < size:
-            at = cuts[-1]
-            while stop > at:
-                token = get(data[at:stop])
+        at, stop, size = 0, len(data), len(data)
+        while at < size:
+            for n in lengths(data[at:at + 4], (3, 2, 1)):
+                if at + n > stop:
+                    continue
+                token = get(data[at:at + n])
                 if token is not None:
                     if not out:
                         break
                     ok = met((out[-1], token))
                     if ok or ok is None and apart(out[-1], token):
                         break
-                stop -= 1
-            if stop > at:
-                out.append(token)
-                cuts.append(stop)
-                stop = size
             else:  # no token fits here: shorten the one before
                 out.pop()
                 stop = cuts.pop() - 1
+                at = cuts[-1]
+                continue
+            out.append(token)
+            at += n
+            cuts.append(at)
+            stop = size
         return tuple(out)
 
     def encode_bytes(self, data: bytes) -> tuple[int, ...]:
@@ -193,26 +202,46 @@ class Codec:
                 unit += " " + w
         yield unit
 
+    def _recall(self, text: str) -> tuple[int, ...] | None:
+        """Ids of a unit or piece that isn't in the newer table, from the older one."""
+        ids = self.older.get(text)
+        if ids is not None:
+            self._remember(text, ids)
+        return ids
+
+    def _remember(self, text: str, ids: tuple[int, ...]) -> None:
+        if len(text) <= UNIT:
+            if len(self.known) * UNIT_COST >= KEPT // 2:
+                self.older, self.known = self.known, {}
+            self.known[text] = ids
+
     def _unit(self, unit: str) -> tuple[int, ...]:
         ids: tuple[int, ...] = ()
-        for piece in self.pieces.findall(unit):
+        pieces = self.pieces.findall(unit)
+        for piece in pieces:
             data = piece.encode("utf-8", "surrogatepass")
             one = self.ranks.get(data)
-            ids += (one,) if one is not None else self.encode_bytes(data)
+            if one is not None:
+                ids += (one,)
+                continue
+            part = self.known.get(piece) or self._recall(piece)
+            if part is None:
+                part = self.encode_bytes(data)
+                if len(pieces) > 1:
+                    self._remember(piece, part)
+            ids += part
         return ids
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text, piece by piece; NULL is empty."""
         out: list[int] = []
-        known = self.known
         for unit in self._units(text or ""):
-            ids = known.get(unit)
+            ids = self.known.get(unit)
             if ids is None:
-                ids = self._unit(unit)
-                if len(unit) <= UNIT:
-                    if len(known) * UNIT_COST >= KEPT:
-                        known.clear()
-                    known[unit] = ids
+                ids = self._recall(unit)
+                if ids is None:
+                    ids = self._unit(unit)
+                    self._remember(unit, ids)
             out += ids
         return out
 
