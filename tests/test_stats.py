@@ -304,3 +304,33 @@ def test_bitmaps_count_distinct_keys_and_merge_by_day(spark):
     merged = distinct.merge_bitmaps(daily, ["g"], list(conditions))
     assert {r.g: (r.every, r.large) for r in distinct.bitmap_counts(merged, ["g"], list(conditions)).collect()} == want
     assert distinct.distinct_counts(df.limit(0), ["g"], "m", conditions).count() == 0
+
+
+def test_simulated_distances_are_those_of_every_point(monkeypatch):
+    import numpy as np
+    from math import erf, sqrt
+
+    def plain(dist, n, parts):
+        e = fits._rng(*parts).standard_exponential(n + 1)
+        u = np.cumsum(e)[:-1] / e.sum()
+        if dist == "lognormal":
+            z = fits._normal_quantile(u)
+            f = np.array([0.5 * (1 + erf((x - z.mean()) / (z.std() * sqrt(2)))) for x in z])
+        else:
+            f = -np.expm1(-(x := -np.log1p(-u)) / x.mean())
+        i = np.arange(1, n + 1)
+        return max((i / n - f).max(), (f - (i - 1) / n).max())
+
+    for n in (1, 2, 257, 1400, 5000):
+        for dist in ("exponential", "lognormal") if n > 1 else ("exponential",):
+            parts = (1, "cell", dist, n)
+            want = plain(dist, n, parts)
+            assert fits._distance(dist, n, parts, 1_000_000) == pytest.approx(want, abs=1e-9)
+        kept = fits._distance("weibull", n, (2, "w", n), 700) if n > 2 else 0.0
+        draws = []
+        rng = fits._rng
+        with monkeypatch.context() as m:
+            m.setattr(fits, "_rng", lambda *a: draws.append(a) or rng(*a))
+            assert n <= 2 or fits._distance("weibull", n, (2, "w", n), 700) == kept and len(draws) == 1  # a sample of several chunks is drawn once
+            m.setattr(fits, "KEPT", 1)
+            assert n <= 2 or fits._distance("weibull", n, (2, "w", n), 700) == kept

@@ -18,6 +18,8 @@ from tidemark.session import staged
 
 CELL = ["category", "subcategory", "period"]
 DISTS = ["exponential", "weibull", "lognormal"]
+#: numbers of a simulated sample that a task keeps between its passes
+KEPT = 8_000_000
 
 
 def erfc(x: Column) -> Column:
@@ -169,17 +171,20 @@ def ks_statistic(delays: DataFrame, forms: DataFrame, groups: list[str] = CELL)
     return d.withColumn("ks_pvalue", kolmogorov_p(F.col("ks"), F.col("n")))
 
 
-def _sorted_uniforms(n: int, seed_parts: tuple, chunk: int) -> Iterator[np.ndarray]:
-    """n sorted uniform numbers in chunks, from exponential spacings; the same numbers on every call."""
-    total = 0.0
+def _spacings(n: int, seed_parts: tuple, chunk: int) -> Iterator[np.ndarray]:
+    """The n + 1 exponential spacings of a sample, in chunks; the same numbers on every call."""
     rng = _rng(*seed_parts)
     for at in range(0, n + 1, chunk):
-        total += rng.standard_exponential(min(chunk, n + 1 - at)).sum()
-    rng, run = _rng(*seed_parts), 0.0
-    for at in range(0, n + 1, chunk):
-        s = run + np.cumsum(rng.standard_exponential(min(chunk, n + 1 - at)))
-        run = s[-1]
-        yield (s if at + chunk < n + 1 else s[:-1]) / total
+        yield rng.standard_exponential(min(chunk, n + 1 - at))
+
+
+def _sorted_uniforms(spacings, total: float, n: int) -> Iterator[np.ndarray]:
+    """n sorted uniform numbers in chunks, from all their spacings and these' sum."""
+    run, at = 0.0, 0
+    for x in spacings:
+        s = run + np.cumsum(x)
+        run, at = s[-1], at + len(x)
+        yield (s if at < n + 1 else s[:-1]) / total
 
 
 # fixed values: rational approximation of the inverse normal distribution (P. J. Acklam)
@@ -192,21 +197,48 @@ _D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754
 def _normal_quantile(u: np.ndarray) -> np.ndarray:
     u = np.clip(u, 1e-300, 1 - 1e-16)
     q = u - 0.5
-    mid = q * np.polyval(_A, q * q) / np.polyval(_B, q * q)
-    t = np.sqrt(-2 * np.log(np.minimum(u, 1 - u)))
+    out, inner = np.empty_like(q), np.abs(q) <= 0.47575
+    m, outer = q[inner], ~inner  # each form only where it holds
+    out[inner] = m * np.polyval(_A, m * m) / np.polyval(_B, m * m)
+    t = np.sqrt(-2 * np.log(np.minimum(u[outer], 1 - u[outer])))
     tail = np.polyval(_C, t) / np.polyval(_D, t)
-    return np.where(np.abs(q) <= 0.47575, mid, np.where(q < 0, tail, -tail))
+    out[outer] = np.where(q[outer] < 0, tail, -tail)
+    return out
+
+
+def _largest_gap(x: np.ndarray, at: int, n: int, cdf, least: float = 0.0, step: int = 256) -> float:
+    """Largest distance of ``cdf`` from the steps at the sorted points ``x``, which are those from ``at`` on of n; ``least`` if none is larger.
+
+    The function rises, so its values at both ends of a run of ``step`` points bound the distances between; only runs that
+    could hold a larger one are looked into.
+    """
+    def gap(i: np.ndarray, f: np.ndarray) -> float:
+        return max(np.max((at + i + 1) / n - f), np.max(f - (at + i) / n))
+
+    ends = np.r_[np.arange(0, len(x) - 1, step), len(x) - 1]
+    f = cdf(x[ends])
+    d = max(least, gap(ends, f))
+    bound = np.maximum((at + ends[1:]) / n - f[:-1], f[1:] - (at + ends[:-1]) / n)
+    inside = [np.arange(a + 1, b) for a, b in zip(ends[:-1][bound > d - 1e-12], ends[1:][bound > d - 1e-12]) if b > a + 1]
+    return max(d, gap(i := np.concatenate(inside), cdf(x[i]))) if inside else d
 
 
 def _distance(dist: str, n: int, parts: tuple, chunk: int) -> float:
     """Distance of one simulated and refitted sample; location and scale drop out, so a standard one is drawn.
 
-    A sample of one chunk is drawn once and kept; a longer one is drawn again for every pass.
+    A sample of up to ``KEPT`` numbers is drawn once and kept; a longer one is drawn again for every pass.
     """
+    spacings = list(_spacings(n, parts, chunk)) if n < KEPT else None
+    drawn = lambda: _spacings(n, parts, chunk) if spacings is None else spacings
+    total = 0.0
+    for x in drawn():
+        total += x.sum()
+
     def passes(transform):
-        stream = lambda: (transform(u) for u in _sorted_uniforms(n, parts, chunk))
-        if n < chunk:
+        stream = lambda: (transform(u) for u in _sorted_uniforms(drawn(), total, n) if len(u))
+        if spacings is not None:
             kept = list(stream())
+            spacings.clear()
             return lambda: kept
         return stream
 
@@ -236,9 +268,7 @@ def _distance(dist: str, n: int, parts: tuple, chunk: int) -> float:
         cdf = lambda lx: -np.expm1(-np.exp(k * lx) / scale_k)
     d, at = 0.0, 0
     for x in xs():
-        f = cdf(x)
-        i = np.arange(at + 1, at + len(x) + 1)
-        d, at = max(d, np.max(i / n - f), np.max(f - (i - 1) / n)), at + len(x)
+        d, at = _largest_gap(x, at, n, cdf, d), at + len(x)
     return float(d)
 
 
@@ -247,7 +277,7 @@ def ks_parametric_bootstrap(ks: DataFrame, groups: list[str] = CELL, replicates:
     """Share of refitted simulated samples at least as far off as the observed one.
 
     ``ks`` comes from ``ks_statistic``. Replicates are spread over the cluster in blocks; a sample is
-    simulated in sorted chunks, so memory does not grow with the cell.
+    simulated in sorted chunks, of which ``KEPT`` numbers are held, so memory does not grow with the cell beyond that.
     """
     key = F.concat_ws("|", *[F.coalesce(F.col(g).cast("string"), F.lit("␀")) for g in groups])
     blocks = -(-replicates // block)
