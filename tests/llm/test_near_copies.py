@@ -88,3 +88,12 @@ def test_columns_with_the_names_of_the_code_are_carried(spark):
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [0, 2, 3, 4]
     assert all(r[c] == f"own {r['doc_id']}" for r in got.collect() for c in names)
     assert simhash.keep_one(df).columns == df.columns
+
+
+def test_stage_links_by_fingerprints_too(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "band_keys", lambda shingles: [])  # what SimHash finds without MinHash
+    base = " ".join(f"w{k}" for k in range(2000))
+    texts = [base, base + " one more word", base.replace("w1999", "other"), "a b", "c d", "", None]
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    got = near_copies.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(brute_classes(rows)) == [0, 3, 4, 5]

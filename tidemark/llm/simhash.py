@@ -32,7 +32,11 @@ def fingerprint(text: str | None) -> int:
     if not words:
         return 0
     runs = zip(*(words[k:] for k in range(WORDS))) if len(words) >= WORDS else [words]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs), dtype=np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs), dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit number of the bits that over half of the hashes set; zero without any."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(hashes[k:k + CHUNK].view(np.uint8), bitorder="little").reshape(-1, 64)
