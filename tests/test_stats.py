@@ -334,3 +334,20 @@ def test_simulated_distances_are_those_of_every_point(monkeypatch):
             assert n <= 2 or fits._distance("weibull", n, (2, "w", n), 700) == kept and len(draws) == 1  # a sample of several chunks is drawn once
             m.setattr(fits, "KEPT", 1)
             assert n <= 2 or fits._distance("weibull", n, (2, "w", n), 700) == kept
+
+
+def test_intervals_of_proportions_are_taken_for_many_rows_at_once(spark, monkeypatch):
+    import pandas as pd
+    made = {}
+    monkeypatch.setattr(rs.F, "pandas_udf", lambda kind: lambda f: made.setdefault("f", f) and (lambda *c: F.lit(None)))
+    rs.proportion_interval(F.lit(1), F.lit(1), F.lit("k"), replicates=50, seed=3)
+    calls = []
+    plain = np.percentile
+    monkeypatch.setattr(np, "percentile", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    n = pd.Series([10.0 + k for k in range(600)] + [None, 0.0, 5.0])
+    got = made["f"](n, n // 3, pd.Series([f"c{k}" for k in range(603)]))
+    assert len(calls) == 3  # 601 rows in blocks of 256
+    for k in (0, 255, 256, 599, 602):
+        d = rs._rng(3, f"c{k}").binomial(int(n[k]), (n[k] // 3) / n[k], 50) / n[k]
+        assert tuple(got.iloc[k]) == (plain(d, 2.5), plain(d, 97.5))
+    assert got.iloc[600:602].isna().all().all()

@@ -30,6 +30,8 @@ _CUTS = list(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)]))
 
 #: rows of a group that are resampled in one task, rows whose draws are held at once, and groups whose sums are
 ROWS, CHUNK, GROUPS = 20_000, 2_000, 1_000
+#: proportions whose draws are held at once
+DRAWN = 256
 
 
 def poisson_counts(u: np.ndarray) -> np.ndarray:
@@ -188,14 +190,23 @@ def proportion_interval(n: Column, k: Column, key: Column, replicates: int = CEL
     """Bootstrap interval of a proportion k / n as a struct (ci_low, ci_high)."""
     @F.pandas_udf("struct<ci_low: double, ci_high: double>")
     def ci(ns: pd.Series, ks: pd.Series, keys: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b, key_ in zip(ns, ks, keys):
+        out = np.full((len(ns), 2), np.nan)
+        draws, rows = np.empty((DRAWN, replicates)), []
+
+        def close() -> None:
+            out[rows] = np.percentile(draws[:len(rows)], [low, high], axis=1).T
+            rows.clear()
+
+        for i, (a, b, key_) in enumerate(zip(ns, ks, keys)):
             if pd.isna(a) or a <= 0 or pd.isna(b):
-                out.append((None, None))
                 continue
-            d = _rng(seed, key_).binomial(int(a), min(1.0, b / a), replicates) / a
-            out.append((np.percentile(d, low), np.percentile(d, high)))
-        return pd.DataFrame(out, columns=["ci_low", "ci_high"], dtype="float64")
+            draws[len(rows)] = _rng(seed, key_).binomial(int(a), min(1.0, b / a), replicates) / a
+            rows.append(i)
+            if len(rows) == DRAWN:
+                close()
+        if rows:
+            close()
+        return pd.DataFrame(out, columns=["ci_low", "ci_high"])
 
     return ci(n.cast("double"), k.cast("double"), key)
 
