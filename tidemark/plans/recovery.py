@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
@@ -142,9 +142,11 @@ def recovery_cascade(parsed: DataFrame, threshold: float = C.CONFIDENCE_THRESHOL
     The cost is the sum over the tiers up to the chosen one.
     """
     good = F.col("t_event").isNotNull() & (F.col("confidence") >= threshold)
-    agg = parsed.groupBy("market_id").agg(
-        F.min(F.when(good, F.col("tier"))).alias("_acc"), F.max("tier").alias("_last"))
-    j = parsed.join(agg.withColumn("chosen_tier", F.coalesce("_acc", "_last")), "market_id").where("tier <= chosen_tier")
+    # over a window, not by a join with itself: the answers are parsed and shuffled once
+    w = Window.partitionBy("market_id")
+    rows = parsed.where("market_id is not null").select("market_id", "tier", "model", "t_event", "confidence", "cost")
+    j = (rows.withColumn("_acc", F.min(F.when(good, F.col("tier"))).over(w)).withColumn("chosen_tier", F.coalesce("_acc", F.max("tier").over(w)))
+         .where("tier <= chosen_tier"))
     at = F.col("tier") == F.col("chosen_tier")
     return j.groupBy("market_id", "chosen_tier").agg(
         F.max(F.when(at, F.col("t_event"))).alias("t_event"), F.max(F.when(at, F.col("confidence"))).alias("confidence"),
