@@ -242,3 +242,30 @@ def test_merged_rows_take_the_types_of_the_table(spark, tmp_path, policy):
     assert {r.k: r.v for r in table.rows().collect()} == ({"a": 4, "b": 2, "c": 4} if policy == "overwrite" else {"a": 1, "b": 2, "c": 3})
     with pytest.raises(Exception, match="CAST_OVERFLOW"):
         table.merge(spark.createDataFrame([(1 << 40, "d")], "v bigint, k string"), policy)
+
+
+def test_stream_files_grow_in_number_and_not_in_size(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark.catalog import streams
+    monkeypatch.setattr(streams, "PER_FILE", 50)
+    trades = spark.range(0, 500, 1, 3).selectExpr(
+        "'m' as market_id", "cast(id as string) as tx_hash", "0 as log_index", "timestamp_seconds(1704067200 + id div 300) as ts", "'a' as taker_address",
+        "'b' as maker_address", "0.5 as price", "1.0 as size_shares", "0.5 as notional_usdc")
+    folders = []
+    folder = streams.stage_folder
+    monkeypatch.setattr(streams, "stage_folder", lambda s: folders.append(folder(s)) or folders[-1])
+    got = streams.stream_trade_dedupe(SimpleNamespace(spark=spark, trades=trades)).collect()
+    assert len(got) == 500 and all(r["n"] == 1 for r in got)
+    assert len(spark.read.parquet(folders[0] + "/src").inputFiles()) == 20  # 1000 rows: 5 files in each of the 4 batches
+
+
+def test_answers_of_a_cascade_are_parsed_once(spark):
+    from tidemark.plans import recovery
+    rows = [("a", t, "mini", 100, 10, 0, f"DATE: 2024-01-0{t}\nSOURCES: {'Reuters' if t == 2 else 'none'}\nREASON: x") for t in (1, 2, 3)]
+    rows += [("b", 1, "mini", 100, 10, 0, "DATE: UNKNOWN\nSOURCES: none\nREASON: x"), (None, 1, "mini", 100, 10, 0, "DATE: 2024-01-01\nSOURCES: AP\nREASON: x")]
+    answers = spark.createDataFrame(rows, "market_id string, tier int, model string, in_tokens int, out_tokens int, n_searches int, text string")
+    out = recovery.recovery_cascade(recovery.parsed_answers(answers), 0.7)
+    got = {r["market_id"]: (r["chosen_tier"], r["accepted"], str(r["t_event"])) for r in out.collect()}
+    assert got == {"a": (2, True, "2024-01-02 00:00:00"), "b": (1, False, "None")}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -10,11 +10,17 @@ from tidemark.streaming.segments import Segments
 _TRADE = ["market_id", "tx_hash", "log_index", "ts", "taker_address", "maker_address", "price", "size_shares", "notional_usdc"]
 
 
+#: batches of a stream that is read from files, and rows of a file beyond which a batch gets more of them
+BATCHES, PER_FILE = 4, 1_000_000
+
+
 def _stream(v, df):
-    """Write a table in event-time order as a few files and read it back as a stream, one file at a time."""
+    """Write a table in event-time order as files and read it back as a stream, in a few batches."""
     src = stage_folder(v.spark) + "/src"
-    df.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(src)
-    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src), stage_folder(v.spark)
+    files = max(1, -(-df.count() // (BATCHES * PER_FILE)))
+    order = ["ts", *[c for c in ("tx_hash", "log_index") if c in df.columns]]
+    df.repartitionByRange(BATCHES * files, *order).sortWithinPartitions("ts").write.parquet(src)
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(src), stage_folder(v.spark)
 
 
 def _finish(q):
