@@ -1,8 +1,9 @@
 """Stand-in market tables derived from the generic test tables.
 
 Each view is one SQL text that means the same in Spark and in DuckDB; the few functions that are
-spelled differently go through a small per-engine word book. The library never depends on this
-module: only the query catalog and the tests do.
+spelled differently go through a small per-engine word book. Two views over the largest tables have a
+text of their own for Spark, of the same rows, which reads these tables once. The library never depends
+on this module: only the query catalog and the tests do.
 """
 
 from __future__ import annotations
@@ -136,10 +137,11 @@ def view_sql(d: Dialect) -> dict[str, str]:
         from orders
       ) u"""
     # quotes of every minute that was traded, of the whole first hour after opening, and around the times that news may be dated to
-    asked = " union all ".join(
-        [f"select num, market_id, {d.shift('t_open', str(m * 60 + 300))} as ts, {m} as place from markets where {{0}}" for m in (0, 20, 55)]
-        + [f"select num, market_id, {d.shift('t_resolve', f'-(num % 96) * 3600 - 1800 * {tier} - {lead * 60}')}, {k} from markets where {{0}}"
-           for tier in (1, 2) for k, lead in enumerate((0, 1, 3, 31, 121, 361, 1441, 10081), 3)])
+    places = ([(d.shift("t_open", str(m * 60 + 300)), m) for m in (0, 20, 55)]
+              + [(d.shift("t_resolve", f"-(num % 96) * 3600 - 1800 * {tier} - {lead * 60}"), k)
+                 for tier in (1, 2) for k, lead in enumerate((0, 1, 3, 31, 121, 361, 1441, 10081), 3)])
+    asked = " union all ".join(f"select num, market_id, {ts}{' as ts' * (i < 3)}, {place}{' as place' * (i < 3)} from markets where {{0}}"
+                               for i, (ts, place) in enumerate(places))
     quoted = "t_resolve is not null and category <> 'other' and outcome is not null and resolution_type <> 'unclassifiable' and (market_id in (select market_id from trades) or num % 50 = 7)"
     v["quoted"] = f"""
       select num, market_id, ts, place, row_number() over (partition by market_id, ts order by place) as rn from (
@@ -154,6 +156,16 @@ def view_sql(d: Dialect) -> dict[str, str]:
           select market_id, ts, cast(cast(1500 + (num * 37 + place * 311) % 7000 as decimal(10,0)) * 0.0001 as decimal(8,6)), 1, ts, num
           from quoted where rn = 1) u) q
       where rn = 1"""
+    if d is SPARK:
+        # all places of a market from one scan and one test; traded markets once each, not once per trade
+        once = quoted.replace("(select market_id from trades)", "(select distinct market_id from trades)")
+        v["quoted"] = f"""
+      select num, market_id, ts, place, row_number() over (partition by market_id, ts order by place) as rn from (
+        select num, market_id, date_trunc('minute', a.ts) as ts, a.place
+        from (select num, market_id, t_open, t_resolve from markets where {once}) k
+        lateral view inline(array({', '.join(f'struct({ts} as ts, {place} as place)' for ts, place in places)})) a as ts, place) b"""
+        v["prices"] = v["prices"].replace("from trades t join markets m on m.market_id = t.market_id", """from trades t join (
+            select distinct market_id, category from markets where market_id in (select distinct market_id from trades)) m on m.market_id = t.market_id""")
     tiers = " union all ".join(
         f"""select num, market_id, {i} as tier, t_resolve, category, outcome from markets
             where t_resolve is not null and {cond}"""
