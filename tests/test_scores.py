@@ -139,3 +139,14 @@ def test_market_labels_end_to_end(spark):
     assert [x["address"] for x in r["time_to_news_top10"]] == ["w2", "w0", "w1"]
     audit = plan.label_audit(plan.market_labels(market(spark, T0, at(720)), prices_df(spark, []), t, news(spark, at(480))))
     assert audit.select(F.get_json_object("details", "$.t_news_tier")).collect()[0][0] == "1"
+
+
+def test_candidates_join_markets_once(spark):
+    """Pools by prices and news; NULL and repeated ids; one join of the markets with labels, not one per pool."""
+    ids = ["a", "b", "c", "d", "e", None, "a"]
+    kinds = ["deadline_resolved", "deadline_resolved", "event_resolved", "event_resolved", None, "deadline_resolved", "event_resolved"]
+    m = spark.createDataFrame([(i, k, T0, at(9), 1) for i, k in zip(ids, kinds)], "market_id string, resolution_type string, t_open timestamp, t_resolve timestamp, outcome int")
+    one = lambda xs: spark.createDataFrame([(x,) for x in xs], "market_id string")
+    df = plan.score_candidates(m, one(["a", "c", None, "a"]), one(["a", "b", "d", "e", None]), one(["d", None]))
+    assert sorted(map(tuple, df.collect())) == [("a", 1), ("b", 2), ("e", 2)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1

@@ -150,13 +150,16 @@ def label_audit(labels: DataFrame) -> DataFrame:
 
 def score_candidates(markets: DataFrame, prices: DataFrame, news: DataFrame, labels: DataFrame,
                      limit: int | None = None) -> DataFrame:
-    """Unlabelled markets ready to score: resolved deadline markets with prices first, then any with news."""
-    todo = scorable(markets).join(labels.select("market_id"), "market_id", "left_anti")
-    first = (todo.where("resolution_type = 'deadline_resolved'")
-             .join(prices.select("market_id").distinct(), "market_id", "left_semi").select("market_id", F.lit(1).alias("pool")))
-    second = (todo.join(news.select("market_id").distinct(), "market_id", "left_semi")
-              .select("market_id", F.lit(2).alias("pool")))
-    out = first.unionByName(second).groupBy("market_id").agg(F.min("pool").alias("pool"))
+    """Unlabelled markets ready to score: resolved deadline markets with prices first, then any with news.
+
+    Markets are joined once, with what is known of each id from prices and news together.
+    """
+    known = (prices.select("market_id", F.lit(True).alias("priced"), F.lit(False).alias("told"))
+             .unionByName(news.select("market_id", F.lit(False).alias("priced"), F.lit(True).alias("told")))
+             .groupBy("market_id").agg(F.max("priced").alias("priced"), F.max("told").alias("told")))
+    pool = F.when((F.col("resolution_type") == "deadline_resolved") & F.col("priced"), 1).when(F.col("told"), 2)
+    out = (scorable(markets).join(labels.select("market_id"), "market_id", "left_anti").join(known, "market_id")
+           .select("market_id", pool.alias("pool")).where("pool is not null").groupBy("market_id").agg(F.min("pool").alias("pool")))
     return out.orderBy("pool", "market_id").limit(limit) if limit else out
 
 
