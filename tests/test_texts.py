@@ -172,3 +172,16 @@ def test_words_within_against_brute_force(spark):
     got = {(r.kw, r.run) for r in rec.words_within(frame(parts, "kw"), frame(words, "run")).collect()}
     assert got == {(p, w) for p in parts for w in words if len(p) >= 3 and p in w}
     assert rec.words_within(frame(parts, "kw"), frame(words, "run").limit(0)).count() == 0
+
+
+def test_settle_words_take_no_steps_of_their_own(spark):
+    """Random words, upper case, NULL and words that are none; the plan of a log holds no loop over the pieces of a word."""
+    rng = random.Random(9)
+    numbers = [rng.randrange(-2 ** k, 2 ** k) for k in (1, 30, 62, 63, 64, 127, 128, 200, 254, 255) for _ in range(5)]
+    words = [f"{n % 2 ** 256:064x}" for n in numbers] + ["F" * 63 + "e", None, "", "f" * 63, "g" * 64]
+    df = spark.createDataFrame(list(enumerate(words)), "k int, w string")
+    got = [r["t"] for r in df.select("k", P.signed_hex_text(F.col("w")).alias("t")).orderBy("k").collect()]
+    assert got == [str(n) for n in numbers] + ["-2", None, None, None, None]
+    f = P.settle_log_fields(F.col("w"), F.col("w"))
+    plan = df.select(*[f[k].alias(k) for k in f])._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan

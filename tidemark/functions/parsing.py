@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.constants import URL_PATTERN, VENUE_DOMAIN
 
 _MOD31 = 2 ** 31
+_TWO256, _WORD256 = 2 ** 256, re.compile("[0-9a-fA-F]{64}")
+
+
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once however often ``f`` names it; Spark repeats an expression in each branch that names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def payload(line: Column) -> Column:
@@ -47,15 +57,16 @@ def json_list(c: Column) -> Column:
 
 def outcome_from_prices(c: Column) -> Column:
     """1 when the first price is within 0.01 of 1, 0 when within 0.01 of 0, else NULL."""
-    prices = json_list(c)
-    first = F.when(F.size(prices) >= 2, F.get(prices, F.lit(0)).try_cast("double"))
-    return F.when(F.abs(first - 1) < 0.01, 1).when(F.abs(first) < 0.01, 0)
+    def outcome(prices: Column) -> Column:
+        first = F.when(F.size(prices) >= 2, F.get(prices, F.lit(0)).try_cast("double"))
+        return F.when(F.abs(first - 1) < 0.01, 1).when(F.abs(first) < 0.01, 0)
+
+    return once(json_list(c), outcome)
 
 
 def token_at(c: Column, position: int = 1) -> Column:
     """Element of a JSON id list (0-based); NULL when the list has fewer than two."""
-    ids = json_list(c)
-    return F.when(F.size(ids) >= 2, F.get(ids, F.lit(position)))
+    return once(json_list(c), lambda ids: F.when(F.size(ids) >= 2, F.get(ids, F.lit(position))))
 
 
 def decode_hex_text(c: Column) -> Column:
@@ -137,30 +148,21 @@ def format_iso(ts: Column) -> Column:
 
 
 def signed_hex_text(word: Column) -> Column:
-    """A 256-bit two's complement word (64 hex digits) as exact decimal text.
+    """A 256-bit two's complement word (64 hex digits) as exact decimal text; NULL for anything else.
 
-    Sixteen 16-bit pieces run through a number held in nine decimal digits a limb, lowest limb first; a negative word is
-    inverted piece by piece, and one is added at the end.
+    No Spark number holds it, and Python's whole numbers do: a batch of words is a column of texts both ways.
     """
-    limb, limbs = 1_000_000_000, 9
-    negative = F.substr(word, F.lit(1), F.lit(1)).rlike("[89a-fA-F]")
-    big = lambda n: F.lit(n).cast("bigint")
-
-    def times_plus(number: Column, factor: int, plus: Column) -> Column:
-        start = F.struct(F.array().cast("array<bigint>").alias("out"), plus.alias("carry"))
-        return F.aggregate(number, start, lambda s, x: F.struct(
-            F.array_append(s["out"], (x * factor + s["carry"]) % limb).alias("out"),
-            F.floor((x * factor + s["carry"]) / limb).cast("bigint").alias("carry")), lambda s: s["out"])
+    @F.pandas_udf("string")
+    def texts(words: pd.Series) -> pd.Series:
+        def text(w: str | None) -> str | None:
+            if w is None or not _WORD256.fullmatch(w):
+                return None
+            n = int(w, 16)
+            return str(n - _TWO256 if n >> 255 else n)
 
-    def piece(i: Column) -> Column:
-        p = F.conv(F.substr(word, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint")
-        return F.when(negative, 65535 - p).otherwise(p)
+        return words.map(text)
 
-    number = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.array_repeat(big(0), limbs), lambda acc, i: times_plus(acc, 65536, piece(i)))
-    number = times_plus(number, 1, F.when(negative, big(1)).otherwise(big(0)))
-    digits = F.array_join(F.transform(F.reverse(number), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
-    text = F.regexp_replace(digits, "^0+(?=.)", "")
-    return F.when(word.rlike("^[0-9a-fA-F]{64}$"), F.when(negative, F.concat(F.lit("-"), text)).otherwise(text))
+    return texts(word)
 
 
 def settle_log_fields(data: Column, topic2: Column) -> dict[str, Column]:
@@ -168,16 +170,15 @@ def settle_log_fields(data: Column, topic2: Column) -> dict[str, Column]:
 
     ``price`` is the whole 256-bit number as decimal text, since no Spark number holds its 77 digits.
     """
-    body = F.substr(data, F.lit(3))
-    word = lambda at: F.substr(body, at * 64 + 1, F.lit(64))
+    word = lambda at: F.substr(data, at * 64 + 3, F.lit(64))  # noqa: E731 - after 0x
     num = lambda w: F.conv(F.right(w, F.lit(15)), 16, 10).cast("bigint")
     offset = num(word(F.lit(2)))
-    length = num(F.substr(body, (offset * 2 + 1).cast("int"), F.lit(64)))
-    text = F.substr(body, (offset * 2 + 65).cast("int"), (length * 2).cast("int"))
-    long_enough = F.length(body) >= 320
+    length = num(F.substr(data, (offset * 2 + 3).cast("int"), F.lit(64)))
+    text = F.substr(data, (offset * 2 + 67).cast("int"), (length * 2).cast("int"))
+    long_enough = F.length(data) >= 322
     return {
         "ancillary_hex": F.when(long_enough, F.concat(F.lit("0x"), text)),
-        "ancillary_text": F.when(long_enough, decode_hex_text(text)),
+        "ancillary_text": F.when(long_enough, once(text, decode_hex_text)),
         "price": F.when(long_enough, signed_hex_text(word(F.lit(3)))),
         "proposer": F.concat(F.lit("0x"), F.substr(topic2, F.lit(27))),
     }
