@@ -269,3 +269,15 @@ def test_answers_of_a_cascade_are_parsed_once(spark):
     got = {r["market_id"]: (r["chosen_tier"], r["accepted"], str(r["t_event"])) for r in out.collect()}
     assert got == {"a": (2, True, "2024-01-02 00:00:00"), "b": (1, False, "None")}
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_market_fields_are_taken_in_one_pass(spark):
+    """Objects and lists for texts, JSON nulls, events that are no list or hold no objects; one read of the VARIANT, one of each list."""
+    rows = [(1, '{"id":"a","question":{"x":1},"events":{"title":"T"},"groupItemTitle":"G","slug":null}'),
+            (2, '{"id":"b","question":[1],"events":["t"],"groupItemTitle":"H","volume":null}'),
+            (3, '{"id":"c","question":null,"events":[null,{"title":"U"}],"conditionId":""}'), (4, '{"id":true,"events":[{"title":7}]}')]
+    df = ingest.markets(spark.createDataFrame(rows, "ingest_no int, line string"))
+    got = {r["market_id"]: (r["question"], r["category_raw"], r["slug"], r["volume"]) for r in df.collect()}
+    assert got == {"a": ('{"x":1}', "G", None, None), "b": ("[1]", "H", None, None), "c": ("", "", None, None), "true": ("", "7", None, None)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get") == 1 and plan.count("from_json") == 2

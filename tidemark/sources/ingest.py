@@ -12,15 +12,21 @@ from tidemark.sources.upsert import keep_first
 MONEY, PRICE6 = "decimal(20,6)", "decimal(8,6)"
 
 
+#: fields of a market line, taken out of its VARIANT in one pass; each is NULL where it is missing or of another kind
+_MARKET = "struct<" + ", ".join(f"{n}: string" for n in (
+    "conditionId", "id", "question", "description", "groupItemTitle", "createdAt", "startDate", "endDate", "closedTime", "outcomePrices",
+    "volume", "liquidity", "slug", "clobTokenIds")) + ", events: array<struct<title: string>>>"
+
+
 def markets(raw: DataFrame) -> DataFrame:
     """Market lines (ingest_no, line) to one row per market, the first line winning. A line is parsed once, into a VARIANT; broken lines are left out."""
     # the place settles equal numbers; as it is no function of the row, Spark doesn't move the filter on ids before the parse and parse once more
-    m = raw.select("ingest_no", F.monotonically_increasing_id().alias("at"), P.payload(F.col("line")).alias("p"))
-    g = lambda name: P.field("p", f"$.{name}")
+    m = raw.select("ingest_no", F.monotonically_increasing_id().alias("at"), P.field(P.payload(F.col("line")), "$", _MARKET).alias("p"))
+    g = lambda name: F.col(f"p.{name}")
     one = lambda *names: F.coalesce(*[P.blank_to_null(g(n)) for n in names])
     df = m.select(
         "ingest_no", "at", one("conditionId", "id").alias("market_id"), F.coalesce(g("question"), F.lit("")).alias("question"),
-        g("description").alias("description"), F.coalesce(one("events[0].title", "groupItemTitle"), F.lit("")).alias("category_raw"),
+        g("description").alias("description"), F.coalesce(F.coalesce(P.blank_to_null(F.get("p.events", F.lit(0))["title"]), one("groupItemTitle")), F.lit("")).alias("category_raw"),
         P.parse_iso_ts(one("createdAt", "startDate")).alias("t_open"), P.parse_iso_ts(g("endDate")).alias("end_date"),
         P.parse_iso_ts(g("closedTime")).alias("t_resolve"), P.outcome_from_prices(one("outcomePrices")).alias("outcome"),
         g("volume").try_cast(MONEY).alias("volume"), g("liquidity").try_cast(MONEY).alias("liquidity"), one("slug").alias("slug"),
