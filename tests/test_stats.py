@@ -351,3 +351,15 @@ def test_intervals_of_proportions_are_taken_for_many_rows_at_once(spark, monkeyp
         d = rs._rng(3, f"c{k}").binomial(int(n[k]), (n[k] // 3) / n[k], 50) / n[k]
         assert tuple(got.iloc[k]) == (plain(d, 2.5), plain(d, 97.5))
     assert got.iloc[600:602].isna().all().all()
+
+
+def test_portable_draws_are_digests_and_counts_follow_the_cuts():
+    """Digests as any engine makes them; counts at, just below and beyond every cut."""
+    import hashlib
+    ids = ["0xab:1", "", "é", 7]
+    u = rs.uniforms(ids, 6, 5, True)
+    want = [[int.from_bytes(hashlib.md5(f"5|{b // 4}|{i}".encode()).digest()[b % 4 * 4:][:4], "big") / 2 ** 32 for b in range(6)] for i in ids]
+    assert u.tolist() == want
+    cuts = np.array(rs._CUTS)
+    at = np.concatenate([cuts, np.nextafter(cuts, 0), np.nextafter(cuts, 2), [0.0, 1.0]]).reshape(2, -1)
+    assert (rs.poisson_counts(at) == np.searchsorted(cuts, at, side="right")).all()

@@ -13,6 +13,11 @@ import hashlib
 import math
 from collections.abc import Iterator
 
+try:  # Python's own digest starts sooner than OpenSSL's, which counts for short texts
+    from _md5 import md5
+except ImportError:
+    from hashlib import md5
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,7 +41,13 @@ DRAWN = 256
 
 def poisson_counts(u: np.ndarray) -> np.ndarray:
     """Poisson(1) counts from uniform numbers."""
-    return np.searchsorted(_CUTS, u, side="right").astype(np.float64)
+    out = np.zeros(u.shape, np.uint8)
+    for cut in _CUTS:  # few numbers pass the higher cuts
+        over = u >= cut
+        if not over.any():
+            break
+        out += over
+    return out.astype(np.float64)
 
 
 def uniforms(ids: list | np.ndarray, replicates: int, seed: int, portable: bool = False) -> np.ndarray:
@@ -47,7 +58,7 @@ def uniforms(ids: list | np.ndarray, replicates: int, seed: int, portable: bool
     if portable:
         fours = -(-replicates // 4)
         heads = [f"{seed}|{q}|".encode() for q in range(fours)]
-        whole = b"".join(hashlib.md5(h + i).digest() for i in (str(i).encode() for i in ids) for h in heads)
+        whole = b"".join(md5(h + i).digest() for i in (str(i).encode() for i in ids) for h in heads)
         return (np.frombuffer(whole, ">u4").reshape(len(ids), 4 * fours)[:, :replicates]) / 4294967296.0
     with np.errstate(over="ignore"):
         x = np.asarray(ids, np.int64).view(np.uint64)[:, None] + (np.arange(1, replicates + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003)) * np.uint64(0x9E3779B97F4A7C15)
