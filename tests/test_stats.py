@@ -355,7 +355,6 @@ def test_intervals_of_proportions_are_taken_for_many_rows_at_once(spark, monkeyp
 
 def test_portable_draws_are_digests_and_counts_follow_the_cuts():
     """Digests as any engine makes them; counts at, just below and beyond every cut."""
-    import hashlib
     ids = ["0xab:1", "", "é", 7]
     u = rs.uniforms(ids, 6, 5, True)
     want = [[int.from_bytes(hashlib.md5(f"5|{b // 4}|{i}".encode()).digest()[b % 4 * 4:][:4], "big") / 2 ** 32 for b in range(6)] for i in ids]
